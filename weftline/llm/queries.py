@@ -4,7 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import minhash
+from weftline.llm import langid, minhash, nearest, packing, quality, sharding, sstable, urlfilter
+
+#: (verdict, host, path prefix) of the URL filter's query.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+SHARDS = 8
+
+
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +34,85 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_copies")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of whole documents by the byte-level network."""
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs.select("doc_id", "text"), net, keep=["doc_id"])
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform shuffle of whole documents into eight shards; sizes and checksums are of the rows as exchanged."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sharding.shuffle_shards(docs, SHARDS, seed=11, stable=True)
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    out = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every twentieth one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to sorted-string-table shards and read back."""
+    shards = sstable.write_tables(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return sstable.read_tables(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_url_filter": op3_url_filter,
+    "op5_sharding": op5_sharding,
+    "op6_language_id": op6_language_id,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_packing": op8_packing,
+    "op9_sstable": op9_sstable,
 }
 
-ORACLES: dict[str, str] = {}
+_URL_SQL = """
+WITH u AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+j AS (
+  SELECT u.*, r.h || r.p AS rule, r.verdict,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(r.h || r.p) DESC NULLS LAST) AS k
+  FROM u LEFT JOIN rules r ON (u.host = r.h OR suffix(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE k = 1
+"""
+
+ORACLES: dict[str, str] = {"op3_url_filter": _URL_SQL}
