@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import langid, minhash, nearest, packing, quality, sharding, sstable, urlfilter
+from weftline.llm import contamination, langid, minhash, nearest, packing, quality, sharding, sstable, urlfilter
 
 #: (verdict, host, path prefix) of the URL filter's query.
 URL_RULES = [
@@ -90,6 +90,13 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_tables(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside ten-word windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = contamination.find(docs, table(spark, sf_dir, "benchmark"), 10, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -99,6 +106,7 @@ QUERIES = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_packing": op8_packing,
     "op9_sstable": op9_sstable,
+    "op10_decontamination": op10_decontamination,
 }
 
 _URL_SQL = """
@@ -115,4 +123,20 @@ j AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM j WHERE k = 1
 """
 
-ORACLES: dict[str, str] = {"op3_url_filter": _URL_SQL}
+_PHRASE_SQL = r"""
+WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+b AS (SELECT item_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS g, least(len(w), 10) AS n
+        FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM d, lens, unnest(range(1, len(w) - n + 2)) t(i)),
+occ AS (SELECT DISTINCT p.doc_id, p.i, p.n, k.item_id FROM pos p JOIN win k ON p.g = k.g AND p.n = k.n),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM occ, unnest(range(i, i + n)) t(j) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS s FROM occ GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL}
