@@ -9,10 +9,12 @@ values. Enumerating the positions of those errors as wildcards turns the search
 into equality on keys: every pair within T shares a key.
 
 Documents with equal sets are one class from the start. Keys of many classes
-are never expanded into all pairs: a growing number of pivots per key is
-compared with the rest, keys within one component are dropped, and only what
-remains between components is paired, in bounded amounts. Pairs are confirmed
-on full shingle sets.
+are never expanded into all pairs: each key's classes are first compared with
+its least one, and keys that then lie within one component are done. What
+remains falls into groups of classes joined by common keys. A group is cut into
+blocks of bounded size, and each two blocks that hold more than one component
+make a tile, whose task compares full sets by matrix products and returns no
+more links than classes. All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.components import connected_components
 from weftline.llm.shingles import mix, shingle_sets
@@ -31,6 +33,8 @@ from weftline.session import materialise
 
 #: Rows of a side that is broadcast at most; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: A block of a tile holds about so many sets and so many values in them.
+BLOCK_SETS, BLOCK_VALUES = 512, 500_000
 #: Sets of a text are hashed at most so many values at a time.
 _SLICE = 8192
 
@@ -145,6 +149,62 @@ def _full_sets(plan: Plan):
     return run
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the sets at ``left`` with those at ``right``, over their common values a part at a time."""
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, n = np.unique(flat, return_inverse=True, return_counts=True)
+    common = n[code] > 1
+    code, of = (np.cumsum(n > 1) - 1)[code[common]], of[common]
+    order = np.argsort(code, kind="stable")
+    code, of = code[order], of[order]
+    row = np.full(len(sets), -1)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, _SLICE):
+        i, j = np.searchsorted(code, (lo, lo + _SLICE))
+        width = int(code[j - 1]) - lo + 1
+        sides = []
+        for rows in (left, right):
+            row[:] = -1
+            row[rows] = np.arange(len(rows))
+            m, at = np.zeros((len(rows), width), np.float32), row[of[i:j]]
+            m[at[at >= 0], code[i:j][at >= 0] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _tile(plan: Plan):
+    def run(table: pa.Table) -> pa.Table:
+        cls, label, block = (table[c].to_numpy() for c in ("cls", "label", "block"))
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table["members"]]
+        first = block == block.min()
+        left, right = np.flatnonzero(first), np.flatnonzero(~first if (~first).any() else first)
+        size = np.array([len(v) for v in sets], np.float32)
+        both = overlaps(sets, left, right)
+        near = 100 * both.astype(np.float64) >= plan.percent * (size[left][:, None] + size[right][None, :] - both).astype(np.float64)
+        near &= label[left][:, None] != label[right][None, :]
+        x, y = np.nonzero(near)
+        x, y = left[x], right[y]
+        _, one = np.unique(np.stack((label[x], label[y])), axis=1, return_index=True)
+        root = {}
+
+        def find(v):
+            while root.get(v, v) != v:
+                root[v] = v = root.get(root[v], root[v])
+            return v
+
+        a, b = [], []
+        for i, j in zip(x[one].tolist(), y[one].tolist(), strict=True):
+            p, q = find(int(label[i])), find(int(label[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                a.append(int(min(cls[i], cls[j])))
+                b.append(int(max(cls[i], cls[j])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _confirm(plan: Plan):
     def run(batches):
         for batch in batches:
@@ -188,17 +248,28 @@ class _Join:
         pairs = pairs.distinct().join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
         pairs = pairs.where(100 * F.least("na", "nb") >= plan.percent * F.greatest("na", "nb"))
         near = materialise(pairs.select("a", "b", "sa", "sb").mapInArrow(_near_signatures(plan), "a long, b long"), "near")
-        need = near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct()
+        self.fetch(near.select(F.col("a").alias("cls")).union(near.select(F.col("b").alias("cls"))).distinct())
+        full = near.join(self.sets.toDF("a", "pa"), "a").join(self.sets.toDF("b", "pb"), "b")
+        return full.select("a", "b", "pa", "pb").mapInArrow(_confirm(plan), "a long, b long")
+
+    def fetch(self, need: DataFrame) -> None:
+        """Have the full sets of the classes ``need`` in ``self.sets``."""
         if self.sets is not None:
             need = need.join(self.sets.select("cls"), "cls", "left_anti")
         # A class is read through its least id; ids may repeat or be null, so the sets found are matched by class.
         ids = materialise(need.join(self.classes.select("cls", "first"), "cls").select("first").distinct(), "needed")
         texts = self.docs.join(_bounded(ids), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("id", "t")
-        found = texts.mapInArrow(_full_sets(plan), "cls long, members binary").dropDuplicates(["cls"])
+        found = texts.mapInArrow(_full_sets(self.plan), "cls long, members binary").dropDuplicates(["cls"])
+        if self.sets is not None:
+            found = found.join(self.sets.select("cls"), "cls", "left_anti")
         found = materialise(found, "sets")
         self.sets = found if self.sets is None else self.sets.union(found)
-        full = near.join(self.sets.toDF("a", "pa"), "a").join(self.sets.toDF("b", "pb"), "b")
-        return full.select("a", "b", "pa", "pb").mapInArrow(_confirm(plan), "a long, b long")
+
+    @staticmethod
+    def mixed(open_: DataFrame) -> DataFrame:
+        """The rows of keys that hold more than one component."""
+        keys = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return materialise(open_.join(keys, "key", "left_semi"), "open")
 
     def add(self, pairs: DataFrame) -> None:
         found = materialise(self.confirm(pairs), "confirmed")
@@ -216,28 +287,38 @@ class _Join:
         members = materialise(members.join(_bounded(materialise(alike.select("key"), "distinct-keys")), "key", "left_semi"), "members")
         star = members.join(members.groupBy("key").agg(F.min("cls").alias("a")), "key").where("a < cls").select("a", F.col("cls").alias("b"))
         self.add(shared.where("c = 2").select("a", "b").union(star))
-        pivots, tried = 1, None
-        while True:
-            labels = connected_components(self.links)
-            open_ = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
-            mixed = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            open_ = materialise(open_.join(mixed, "key", "left_semi"), "open")
-            per = open_.groupBy("key", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("p"))
-            rows, left = open_.count(), per.agg(F.sum("p")).first()[0] or 0.0
-            if not rows:
-                return labels
-            x, y = open_.alias("x"), open_.alias("y")
-            if left <= 4 * rows + 100_000:
-                last = x.join(y, "key").where("x.label < y.label").select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-                self.add(last)
-                return connected_components(self.links)
-            pivots *= 2
-            order = Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(pivots)), "cls")
-            chosen = materialise(open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots).drop("r"), "pivots").alias("y")
-            some = x.join(chosen, "key").where("x.label <> y.label").select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-            self.add(some)
-            members = open_.select("key", "cls").join(chosen.select("key", "cls"), ["key", "cls"], "left_anti")
-            members = materialise(members, "members")
+        labels = connected_components(self.links)
+        open_ = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+        open_ = self.mixed(open_)
+        if open_.isEmpty():
+            return labels
+        self.links = self.links.union(materialise(self.tiles(open_), "confirmed"))
+        return connected_components(self.links)
+
+    def tiles(self, open_: DataFrame) -> DataFrame:
+        """Links between components of the groups that the keys of ``open_`` make."""
+        least = open_.groupBy("key").agg(F.min("cls").alias("b"))
+        chain = open_.join(least, "key").select(F.col("cls").alias("a"), "b").distinct()
+        groups = connected_components(chain).toDF("cls", "grp")
+        self.fetch(open_.select("cls").distinct())
+        one = open_.select("cls", "label").distinct().join(groups, "cls").join(self.classes.select("cls", "n"), "cls")
+        one = materialise(one, "open-classes")
+        parts = one.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+        # The largest component of a group is not compared with itself, so it gets blocks of its own.
+        most = parts.groupBy("grp").agg(F.max(F.struct("c", "label")).alias("m")).select("grp", F.col("m.label").alias("main"))
+        blocks = F.ceil(F.greatest(F.sum("c") / BLOCK_SETS, F.sum("n") / BLOCK_VALUES)).cast("int")
+        cut = parts.join(most, "grp").groupBy("grp", (F.col("label") == F.col("main")).alias("inner")).agg(blocks.alias("k"))
+        cut = cut.groupBy("grp").agg(F.coalesce(F.max(F.when(F.col("inner"), F.col("k"))), F.lit(0)).alias("k_in"), F.coalesce(F.max(F.when(~F.col("inner"), F.col("k"))), F.lit(0)).alias("k_out"))
+        cut = materialise(cut.join(most, "grp"), "cuts")
+        dealt = one.join(cut, "grp").withColumn("h", F.xxhash64("cls"))
+        # Blocks 0 .. k_out - 1 hold the other components, those above the largest one.
+        inner = F.col("label") == F.col("main")
+        dealt = dealt.withColumn("block", F.when(inner, F.col("k_out") + F.pmod("h", "k_in")).otherwise(F.pmod("h", F.greatest("k_out", F.lit(1)))).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("block") >= F.col("k_out"), F.col("k_out") - 1).otherwise(F.col("k_in") + F.col("k_out") - 1)))
+        dealt = dealt.where("k_out > 0").select("grp", "cls", "label", "block", other.alias("o"))
+        dealt = dealt.select("grp", "cls", "label", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+        full = dealt.join(self.sets, "cls").select("grp", "i", "j", "cls", "label", "block", "members")
+        return full.groupBy("grp", "i", "j").applyInArrow(_tile(self.plan), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
