@@ -126,7 +126,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_i
     count = spans.withColumn("new", new).groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
     named = hits.join(_bounded(windows.select("wid", "items")), "wid").select("key", F.explode("items").alias("item"))
     ids = named.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids"))
-    found = count.join(ids, "key", "left").withColumnRenamed("key", "__row")
+    found = _bounded(materialise(count.join(ids, "key", "left").withColumnRenamed("key", "__row"), "contaminated"))
     size_of = docs.select(*(F.col(f"`{c}`") for c in kept), key.alias("__row"), F.size(words_of(F.col(f"`{text_col}`"))).cast("long").alias("n_words"))
     out = size_of.join(found, "__row", "left")
     none = F.array().cast("array<string>")

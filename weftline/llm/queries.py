@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import contamination, langid, minhash, nearest, packing, quality, sharding, sstable, urlfilter
+from weftline.llm import contamination, langid, minhash, nearest, packing, quality, sharding, sitestyle, sstable, urlfilter
 
 #: (verdict, host, path prefix) of the URL filter's query.
 URL_RULES = [
@@ -48,6 +48,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    out = sitestyle.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A uniform shuffle of whole documents into eight shards; sizes and checksums are of the rows as exchanged."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +107,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_url_filter": op3_url_filter,
+    "op4_html_text": op4_html_text,
     "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
     "op7_nearest_neighbours": op7_nearest_neighbours,
