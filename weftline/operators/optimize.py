@@ -36,7 +36,7 @@ def backtrack(f: Objective, x: np.ndarray, fx: float, slope: float, step: np.nda
             b = (-(last_t**3) * d1 + t**3 * d2) * div
             new = -slope / (2 * b) if abs(a) < 1e-300 else (-b + np.sqrt(max(b * b - 3 * a * slope, 0))) / (3 * a)
         last_t, last_f = t, ft
-        t = min(max(new, t * 0.1), t * 0.5)
+        t = min(max(new, t * 0.05), t * 0.5)
         ft, gt = f(x + t * step)
     return t, ft, gt
 
@@ -77,7 +77,7 @@ def lbfgs(f: Objective, x0, m: int = 10, max_iter: int = 1000, g_tol: float = 1e
         slope = float(g @ step)
         if slope >= 0:
             step, slope, past = -g, -float(g @ g), []
-        t, new, gn = backtrack(f, x, fx, slope, step, 1.0 if past else min(1.0, 1 / max(np.linalg.norm(g), 1e-300)))
+        t, new, gn = backtrack(f, x, fx, slope, step, 1.0)
         s, y = t * step, gn - g
         if s @ y > 1e-300:
             past = [*past, (s, y, 1 / (s @ y))][-m:]

@@ -56,7 +56,11 @@ class Forest:
         cast = F.filter(votes, lambda v: v.isNotNull())
         if self.classes is None:
             return F.try_divide(F.aggregate(cast, F.lit(0.0), lambda a, v: a + v), F.size(cast).cast("double"))
-        count = F.array(*(F.size(F.filter(cast, lambda v, i=i: v == i)) for i in range(len(self.classes))))
+
+        def votes_for(i: int) -> Column:
+            return F.size(F.filter(cast, lambda v: v == i))
+
+        count = F.array(*map(votes_for, range(len(self.classes))))
         best = F.array_position(count, F.array_max(count)).cast("int")
         return F.when(F.size(cast) > 0, F.element_at(F.array(*(F.lit(c) for c in self.classes)), best))
 
