@@ -122,11 +122,12 @@ def _impurity(counts: list[Column], n: Column, criterion: str) -> Column:
     raise FitFailed(f"unknown criterion {criterion}")
 
 
-def best_splits(rows: DataFrame, k: int | None, criterion: str = "gini", min_leaf: int = 1) -> DataFrame:
+def best_splits(rows: DataFrame, k: int | None, criterion: str = "gini", min_leaf: int = 1, midpoints: bool = True) -> DataFrame:
     """(tree, node, j, gain, threshold): each feature's best split of each node.
 
     ``rows`` are (tree, node, w, y, v); with ``k`` classes y is a class number,
-    else the target. Among equal gains the lowest threshold stands.
+    else the target. Among equal gains the lowest threshold stands; it lies
+    halfway between two values, or without ``midpoints`` on the lower one.
     """
     cells = rows.select("tree", "node", "w", "y", F.posexplode("v").alias("j", "x"))
     names = [f"c{i}" for i in range(k)] if k else ["s", "q"]
@@ -144,16 +145,20 @@ def best_splits(rows: DataFrame, k: int | None, criterion: str = "gini", min_lea
         power = lambda s: F.col(f"{s}_s") * F.col(f"{s}_s") / F.col(f"{s}_n")
         gain = power("l") + power("r") - power("t")
     run = run.where((F.col("l_n") >= min_leaf) & (F.col("r_n") >= min_leaf)).withColumn("gain", gain)
-    best = F.max_by(F.struct("gain", ((F.col("x") + F.col("next")) / 2).alias("threshold")), F.struct("gain", -F.col("x")))
+    best = F.max_by(F.struct("gain", ((F.col("x") + F.col("next")) / 2 if midpoints else F.col("x")).alias("threshold")), F.struct("gain", -F.col("x")))
     return run.groupBy("tree", "node", "j").agg(best.alias("b")).select("tree", "node", "j", "b.gain", "b.threshold")
 
 
+def _binned(x: Column, cuts: list[float]) -> Column:
+    return F.coalesce(F.array_min(F.filter(F.lit(sorted(set(cuts))), lambda t: t >= x)), F.lit(max(cuts) + 1.0))
+
+
 def _grow(df: DataFrame, columns: Sequence[str], y: Column, k: int | None, classes, trees: int, weight: Column | None, m: int, max_depth: int | None, min_leaf: int, min_split: int, criterion: str, seed: int, bins: int | None) -> Forest:
     v = [F.col(c).cast("double") for c in columns]
     if bins:
         cuts = df.agg(*(F.percentile_approx(c, [i / bins for i in range(1, bins)]) for c in v)).first()
         # A value becomes the least cut not below it; what lies above all cuts shares one value.
-        v = [F.coalesce(F.array_min(F.filter(F.lit(sorted(set(q))), lambda t, c=c: t >= c)), F.lit(max(q) + 1.0)) for c, q in zip(v, cuts, strict=True)]
+        v = [_binned(c, q) for c, q in zip(v, cuts, strict=True)]
     rows = df.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree") if trees > 1 else F.lit(0).alias("tree"), y.alias("y"), F.array(*v).alias("v"), *([weight.alias("__key")] if weight is not None else []))
     w = bootstrap(F.col("__key"), F.col("tree"), seed).cast("double") if weight is not None else F.lit(1.0)
     rows = materialise(rows.withColumn("w", w).where("w > 0").select("tree", F.lit(0).cast("long").alias("node"), "w", "y", "v"), "tree-rows")
@@ -192,7 +197,7 @@ def _grow(df: DataFrame, columns: Sequence[str], y: Column, k: int | None, class
         rows = rows.join(wanted, ["tree", "node"], "left_semi")
         found: dict[tuple[int, int], tuple] = {}
         allowed = _subsets(live, len(columns), m, seed)
-        for r in best_splits(rows, k, criterion, min_leaf).collect():
+        for r in best_splits(rows, k, criterion, min_leaf, not bins).collect():
             key = (r.tree, r.node)
             if r.j in allowed(key) and r.gain > 1e-12 and (key not in found or (r.gain, -r.j) > (found[key][0], -found[key][1])):
                 found[key] = (r.gain, r.j, r.threshold)
