@@ -1,9 +1,11 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A document's UTF-8 bytes are read whole, in overlapping chunks. Each filter
-looks at ``width`` adjoining bytes through a learned byte embedding; a chunk
-keeps each filter's largest response, and the mean and the maximum of the
-chunks' responses are combined into one probability.
+looks at ``width`` adjoining bytes through a learned byte embedding, and at one
+more input channel that tells where the bytes repeat what stood a few places
+before; a chunk keeps each filter's largest response, and the mean and the
+maximum of the chunks' responses are combined, with how short the document is,
+into one probability.
 
 The network is fitted on a bounded sample of labelled rows (``Settings``):
 at most ``sample_rows`` rows, taken in the order of a hash of their identifier
@@ -26,9 +28,11 @@ class Settings:
     embedding: int = 8
     chunk: int = 512
     stride: int = 448
-    sample_rows: int = 1500
-    sample_bytes: int = 6_000_000
-    epochs: int = 8
+    lags: int = 24
+    run: int = 8
+    sample_rows: int = 3000
+    sample_bytes: int = 12_000_000
+    steps: int = 940
     batch: int = 16
     rate: float = 0.01
     decay: float = 1e-4
@@ -44,25 +48,44 @@ class Network:
         self.p = {
             "emb": rng.normal(0, 0.5, (256, s.embedding)).astype(np.float32),
             "conv": rng.normal(0, 1 / np.sqrt(s.embedding * s.width), (s.width, s.embedding, s.filters)).astype(np.float32),
+            "again": rng.normal(0, 0.5, s.filters).astype(np.float32),
             "bias": np.zeros(s.filters, np.float32),
-            "out": np.zeros(2 * s.filters, np.float32),
+            "out": np.zeros(2 * s.filters + 1, np.float32),
             "shift": np.zeros(1, np.float32),
         }
 
     def _layout(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bytes, the bounds of chunks' filter places (begin, end), and each document's first chunk."""
+        """The bytes, the bounds of chunks' filter places (begin, end), and each document's first chunk.
+
+        Zero bytes stand before each document, so nothing in it depends on its neighbours.
+        """
         s, begins, ends, firsts, at = self.s, [], [], [0], 0
+        gap = b"\0" * (s.lags + s.run)
         padded = [b if len(b) >= s.width else b.ljust(s.width, b"\0") for b in raw]
         for b in padded:
             n = len(b) - s.width + 1
+            at += len(gap)
             c = np.arange(0, max(1, len(b) - (s.chunk - s.stride)), s.stride)
             begins.append(at + c)
             ends.append(at + np.minimum(c + s.chunk - s.width + 1, n))
             firsts.append(firsts[-1] + len(c))
             at += len(b)
-        return np.frombuffer(b"".join(padded), np.uint8), np.stack((np.concatenate(begins), np.concatenate(ends)), 1), np.array(firsts)
-
-    def _responses(self, data: np.ndarray) -> np.ndarray:
+        return np.frombuffer(gap + gap.join(padded) + gap, np.uint8), np.stack((np.concatenate(begins), np.concatenate(ends)), 1), np.array(firsts)
+
+    def _repeats(self, data: np.ndarray, n: int) -> np.ndarray:
+        """1 where ``run`` bytes from a place on equal those some 2 to ``lags`` places before."""
+        s, out = self.s, np.zeros(n, np.bool_)
+        for lag in range(2, s.lags + 1):
+            e, have = data[lag:] == data[:-lag], 1
+            while have < s.run:
+                step = min(have, s.run - have)
+                e = e[step:] & e[:-step]
+                have += step
+            m = min(len(e), n - lag)
+            out[lag : lag + m] |= e[:m]
+        return out.astype(np.float32)
+
+    def _responses(self, data: np.ndarray, again: np.ndarray) -> np.ndarray:
         """Filter responses at every place; two adjoining bytes are looked up at once."""
         s, n = self.s, len(data) - self.s.width + 1
         single = np.einsum("be,wef->wbf", self.p["emb"], self.p["conv"])
@@ -72,39 +95,46 @@ class Network:
             z += (single[w][:, None, :] + single[w + 1][None, :, :]).reshape(65536, -1).take(two[w : w + n], axis=0)
         if s.width % 2:
             z += single[-1].take(data[s.width - 1 :], axis=0)
+        z += again[:, None] * self.p["again"][None, :]
         return z
 
     def forward(self, raw: list[bytes]):
         data, spans, firsts = self._layout(raw)
-        z = np.vstack((self._responses(data), np.full((1, self.s.filters), -np.inf, np.float32)))
+        again = self._repeats(data, len(data) - self.s.width + 1)
+        z = np.vstack((self._responses(data, again), np.full((1, self.s.filters), -np.inf, np.float32)))
         pooled = np.maximum(np.maximum.reduceat(z, spans.ravel(), axis=0)[::2], 0)
         counts = np.diff(firsts)[:, None]
         mean = np.add.reduceat(pooled, firsts[:-1], axis=0) / counts
         most = np.maximum.reduceat(pooled, firsts[:-1], axis=0)
-        doc = np.hstack((mean, most))
+        short = np.exp(-np.array([[len(b)] for b in raw], np.float32) / 100)
+        doc = np.hstack((mean, most, short))
         logit = doc @ self.p["out"] + self.p["shift"]
-        return logit, (data, spans, firsts, z, pooled, doc)
+        return logit, (data, spans, firsts, z, pooled, doc, again)
 
     def score(self, raw: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.forward(raw)[0].astype(np.float64), -40, 40)))
 
     def gradient(self, raw: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         s, p = self.s, self.p
-        logit, (data, spans, firsts, z, pooled, doc) = self.forward(raw)
+        logit, (data, spans, firsts, z, pooled, doc, again) = self.forward(raw)
         d = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y) / len(y)
         g = {"out": d @ doc, "shift": d.sum(keepdims=True)}
         back = d[:, None] * p["out"][None, :]
         of = np.repeat(np.arange(len(raw)), np.diff(firsts))
         dp = back[of, : s.filters] / np.diff(firsts)[of, None]
-        dp += np.where(pooled == doc[of, s.filters :], back[of, s.filters :], 0)
+        most = slice(s.filters, 2 * s.filters)
+        # Overlapping chunks may share a maximum; each takes its part.
+        top = (pooled == doc[of, most]).astype(np.float32)
+        dp += top * (back[:, most] / np.add.reduceat(top, firsts[:-1], axis=0))[of]
         dp = np.where(pooled > 0, dp, 0)
-        g |= {"bias": dp.sum(0), "emb": np.zeros_like(p["emb"]), "conv": np.zeros_like(p["conv"])}
+        g |= {"bias": dp.sum(0), "again": np.zeros_like(p["again"]), "emb": np.zeros_like(p["emb"]), "conv": np.zeros_like(p["conv"])}
         for f in range(s.filters):
             rows = np.flatnonzero(dp[:, f])
             if not len(rows):
                 continue
             at = np.array([b + int(z[b:e, f].argmax()) for b, e in spans[rows]])
             w = dp[rows, f].astype(np.float32)
+            g["again"][f] = w @ again[at]
             for k in range(s.width):
                 byte = data[at + k]
                 g["conv"][k, :, f] += w @ p["emb"][byte]
@@ -115,14 +145,14 @@ class Network:
         s, rng = self.s, np.random.Generator(np.random.PCG64(self.s.seed + 1))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        step, total = 0, s.epochs * -(-len(raw) // s.batch)
-        for _ in range(s.epochs):
+        step = 0
+        while step < s.steps:
             order = rng.permutation(len(raw))
-            for i in range(0, len(order), s.batch):
+            for i in range(0, min(len(order), (s.steps - step) * s.batch), s.batch):
                 part = order[i : i + s.batch]
                 g = self.gradient([raw[j] for j in part], y[part])
                 step += 1
-                rate = s.rate * (1 - step / (total + 1))
+                rate = s.rate * (1 - step / (s.steps + 1))
                 for k, x in g.items():
                     x = x + s.decay * self.p[k]
                     m[k] = 0.9 * m[k] + 0.1 * x
