@@ -238,6 +238,20 @@ def _(spark, d):
     return _vec(spark, d).select("vec_id", (r6(vectors.total(v)) + 0.0).alias("total"), (r6(vectors.mean(v)) + 0.0).alias("mean"), r6(vectors.variance(v)).alias("var"), vectors.argmax(v).alias("argmax"), r6(vectors.norm2(v)).alias("norm2"), r6(vectors.norm(v, float("inf"))).alias("top"))
 
 
+@query("vector_differences", _V + ", p AS (SELECT e.vec_id, e.v v, q.v w FROM e, e q WHERE q.vec_id = 0) SELECT vec_id, round(list_max([abs(z[1] - z[2]) FOR z IN list_zip(v, w)]), 6) diff, list_max([abs(z[1] - z[2]) FOR z IN list_zip(v, w)]) <= 0.3 near, round(list_dot_product(v, w), 6) + 0.0 dot FROM p")
+def _(spark, d):
+    e = _vec(spark, d)
+    p = e.join(F.broadcast(e.where("vec_id = 0").select(F.col("v").alias("w"))), F.lit(True))
+    v, w = F.col("v"), F.col("w")
+    return p.select("vec_id", r6(vectors.max_diff(v, w)).alias("diff"), vectors.approximate_eq(v, w, 0.3).alias("near"), (r6(vectors.dot(v, w)) + 0.0).alias("dot"))
+
+
+@query("vector_unique", _V + ", u AS (SELECT vec_id, [round(x * 4) FOR x IN v] v FROM e) SELECT vec_id, len(list_distinct(v)) n, list_min(v) low, (list_sum([list_position(list_sort(list_distinct(v)), x) - 1 FOR x IN v]))::BIGINT places FROM u")
+def _(spark, d):
+    u = _vec(spark, d).select("vec_id", vectors.unique_with_indices(F.transform("v", lambda x: F.round(x * 4) + 0.0)).alias("u"))
+    return u.select("vec_id", F.size("u.values").cast("long").alias("n"), F.col("u.values")[0].alias("low"), F.aggregate("u.indices", F.lit(0).cast("long"), lambda a, x: a + x).alias("places"))
+
+
 @query("vector_softmax", _V + "SELECT vec_id, generate_subscripts(v, 1)::INT - 1 j, round(unnest([exp(x) / list_sum([exp(y) FOR y IN v]) FOR x IN v]), 6) p FROM e")
 def _(spark, d):
     return _vec(spark, d).select("vec_id", F.posexplode(vectors.softmax(F.col("v"))).alias("j", "p")).select("vec_id", "j", r6("p").alias("p"))
@@ -668,6 +682,14 @@ def _(spark, d):
     return out.select("p_partkey", r6("prediction").alias("prediction"))
 
 
+@query("grid_search")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 1000).alias("y"))
+    score = lambda t: -metrics.score(metrics.mean_squared_error(t, "y", "prediction"))
+    g = selection.grid_search(p, "p_partkey", lambda t, alpha: linear.ridge_regression(t, ["x"], "y", alpha), score, {"alpha": [1.0, 1e6]}, n_splits=3, shuffle=False)
+    return spark.createDataFrame([(float(a["alpha"]), s) for a, s in g.scores], "alpha double, score double")
+
+
 # -- sources, streams ------------------------------------------------------------------------------
 
 
@@ -693,6 +715,17 @@ def _(spark, d):
     return datasets.make_blobs(spark, 200, 3, 4, seed=5)
 
 
+@query("stream_scores", "SELECT count(*) n, round(sum(1 + 2 * value), 4) total FROM events")
+def _(spark, d):
+    events = table(spark, d, "events")
+    name = f"scores_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
+    scored = scoring.score_stream(stream, linear.LinearModel(("value",), (2.0,), 1.0)).groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("prediction").alias("total"))
+    q = scored.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/weftline/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("n", F.round("total", 4).alias("total"))
+
+
 @query("stream_stats", "SELECT count(value) value_n, round(avg(value), 6) value_mean, round(var_pop(value), 4) value_var FROM events")
 def _(spark, d):
     events = table(spark, d, "events")
