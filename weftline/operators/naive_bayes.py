@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.errors import FitFailed, ParametersError
 from weftline.frame import cells, small
+from weftline.session import materialise
 
 
 def _classes(df: DataFrame, label: str, priors: Sequence[float] | None) -> DataFrame:
@@ -43,6 +44,14 @@ class NaiveBayes:
     term: Column
     prepare: Column = None
 
+    def __post_init__(self):
+        # The fitted tables are small and used by every prediction, so they are made once.
+        self.classes, self.stats = materialise(self.classes, "nb-classes"), materialise(self.stats, "nb-stats")
+
+    @property
+    def n_features(self) -> int:
+        return self.stats.select("j").distinct().count()
+
     def scores(self, df: DataFrame, id_col: str, features: str = "features") -> DataFrame:
         """(id, label, score)."""
         long = cells(df, id_col, features)
