@@ -214,8 +214,10 @@ def write_tables(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/weftline/shards-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    if ":" not in folder.split("/", 1)[0]:
+        # A path without a scheme belongs to the default file system, for Spark and for the writers.
+        default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        folder = f"file://{folder}" if default.startswith("file:") else default.rstrip("/") + folder
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
     tie = F.xxhash64("t")
