@@ -9,12 +9,14 @@ go through the tokenizer as a whole. Both ways give the same ids.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
+from sys import byteorder
 
 import numpy as np
 
 #: Pre-tokens that one generation of the memory holds; two generations live at once.
-GENERATION = 250_000
+GENERATION = 400_000
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = " \n\t"
@@ -37,14 +39,18 @@ class _Memory(dict):
 
     def __init__(self, model, dtype):
         super().__init__()
-        self.model, self.dtype, self.old = model, dtype, {}
+        self.tokenize, self.code, self.old = model.tokenize, dtype.char, {}
         self.alphabet = str.maketrans({chr(b): c for b, c in _byte_alphabet().items()})
 
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
-            spelled = piece.encode().decode("latin-1").translate(self.alphabet)
-            got = np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
+            # Letters and marks of ASCII stand for themselves.
+            spelled = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = array(self.code, [t.id for t in self.tokenize(spelled)])
+            if byteorder == "big":
+                ids.byteswap()
+            got = ids.tobytes()
         self[piece] = got
         return got
 

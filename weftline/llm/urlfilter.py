@@ -25,6 +25,8 @@ PROBES = 3
 BITS_PER_KEY = 16
 #: Rules that a cascade may hold; their filters stay within 16 MB.
 MAX_RULES = 4_000_000
+#: Rules that are literals of the plan; longer lists become a table.
+PLAN_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -126,8 +128,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
     universe = materialise(urls.select(F.explode(keys_of(F.col("host"), F.col("path"), lengths)).alias("key")).distinct(), "url-keys")
     member = {}
     for verdict in ("allow", "block"):
-        own = [(h.translate(str.maketrans(_UPPER, _LOWER)) + p,) for v, h, p in rules if v == verdict]
-        member[verdict] = Cascade(spark.createDataFrame(own, "key string"), universe, f"url-{verdict}")
+        own = [h.translate(str.maketrans(_UPPER, _LOWER)) + p for v, h, p in rules if v == verdict]
+        listed = spark.range(1).select(F.explode(F.array(*map(F.lit, own)).cast("array<string>")).alias("key")) if len(own) <= PLAN_RULES else spark.createDataFrame([(k,) for k in own], "key string")
+        member[verdict] = Cascade(listed, universe, f"url-{verdict}")
     keyed = parsed.withColumn("__keys", keys_of(F.col("host"), F.col("path"), lengths))
 
     def longest(verdict: str) -> Column:
