@@ -222,6 +222,17 @@ def test_what_all_pages_of_a_host_share_goes(spark):
     assert got[99] == "Same words on all pages\nStory 99 of many\nmore 693"
 
 
+def test_the_tree_judges_marked_pages(spark):
+    page = lambda i: f"<body><article><h1>Story {i}</h1><p>Words {i * 7}</p><div class='x'><p>Same words on all pages</p></div></article></body>"
+    bare = lambda i: f"<body><div class='y'><p>Tale {i}</p></div><div class='z'><p>Shared by marked and bare</p></div></body>"
+    mixed = lambda i: bare(i) if i < 2 else f"<body><div class='z'><p>Shared by marked and bare</p></div><main><p>Tale {i}</p></main></body>"
+    rows = [(i, "http://h.org/", page(i)) for i in range(12)] + [(20 + i, "http://mixed.org/", mixed(i)) for i in range(12)] + [(40 + i, "http://copies.org/", page(1)) for i in range(5)] + [(50, "http://one.org/", page(1))]
+    got = {r.page_id: r.text for r in sitestyle.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3\nWords 21"
+    assert got[20] == "Tale 0" and got[25] == "Tale 5"
+    assert got[40] == got[50] == "Story 1\nWords 7\nSame words on all pages"
+
+
 def test_main_text_of_the_pages_table(spark):
     pages = queries.table(spark, SF, "pages")
     got = {r.page_id: r.text for r in sitestyle.main_text(pages).collect()}

@@ -6,9 +6,10 @@ there, the sequence of its children. The presentation importance of a node is
 the entropy of its styles over the m pages that have it, in base m; its content
 importance falls with the entropy of each content over those pages, so what all
 pages share counts for nothing. Both are combined with the weight
-GAMMA ** styles, and a node that only one page has is important. Branches whose
-importance is low are left out, as are branches whose tag or class names a
-role that is never main text; a page that marks its article keeps just that.
+GAMMA ** styles, and a node that only one page has is important. All pages of a
+host make its tree, and on every page branches whose importance is low are left
+out, as are branches whose tag or class names a role that is never main text.
+A page's mark of its article is a weight: MARKED inside, zero outside.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from weftline.session import materialise
 GAMMA, LOW = 0.9, 0.2
 #: A node is judged by its host only if so many pages have it.
 LEAST_PAGES = 4
+#: Weight of the importance of what a page marks as its article.
+MARKED = 2.0
 #: Rows of low-importance nodes that are broadcast at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -191,9 +194,6 @@ def _tree_rows(batches):
                 if not page:
                     continue
                 blocks, nodes = parse(page)
-                if any(b[2] for b in blocks):
-                    # The page marks its article; its branches are not looked up.
-                    continue
                 styles, content = {}, {}
                 for x in nodes:
                     styles.setdefault(x.path, []).append("|".join(x.kids))
@@ -206,12 +206,13 @@ def _tree_rows(batches):
                             host.append(h)
                             node.append(p)
                             kind.append(k)
-                            value.append(hash_of("\n".join(v)))
+                            # Whole texts must not fill the cache.
+                            value.append(hash_of.__wrapped__("\n".join(v)))
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], names=["host", "node", "kind", "value"])
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, pages, importance) of every node of the pages that mark no article."""
+    """(host, node, pages, importance) of every node of all pages."""
     named = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     rows = named.mapInArrow(_tree_rows, "host string, node long, kind int, value long")
     # Counts per value come first, partly before the shuffle, so no host meets in one task.
@@ -227,19 +228,27 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return node.select("host", "node", F.col("m").cast("long").alias("pages"), importance.alias("importance"))
 
 
+def _main_blocks(page: str, low: set[int], lower: set[int]) -> list[str]:
+    """The blocks of a page without those under nodes of low importance, ``lower`` being so even inside a marked article.
+
+    If nothing of the article is left, the mark says nothing and the page counts
+    as one without; if that has nothing either, as where all pages of a host are
+    copies, the article stays whole.
+    """
+    blocks = [b for b in parse(page)[0] if not b[1]] if page else []
+    marked = [b for b in blocks if b[2]]
+    left = [b for b in marked if not lower.intersection(b[3])] or [b for b in blocks if not low.intersection(b[3])] or marked
+    return [b[0] for b in left]
+
+
 def _texts(width: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for page, low in zip(part.column(width).to_pylist(), part.column(width + 1).to_pylist(), strict=True):
-                    blocks = parse(page)[0] if page else []
-                    if any(b[2] and not b[1] for b in blocks):
-                        out.append("\n".join(b[0] for b in blocks if b[2] and not b[1]))
-                    else:
-                        drop = set(low or ())
-                        out.append("\n".join(b[0] for b in blocks if not b[1] and not drop.intersection(b[3])))
+                for page, low, lower in zip(*(part.column(width + i).to_pylist() for i in range(3)), strict=True):
+                    out.append("\n".join(_main_blocks(page, set(low or ()), set(lower or ()))))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(width)), pa.array(out, pa.string())], names=[*part.schema.names[:width], "text"])
 
     return run
@@ -256,12 +265,13 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
     """
     cols = [c for c in (keep or pages.columns) if c not in ("text", "n_chars")]
     low = style_tree(pages, url_col, html_col).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW))
-    low = materialise(low.groupBy("host").agg(F.collect_list("node").alias("low")), "low-nodes")
+    lower = F.when(F.col("importance") * MARKED < LOW, F.col("node"))
+    low = materialise(low.groupBy("host").agg(F.collect_list("node").alias("low"), F.collect_list(lower).alias("lower")), "low-nodes")
     if low.select(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         low = F.broadcast(low)
     kept = [F.col(f"`{c}`") for c in cols]
     named = pages.select(*kept, F.col(f"`{html_col}`").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("__host"))
-    joined = named.join(low.withColumnRenamed("host", "__host"), "__host", "left").select(*kept, "__html", "low")
+    joined = named.join(low.withColumnRenamed("host", "__host"), "__host", "left").select(*kept, "__html", "low", "lower")
     schema = pages.select(*kept).schema.add("text", "string")
     out = joined.mapInArrow(_texts(len(cols)), schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))
