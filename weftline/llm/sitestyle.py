@@ -9,7 +9,9 @@ pages share counts for nothing. Both are combined with the weight
 GAMMA ** styles, and a node that only one page has is important. All pages of a
 host make its tree, and on every page branches whose importance is low are left
 out, as are branches whose tag or class names a role that is never main text.
-A page's mark of its article is a weight: MARKED inside, zero outside.
+A page's mark of its article is a weight: MARKED inside, zero outside. Within an
+article a role named by a class or id is a weight too, ROLE, on the importance
+that the tree gives; only where the tree cannot judge does the name decide.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ GAMMA, LOW = 0.9, 0.2
 LEAST_PAGES = 4
 #: Weight of the importance of what a page marks as its article.
 MARKED = 2.0
-#: Rows of low-importance nodes that are broadcast at most; beyond it both sides are shuffled.
+#: Weight of the importance of a node whose class or id names a role, inside an article.
+ROLE = 0.25
+#: Judged nodes that are broadcast at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
 # Fixed values of HTML: elements without an end tag, with raw text, and that break lines.
@@ -59,6 +63,14 @@ _NOISE_WORDS = frozenset(
 # Roles that are noise on the page but may be part of an article.
 _OUTER_TAGS = frozenset(["header"])
 _OUTER_WORDS = frozenset("header masthead banner topbar legal copyright skip rail".split())
+# What readers write differs on every page, so the tree cannot know it; these names decide anywhere.
+_READER_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+# Words that say nothing of a role; a name of other words besides ("share-price") is no role.
+_PLAIN_WORDS = frozenset(
+    "site page main primary secondary left right top bottom upper lower inner outer side first last box bar block container wrapper wrap content area section region zone slot unit panel group list links link item items row col column button buttons btn icon icons form field module component inline post posts article articles entry entries story stories thread count text title heading label mobile desktop sticky fixed the and of for in a to us js is has".split()
+)
+# Elements whose id is an anchor to their text.
+_ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 hgroup section p a li dt dd span b i em strong td th tr figure figcaption blockquote pre".split())
 _MAIN_TAGS = frozenset(["article", "main"])
 _MAIN_WORDS = frozenset("articlebody entry-content post-content article-content article-body main-content".split())
 
@@ -70,30 +82,47 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "sign", "noise", "main", "path", "kids")
+    __slots__ = ("tag", "sign", "noise", "named", "main", "path", "kids")
+
+    def __init__(self, tag, sign, noise, named, main, path):
+        self.tag, self.sign, self.noise, self.named, self.main, self.path, self.kids = tag, sign, noise, named, main, path, []
+
+
+@lru_cache(maxsize=65536)
+def _role_words(names: str) -> frozenset[str]:
+    """The role words of those names that consist of role words and plain words only."""
+    found = set()
+    for name in names.split():
+        words = set(_WORD.findall(name))
+        if words <= _NOISE_WORDS | _PLAIN_WORDS:
+            found |= words & _NOISE_WORDS
+    return frozenset(found)
 
-    def __init__(self, tag, sign, noise, main, path):
-        self.tag, self.sign, self.noise, self.main, self.path, self.kids = tag, sign, noise, main, path, []
 
+def _role(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bool]:
+    """(never main text, named so where the tree may object, marks the main text) of an element.
 
-def _role(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
-    """(never main text, marks the main text) of an element; ``inside`` tells that it is part of an article."""
+    ``inside`` tells that it is part of an article.
+    """
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
     main = tag in _MAIN_TAGS or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody" or bool(_MAIN_WORDS & set(named.split()))
     noise = tag in _NOISE_TAGS or not inside and tag in _OUTER_TAGS or attrs.get("role", "").lower() in _NOISE_ROLES or "hidden" in attrs
+    words = frozenset()
     if not main and not noise and named.strip():
-        words = _NOISE_WORDS.intersection(_WORD.findall(named))
-        noise = bool(words - _OUTER_WORDS if inside else words)
-    return noise, main
+        words = _role_words(attrs.get("class", "").lower() if tag in _ANCHORS else named)
+        if inside:
+            words -= _OUTER_WORDS
+        noise = bool(words and not inside or words & _READER_WORDS)
+    return noise, bool(words and not noise), main
 
 
 def parse(page: str):
-    """The blocks of a page, (text, noise, in article, nodes above), and all its nodes.
+    """The blocks of a page, (text, noise, in article, nodes above, those named for a role), and all its nodes.
 
     Blocks end at block elements and line breaks; end tags may be missing, and
     what follows an unclosed tag at the end of the page is dropped.
     """
-    root = _Node("#", "#", False, False, 0)
+    root = _Node("#", "#", False, False, False, 0)
     stack, nodes, blocks, text = [root], [root], [], []
 
     def flush():
@@ -101,7 +130,7 @@ def parse(page: str):
             line = _WHITE.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
             if line:
-                blocks.append((line, any(n.noise for n in stack), any(n.main for n in stack), tuple(n.path for n in stack[1:])))
+                blocks.append((line, any(n.noise for n in stack), any(n.main for n in stack), tuple(n.path for n in stack[1:]), tuple(n.path for n in stack if n.named)))
 
     def close(i: int):
         flush()
@@ -135,7 +164,7 @@ def parse(page: str):
                     else:
                         if any(x.tag in _SCOPE or x.tag == "p" for x in stack[i + 1 :]):
                             break
-                        if any(x.noise or x.main for x in stack[i:]):
+                        if any(x.noise or x.named or x.main for x in stack[i:]):
                             flush()
                         del stack[i:]
                     break
@@ -167,10 +196,10 @@ def parse(page: str):
         stack[-1].kids.append(sign)
         if tag in _VOID:
             continue
-        noise, main = _role(tag, attrs, any(x.main for x in stack))
-        if noise and not stack[-1].noise or main:
+        noise, role, main = _role(tag, attrs, any(x.main for x in stack))
+        if noise and not stack[-1].noise or role or main:
             flush()
-        node = _Node(tag, sign, noise, main, hash_of(f"{stack[-1].path} {sign}"))
+        node = _Node(tag, sign, noise, role, main, hash_of(f"{stack[-1].path} {sign}"))
         if not m.group(3).rstrip().endswith("/") or tag in _BLOCK:
             stack.append(node)
         nodes.append(node)
@@ -185,7 +214,7 @@ def hash_of(text: str) -> int:
 
 
 def _tree_rows(batches):
-    """(host, node, kind, value): for each page and node its style (0) and its content (1)."""
+    """(host, node, kind, value): for each page and node its style (0) and its content (1), and whether it is named for a role (2)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             host, node, kind, value = [], [], [], []
@@ -194,13 +223,13 @@ def _tree_rows(batches):
                 if not page:
                     continue
                 blocks, nodes = parse(page)
-                styles, content = {}, {}
+                styles, content, role = {}, {}, {x.path: [] for x in nodes if x.named}
                 for x in nodes:
                     styles.setdefault(x.path, []).append("|".join(x.kids))
-                for line, _, _, above in blocks:
+                for line, _, _, above, _ in blocks:
                     for p in above:
                         content.setdefault(p, []).append(line)
-                for k, of in ((0, styles), (1, content)):
+                for k, of in ((0, styles), (1, content), (2, role)):
                     for p, v in of.items():
                         if p:
                             host.append(h)
@@ -212,30 +241,32 @@ def _tree_rows(batches):
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, pages, importance) of every node of all pages."""
+    """(host, node, pages, importance, named) of every node of all pages; ``named`` counts those whose class or id names a role."""
     named = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     rows = named.mapInArrow(_tree_rows, "host string, node long, kind int, value long")
     # Counts per value come first, partly before the shuffle, so no host meets in one task.
     per = rows.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
     style, content = F.when(F.col("kind") == 0, F.col("c")), F.when(F.col("kind") == 1, F.col("c"))
     xlogx = lambda c: c * F.log(F.greatest(c, F.lit(1.0)))
-    node = per.groupBy("host", "node").agg(F.sum(style).alias("m"), F.count(style).alias("styles"), F.sum(xlogx(style)).alias("sx"), F.sum(content).alias("cm"), F.sum(xlogx(content)).alias("cx"))
+    node = per.groupBy("host", "node").agg(F.sum(style).alias("m"), F.count(style).alias("styles"), F.sum(xlogx(style)).alias("sx"), F.sum(content).alias("cm"), F.sum(xlogx(content)).alias("cx"), F.sum(F.when(F.col("kind") == 2, F.col("c"))).alias("named"))
     base = F.log(F.greatest("m", F.lit(2.0)))
     presentation = (base - F.col("sx") / F.col("m")) / base
     matter = F.coalesce(1 - F.col("cx") / F.col("cm") / base, F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), "styles")
     importance = F.when(F.col("m") <= 1, 1.0).otherwise((1 - weight) * presentation + weight * matter)
-    return node.select("host", "node", F.col("m").cast("long").alias("pages"), importance.alias("importance"))
+    return node.select("host", "node", F.col("m").cast("long").alias("pages"), importance.alias("importance"), F.coalesce("named", F.lit(0.0)).cast("long").alias("named"))
 
 
-def _main_blocks(page: str, low: set[int], lower: set[int]) -> list[str]:
-    """The blocks of a page without those under nodes of low importance, ``lower`` being so even inside a marked article.
+def _main_blocks(page: str, low: set[int], lower: set[int], own: set[int]) -> list[str]:
+    """The blocks of a page without those under nodes of low importance.
 
+    Inside a marked article just ``lower`` are so low, and of the nodes named for
+    a role those that are not ``own`` to their pages.
     If nothing of the article is left, the mark says nothing and the page counts
     as one without; if that has nothing either, as where all pages of a host are
     copies, the article stays whole.
     """
-    blocks = [b for b in parse(page)[0] if not b[1]] if page else []
+    blocks = [b for b in parse(page)[0] if not b[1] and own.issuperset(b[4])] if page else []
     marked = [b for b in blocks if b[2]]
     left = [b for b in marked if not lower.intersection(b[3])] or [b for b in blocks if not low.intersection(b[3])] or marked
     return [b[0] for b in left]
@@ -247,8 +278,8 @@ def _texts(width: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for page, low, lower in zip(*(part.column(width + i).to_pylist() for i in range(3)), strict=True):
-                    out.append("\n".join(_main_blocks(page, set(low or ()), set(lower or ()))))
+                for page, *nodes in zip(*(part.column(width + i).to_pylist() for i in range(4)), strict=True):
+                    out.append("\n".join(_main_blocks(page, *(set(x or ()) for x in nodes))))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(width)), pa.array(out, pa.string())], names=[*part.schema.names[:width], "text"])
 
     return run
@@ -264,14 +295,15 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
     these two names are replaced; an empty table stays empty.
     """
     cols = [c for c in (keep or pages.columns) if c not in ("text", "n_chars")]
-    low = style_tree(pages, url_col, html_col).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW))
-    lower = F.when(F.col("importance") * MARKED < LOW, F.col("node"))
-    low = materialise(low.groupBy("host").agg(F.collect_list("node").alias("low"), F.collect_list(lower).alias("lower")), "low-nodes")
-    if low.select(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+    is_low, is_own = F.col("importance") < LOW, (F.col("named") > 0) & (F.col("importance") * ROLE >= LOW)
+    judged = style_tree(pages, url_col, html_col).where((F.col("pages") >= LEAST_PAGES) & (is_low | is_own))
+    of = {"low": is_low, "lower": F.col("importance") * MARKED < LOW, "own": is_own}
+    low = materialise(judged.groupBy("host").agg(*(F.collect_list(F.when(is_so, F.col("node"))).alias(k) for k, is_so in of.items())), "low-nodes")
+    if low.select(F.coalesce(F.sum(F.size("low") + F.size("own")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
         low = F.broadcast(low)
     kept = [F.col(f"`{c}`") for c in cols]
     named = pages.select(*kept, F.col(f"`{html_col}`").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("__host"))
-    joined = named.join(low.withColumnRenamed("host", "__host"), "__host", "left").select(*kept, "__html", "low", "lower")
+    joined = named.join(low.withColumnRenamed("host", "__host"), "__host", "left").select(*kept, "__html", *of)
     schema = pages.select(*kept).schema.add("text", "string")
     out = joined.mapInArrow(_texts(len(cols)), schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))
