@@ -243,6 +243,24 @@ def test_role_words_inside_an_article(spark):
     assert got[20] == "Story 0\nRelated\nPolicy\nResults\nPrice"
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("a <svg class='i'/> b", "a b"),
+        ("a <svg><title>t</title><svg><text>x</text></svg><text>y</text></svg> b", "a b"),
+        ("a <svg width=1> b", "a b"),
+        ("a <math/> b <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x=1</annotation></math> c", "a b x=1 c"),
+        ("a <iframe src='u'> b", "a b"),
+        ("a <video src='u'/> b <object> c", "a b c"),
+        ("a <audio>none</audio> b <object>p<object>q</object>r</object> c", "a b c"),
+        ("a <svg><!-- </svg> --><text>y</text></svg> b <script>'<svg>'</script> c", "a b c"),
+    ],
+)
+def test_raw_elements_end_where_they_end(inner, want):
+    blocks = sitestyle.parse(f"<article><p>{inner}</p><p>end</p></article>")[0]
+    assert [b[0] for b in blocks] == [want, "end"]
+
+
 def test_main_text_of_the_pages_table(spark):
     pages = queries.table(spark, SF, "pages")
     got = {r.page_id: r.text for r in sitestyle.main_text(pages).collect()}

@@ -39,7 +39,11 @@ BROADCAST_ROWS = 200_000
 
 # Fixed values of HTML: elements without an end tag, with raw text, and that break lines.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object textarea title svg math canvas audio video".split())
+_RAW = frozenset("script style noscript template iframe object textarea title svg canvas audio video annotation annotation-xml".split())
+# Of these, what holds no markup: it ends at the first end tag, or with the page.
+_CODE = frozenset("script style textarea title".split())
+# Of these, what a slash ends in HTML.
+_FOREIGN = frozenset("svg annotation annotation-xml".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -116,14 +120,29 @@ def _role(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bo
     return noise, bool(words and not noise), main
 
 
+def _raw_ends(page: str, tag: str) -> dict[int, int]:
+    """Where each raw element of a tag ends, by the end of its start tag; elements without an end tag of their own are left out."""
+    ends, open_at = {}, []
+    for m in re.finditer(rf"<!--.*?-->|<(/?){re.escape(tag)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.I | re.S):
+        if m.group(2) is None:
+            continue
+        if not m.group(1):
+            if not (tag in _FOREIGN and m.group(2).endswith("/")):
+                open_at.append(m.end())
+        elif open_at:
+            ends[open_at.pop()] = m.end()
+    return ends
+
+
 def parse(page: str):
     """The blocks of a page, (text, noise, in article, nodes above, those named for a role), and all its nodes.
 
     Blocks end at block elements and line breaks; end tags may be missing, and
-    what follows an unclosed tag at the end of the page is dropped.
+    what follows an unclosed tag at the end of the page is dropped. A raw
+    element without an end tag is left out alone, unless it is code or a title.
     """
     root = _Node("#", "#", False, False, False, 0)
-    stack, nodes, blocks, text = [root], [root], [], []
+    stack, nodes, blocks, text, ends = [root], [root], [], [], {}
 
     def flush():
         if text:
@@ -174,9 +193,14 @@ def parse(page: str):
         if tag in _BLOCK:
             flush()
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             stack[-1].kids.append(tag)
-            at = end.end() if end else n
+            if tag in _CODE:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+            elif not (tag in _FOREIGN and m.group(3).endswith("/")):
+                if tag not in ends:
+                    ends[tag] = _raw_ends(page, tag)
+                at = ends[tag].get(at, at)
             continue
         if tag in _ENDS_P:
             for i in range(len(stack) - 1, 0, -1):
