@@ -167,6 +167,20 @@ def test_language_is_learnt(spark):
     assert (nothing.lang_pred, nothing.score) == ("und", 0.0)
 
 
+def test_a_long_row_does_not_end_the_sample(spark):
+    s = langid.Settings(sample_rows=40, sample_chars=4000, row_chars=1000)
+    rows = [(i, f"the words number {i}", "en") for i in range(200)] + [(1000 + i, "long " * 300, "en") for i in range(60)] + [(2000, "seltene Worte", "de"), (2001, "muy largo " * 300, "es"), (2003, "muy largo " * 200, "es"), (2004, "muy largo " * 220, "es")] + [(3000 + i, "12 34", "xx") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnable = {r.lang for r in docs.where(~quality.held_out(F.col("doc_id"))).select("lang").distinct().collect()} - {"xx"}
+    assert set(langid.fit(docs, s).languages) == learnable and "es" in learnable
+    found = docs.where("lang = 'en'")
+    q = quality.Settings(sample_rows=40, sample_bytes=4000, row_bytes=1000)
+    labels = found.select("doc_id", (F.col("doc_id") % 50 != 0).cast("int").alias("quality"))
+    got = quality.labelled_sample(found, labels, q, "doc_id", "text", "quality")
+    assert {y for _, y in got} == {0, 1} and len(got) >= 30 and sum(len(t) for t, _ in got) <= 4000
+    assert quality.pick([(0, "a", 9), (1, "a", 50), (2, "a", 9), (3, "b", 10)], {"a": 5, "b": 5}, 40) == [0, 2, 3]
+
+
 # -- 3 --------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ characters of the lower-cased text, other characters than letters folded into
 one space): the n-gram's share of the text times its inverse document
 frequency, which is counted over all learnable documents. Weights are trained
 by follow-the-regularised-leader with an elastic-net penalty on a bounded
-sample (``Settings``), most stay zero; the softmax's temperature is then set on
+sample (``Settings``) in which each language has its share, most stay zero; the softmax's temperature is then set on
 a part of the sample that training did not see.
 """
 
@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.llm.quality import held_out
+from weftline.llm.quality import bounded_sample, held_out
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+#: The same in Java's terms.
+_LETTERS = r"[\p{L}\p{Nl}\p{No}]"
 _FOLD = re.compile(r"[\W\d_]+")
 
 
@@ -31,6 +33,7 @@ class Settings:
     buckets: int = 1 << 15
     sample_rows: int = 2000
     sample_chars: int = 6_000_000
+    row_chars: int = 150_000
     calibration: float = 0.2
     epochs: int = 3
     alpha: float = 0.5
@@ -159,14 +162,8 @@ def fit(docs: DataFrame, s: Settings | None = None, id_col: str = "doc_id", text
     model = Model(s)
     df, n = document_frequencies(rows, s, text_col)
     model.idf = np.log((1 + n) / (1 + df)) + 1
-    some = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.length(text_col).alias("n"))
-    picked, held = [], 0
-    for r in some.orderBy(F.xxhash64("i"), "i", "l", "n").limit(s.sample_rows).toLocalIterator():
-        held += r.n
-        if held > s.sample_chars:
-            break
-        if has_letters(r.t):
-            picked.append((r.t, r.l))
+    some = rows.where(F.col(text_col).rlike(_LETTERS)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("c"), F.col(text_col).alias("t"), F.length(text_col).alias("n"))
+    picked = bounded_sample(some, s.sample_rows, s.sample_chars, s.row_chars)
     return train(picked, model) if picked else model
 
 

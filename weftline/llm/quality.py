@@ -7,9 +7,10 @@ before; a chunk keeps each filter's largest response, and the mean and the
 maximum of the chunks' responses are combined, with how short the document is,
 into one probability.
 
-The network is fitted on a bounded sample of labelled rows (``Settings``):
-at most ``sample_rows`` rows, taken in the order of a hash of their identifier
-and as long as they fit ``sample_bytes``. Scoring is distributed over all rows.
+The network is fitted on a bounded sample of labelled rows (``Settings``): at
+most ``sample_rows`` rows and ``sample_bytes``, each label having its share of
+both, in the order of a hash. A row that is longer than ``row_bytes`` or does not
+fit what is left is passed over. Scoring is distributed over all rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weftline.session import materialise
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -32,6 +35,7 @@ class Settings:
     run: int = 8
     sample_rows: int = 3000
     sample_bytes: int = 12_000_000
+    row_bytes: int = 300_000
     steps: int = 940
     batch: int = 16
     rate: float = 0.01
@@ -166,18 +170,65 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def shares(counts: dict, most: int) -> dict:
+    """How many rows each class gives to a sample of about ``most``: in proportion, a tenth of an even share at least."""
+    total, least = sum(counts.values()), max(1, most // (10 * max(1, len(counts))))
+    return {c: min(n, max(least, most * n // total)) for c, n in counts.items()}
+
+
+def pick(rows: list[tuple], quota: dict, size: int) -> list:
+    """Keys of (key, class, length) rows, in their order: those that fit what is left of their class's rows and size."""
+    total, taken, held, out = sum(quota.values()), dict.fromkeys(quota, 0), dict.fromkeys(quota, 0), []
+    for key, c, n in rows:
+        if taken[c] < quota[c] and held[c] + n <= size * quota[c] // total:
+            taken[c] += 1
+            held[c] += n
+            out.append(key)
+    return out
+
+
+def bounded_sample(rows: DataFrame, most: int, size: int, longest: int) -> list[tuple]:
+    """(text, class) of a sample of rows (i, t, c, n), n being the length of t, in the order of a hash.
+
+    Each class has its ``shares`` of ``most`` rows and of the summed length
+    ``size``. Rows longer than ``longest``, or than what is left of the share,
+    are passed over and the next is tried. A class of which no row fits gives its
+    shortest one, so no class is missing. Equal rows count once.
+    """
+    rows = rows.withColumn("h", F.xxhash64("i", "t"))
+    fits = F.col("n") <= longest
+    counts = {r.c: (r.all, r.fit) for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(fits, 1)).alias("fit")).collect()}
+    if not counts:
+        return []
+    quota = shares({c: a for c, (a, _) in counts.items()}, most)
+    # A part of the hash's range that has four times the rows asked, and some more.
+    part = F.lit(False)
+    for c, (_, fit) in counts.items():
+        share = min(1.0, (4 * quota[c] + 64) / max(fit, 1))
+        part = part | (F.col("c") == F.lit(c)) & (F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    some = materialise(rows.where(fits & part).select("h", "c", "n", "t").dropDuplicates(["h", "c"]), "sample")
+    # Only keys and lengths of the candidates come to the driver, then the texts that were picked.
+    seen = [((r.h, r.c), r.c, r.n) for r in some.select("h", "c", "n").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "c").collect()]
+    keys = pick(seen, quota, size)
+    texts = {(r.h, r.c): r.t for r in some.where(F.col("h").isin([h for h, _ in keys])).collect()} if keys else {}
+    out = [(texts[k], k[1]) for k in keys]
+    for c in sorted(counts.keys() - {c for _, c in keys}):
+        out += [(r.t, c) for r in rows.where(F.col("c") == F.lit(c)).orderBy("n", "h").limit(1).collect()]
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """The bounded sample: (text, label) of learnable rows in the order of a hash of the id."""
+    """The bounded sample: (text, label) of learnable rows, one for each identifier."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    ids = ids.groupBy(F.col(id_col).alias("i")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    some = ids.orderBy(F.xxhash64("i"), "i").limit(2 * s.sample_rows)
-    # At most 2 * sample_rows identifiers are broadcast.
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(some), "i")
+    ids = ids.groupBy(F.col(id_col).alias("i")).agg((F.avg(label_col) >= 0.5).cast("int").alias("c"))
+    # A hash's range is cut so that some 4 * sample_rows identifiers of each label are left, which are broadcast.
+    spot, part = F.pmod(F.xxhash64("i"), F.lit(1 << 30)), F.lit(False)
+    for r in ids.groupBy("c").count().collect():
+        part = part | (F.col("c") == r.c) & (spot <= int(min(1.0, (4 * s.sample_rows + 64) / r["count"]) * (1 << 30)))
+    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(ids.where(part)), "i")
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("t"))).where("r = 1")
-    sized = found.select("i", "t", "y", F.octet_length("t").alias("n")).orderBy(F.xxhash64("i"), "i").limit(s.sample_rows)
-    before = Window.orderBy(F.xxhash64("i"), "i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sized.withColumn("sum", F.sum("n").over(before)).where(F.col("sum") <= s.sample_bytes).select("t", "y").collect()
-    return [(r.t, r.y) for r in rows]
+    found = materialise(found.select("i", "t", "c", F.octet_length("t").alias("n")), "labelled")
+    return bounded_sample(found, s.sample_rows, s.sample_bytes, s.row_bytes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
