@@ -8,7 +8,8 @@ pigeonhole principle any pair within T agrees on some chunk but for ``errors``
 values. Enumerating the positions of those errors as wildcards turns the search
 into equality on keys: every pair within T shares a key.
 
-Documents with equal sets are one class from the start. Keys of many classes
+Documents with equal sets, told by two independent 64-bit sums, are one class
+from the start. Keys of many classes
 are never expanded into all pairs: each key's classes are first compared with
 its least one, and keys that then lie within one component are done. What
 remains falls into groups of classes joined by common keys. A group is cut into
@@ -79,17 +80,23 @@ def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least.astype(np.uint16)
 
 
+def _sums(values: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit sums that tell a set."""
+    return int(values.sum(dtype=np.uint64).astype(np.int64)), int(mix(values).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _sketches(plan: Plan):
     def run(batches):
         a, b, _ = plan.coefficients()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 n, h1, h2, sig = [], [], [], []
                 for s in shingle_sets(part.column(1).to_pylist(), plan.shingle_words):
+                    p, q = _sums(s)
                     n.append(len(s))
-                    h1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-                    h2.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
+                    h1.append(p)
+                    h2.append(q)
                     sig.append(signature(s, a, b).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "h1", "h2", "sig"])
 
@@ -138,13 +145,15 @@ def _near_signatures(plan: Plan):
 def _full_sets(plan: Plan):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                h1, sets = [], []
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                h1, h2, sets = [], [], []
                 for s in shingle_sets(part.column(1).to_pylist(), plan.shingle_words):
-                    h1.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
+                    p, q = _sums(s)
+                    h1.append(p)
+                    h2.append(q)
                     sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sets, pa.binary())], names=["h1", "h2", "members"])
 
     return run
 
@@ -231,9 +240,9 @@ class _Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
         sketched = self.docs.mapInArrow(_sketches(plan), "id long, n long, h1 long, h2 long, sig binary")
         self.rows = materialise(sketched, "sketches")
-        # One 64-bit sum names a class; the second sum guards it, so that sets meet only if both agree.
+        # A class is told by both sums; its number is given once, when the table is written.
         per = self.rows.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
-        self.classes = materialise(per.select(F.col("h1").alias("cls"), "first", "n", "sig", "copies"), "classes")
+        self.classes = materialise(per.withColumn("cls", F.monotonically_increasing_id()), "classes")
         self.links = None
         self.sets = None
 
@@ -256,20 +265,19 @@ class _Join:
         """Have the full sets of the classes ``need`` in ``self.sets``."""
         if self.sets is not None:
             need = need.join(self.sets.select("cls"), "cls", "left_anti")
-        # A class is read through its least id; ids may repeat or be null, so the sets found are matched by class.
-        ids = materialise(need.join(self.classes.select("cls", "first"), "cls").select("first").distinct(), "needed")
-        texts = self.docs.join(_bounded(ids), F.col("id").eqNullSafe(F.col("first")), "left_semi").select("id", "t")
-        found = texts.mapInArrow(_full_sets(self.plan), "cls long, members binary").dropDuplicates(["cls"])
-        if self.sets is not None:
-            found = found.join(self.sets.select("cls"), "cls", "left_anti")
-        found = materialise(found, "sets")
+        # A class is read through its least id; ids may repeat or be null, so the sets found are matched by their sums.
+        need = materialise(need.join(self.classes.select("cls", "first", "h1", "h2"), "cls"), "needed")
+        ids = _bounded(need.select("first").distinct())
+        texts = self.docs.join(ids, F.col("id").eqNullSafe(F.col("first")), "left_semi").select("id", "t")
+        found = texts.mapInArrow(_full_sets(self.plan), "h1 long, h2 long, members binary").join(_bounded(need.select("cls", "h1", "h2")), ["h1", "h2"])
+        found = materialise(found.select("cls", "members").dropDuplicates(["cls"]), "sets")
         self.sets = found if self.sets is None else self.sets.union(found)
 
     @staticmethod
     def mixed(open_: DataFrame) -> DataFrame:
         """The rows of keys that hold more than one component."""
         keys = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return materialise(open_.join(keys, "key", "left_semi"), "open")
+        return materialise(open_.join(_bounded(materialise(keys, "mixed-keys")), "key", "left_semi"), "open")
 
     def add(self, pairs: DataFrame) -> None:
         found = materialise(self.confirm(pairs), "confirmed")
@@ -279,16 +287,16 @@ class _Join:
         """(node, label) of the classes that have links."""
         keys = self.keys()
         shared = materialise(keys.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count(F.lit(1)).alias("c")).where("a < b"), "keys")
-        large = shared.where("c > 2").select("key")
-        members = keys.join(_bounded(large), "key", "left_semi").select("key", "cls")
-        members = materialise(members, "members")
+        # Each member of a larger key carries the key's least class, so no key has to meet in one task.
+        members = materialise(keys.join(_bounded(shared.where("c > 2").select("key", "a")), "key").select("key", "a", "cls"), "members")
         # Many keys hold the same classes; one of them stands for all.
-        alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s")).groupBy("c", "s").agg(F.min("key").alias("key"))
-        members = materialise(members.join(_bounded(materialise(alike.select("key"), "distinct-keys")), "key", "left_semi"), "members")
-        star = members.join(members.groupBy("key").agg(F.min("cls").alias("a")), "key").where("a < cls").select("a", F.col("cls").alias("b"))
+        alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *(F.sum(F.xxhash64("cls", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)))
+        alike = alike.groupBy("c", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+        members = materialise(members.join(_bounded(materialise(alike, "distinct-keys")), "key", "left_semi"), "members")
+        star = members.where("a < cls").select("a", F.col("cls").alias("b"))
         self.add(shared.where("c = 2").select("a", "b").union(star))
         labels = connected_components(self.links)
-        open_ = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+        open_ = members.join(_bounded(labels.withColumnRenamed("node", "cls")), "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
         open_ = self.mixed(open_)
         if open_.isEmpty():
             return labels
@@ -328,22 +336,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``plan.percent``; component_id is the least id that can be reached. Rows with
     a null text or no words are linked with nothing. Rows of a null id take part,
     but a null never names a component: with only such rows component_id is null
-    and kept is true. Repeated ids keep a row each. Other columns of ``docs`` are
-    not looked at; an empty table gives an empty table.
+    and kept is true. Repeated ids keep a row each. Very long texts are read whole,
+    a piece at a time. Nothing is decided by order, so ties do not arise. Other
+    columns of ``docs`` are not looked at; an empty table gives an empty table.
+    ``class_id`` spells a class's two sums, null without words.
     """
     join = _Join(docs, id_col, text_col, plan or Plan())
     labels = join.run()
     linked = join.classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls")
     least = linked.groupBy("label").agg(F.min("first").alias("comp"))
-    comp = linked.join(least, "label").select("cls", "comp")
-    named = join.classes.select("cls", "first", "copies").join(comp, "cls", "left").select("cls", F.coalesce("comp", "first").alias("comp"), "copies")
-    out = join.rows.select("id", "n", F.when(F.col("n") > 0, F.col("h1")).alias("cls")).join(named, "cls", "left")
+    comp = materialise(linked.join(least, "label").select("cls", "comp"), "components")
+    named = join.classes.select("h1", "h2", "cls", "first", "copies").join(_bounded(comp), "cls", "left")
+    named = named.select("h1", "h2", "cls", F.coalesce("comp", "first").alias("comp"), "copies")
+    # Texts without words have sums of their own, which are no class.
+    out = join.rows.select("id", "n", *(F.when(F.col("n") > 0, F.col(h)).alias(h) for h in ("h1", "h2"))).join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
-        F.col("cls").alias("class_id"),
+        F.when(F.col("n") > 0, F.concat(*(F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")))).alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
     )

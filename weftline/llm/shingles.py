@@ -22,6 +22,8 @@ _CODES[_SPACE] = 0
 _STEP = _U(0x9E3779B97F4A7C15)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _powers = np.ones(1, np.uint64)
+#: Bytes that are hashed at a time.
+PIECE = 1 << 18
 
 
 def _power_table(n: int) -> np.ndarray:
@@ -43,14 +45,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and the bounds of each text in them."""
+    """Hashes of all words of the texts, and the bounds of each text in them.
+
+    The bytes are read in pieces of about ``PIECE`` that end at a space, so the
+    arrays of a long text stay small; only a single longer word makes a longer piece.
+    """
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    begins, hashes, at = [], [], 0
+    while at < len(data):
+        stop = min(at + PIECE, len(data))
+        while True:
+            gaps = np.flatnonzero(_SPACE[data[at:stop]])
+            if len(gaps) or stop == len(data):
+                break
+            stop = min(stop + PIECE, len(data))
+        stop = at + int(gaps[-1]) + 1
+        b, h = _piece_hashes(data[at:stop])
+        begins.append(b + at)
+        hashes.append(h)
+        at = stop
+    return np.concatenate(hashes), np.concatenate(([0], np.searchsorted(np.concatenate(begins), ends)))
+
+
+def _piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes begin, and their hashes."""
     space = _SPACE[data]
     begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
-    bounds = np.concatenate(([0], np.searchsorted(begins, ends)))
     if not len(begins):
-        return np.empty(0, np.uint64), bounds
+        return begins, np.empty(0, np.uint64)
     place = np.arange(len(data), dtype=np.int64)
     at = np.zeros(len(data), np.int64)
     at[begins] = begins
@@ -59,7 +82,7 @@ def _word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place[space] = 0
     table = _power_table(int(place.max()) + 1)
     with np.errstate(over="ignore"):
-        return np.add.reduceat(_CODES[data] * table[place], begins), bounds
+        return begins, np.add.reduceat(_CODES[data] * table[place], begins)
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -73,7 +96,7 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
         b = (t or "").encode("utf-8", "surrogatepass").lower()
         raw.append(b)
         held += len(b)
-        if held > 4_000_000:
+        if held > PIECE:
             yield from _sets(raw, k)
             raw, held = [], 0
     yield from _sets(raw, k)
