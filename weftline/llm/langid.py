@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression.
 
 Features are TF-IDF weights of hashed character n-grams (one to three
-characters of the lower-cased text, other characters than letters folded into
-one space): the n-gram's share of the text times its inverse document
+characters of the lower-cased text, other characters than letters and their
+marks folded into one space): the n-gram's share of the text times its inverse document
 frequency, which is counted over all learnable documents. Weights are trained
 by follow-the-regularised-leader with an elastic-net penalty on a bounded
 sample (``Settings``) in which each language has its share, most stay zero; the softmax's temperature is then set on
@@ -12,19 +12,25 @@ a part of the sample that training did not see.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.quality import bounded_sample, held_out
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-#: The same in Java's terms.
-_LETTERS = r"[\p{L}\p{Nl}\p{No}]"
-_FOLD = re.compile(r"[\W\d_]+")
+#: Letters by their Unicode category, for Python and for Java.
+_LETTERS = r"\p{L}"
+_LETTER = regex.compile(_LETTERS)
+#: What stands between letters and their marks; the second form is the first on plain ASCII.
+_FOLD = regex.compile(r"[^\p{L}\p{M}]+")
+_FOLD_ASCII = re.compile("[^a-z]+")
+#: Characters whose n-grams are held at once.
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -53,21 +59,23 @@ class Model:
     temperature: float = 1.0
 
 
-def grams(text: str, s: Settings) -> np.ndarray:
-    """Buckets of all n-grams of a whole text, one after the other for each order."""
-    folded = f" {_FOLD.sub(' ', text.lower()).strip()} "
-    c = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out, h = [], np.zeros(len(c), np.uint32)
-    shift = np.uint32(32 - (s.buckets.bit_length() - 1))
-    for n in range(1, max(s.orders) + 1):
-        if len(c) < n:
-            break
-        with np.errstate(over="ignore"):
-            h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
-            if n in s.orders:
-                x = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-                out.append((x >> shift).astype(np.int32))
-    return np.concatenate(out) if out else np.empty(0, np.int32)
+def grams(text: str, s: Settings) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of a whole text, in pieces of bounded size."""
+    low = text.lower()
+    folded = f" {(_FOLD_ASCII if low.isascii() else _FOLD).sub(' ', low).strip()} "
+    shift, most = np.uint32(32 - (s.buckets.bit_length() - 1)), max(s.orders)
+    for at in range(0, len(folded), PIECE):
+        # A piece goes on by the rest of the n-grams that begin in it.
+        c = np.frombuffer(folded[at : at + PIECE + most - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        h = np.zeros(len(c), np.uint32)
+        for n in range(1, most + 1):
+            if len(c) < n:
+                break
+            with np.errstate(over="ignore"):
+                h = h[: len(c) - n + 1] * np.uint32(0x01000193) + c[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
+                if n in s.orders:
+                    x = (h[:PIECE] ^ (h[:PIECE] >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+                    yield (x >> shift).astype(np.int32)
 
 
 def has_letters(text: str | None) -> bool:
@@ -81,10 +89,12 @@ def document_frequencies(docs: DataFrame, s: Settings, text_col: str = "text") -
         df, n, seen = np.zeros(s.buckets + 1, np.int64), 0, np.zeros(s.buckets, np.uint8)
         part = np.zeros(s.buckets, np.uint8)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for value in batch.column(0):
+                t = value.as_py()
                 if has_letters(t):
                     seen[:] = 0
-                    seen[grams(t, s)] = 1
+                    for g in grams(t, s):
+                        seen[g] = 1
                     part += seen
                     n += 1
                     if n % 255 == 0:
@@ -103,7 +113,11 @@ def document_frequencies(docs: DataFrame, s: Settings, text_col: str = "text") -
 
 
 def _features(text: str, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    at, n = np.unique(grams(text, model.settings), return_counts=True)
+    count = np.zeros(model.settings.buckets, np.int64)
+    for g in grams(text, model.settings):
+        count += np.bincount(g, minlength=len(count))
+    at = np.flatnonzero(count)
+    n = count[at]
     return at, (n / n.sum() * model.idf[at] * model.settings.scale).astype(np.float64)
 
 
@@ -172,7 +186,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
 
     ``score`` is the calibrated probability of the language; a text that is null
     or has no letter gives ``und`` and 0. Ties go to the first language in order
-    of name. Columns of ``docs`` of these two names are replaced.
+    of name. Very long texts are read whole, a piece at a time; a row's result
+    depends on its text alone, so repeated rows and null identifiers make no
+    difference, and an empty table gives an empty table. Columns of ``docs`` of
+    these two names are replaced.
     """
     cols = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     s = model.settings
@@ -184,15 +201,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         languages, v, bias, temperature = shared.value
         for batch in batches:
             pred, score = [], []
-            for t in batch.column(len(cols)).to_pylist():
+            for value in batch.column(len(cols)):
+                t = value.as_py()
                 if not known or not has_letters(t):
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     continue
-                g, total = grams(t, s), np.zeros(len(languages))
-                for i in range(0, len(g), 100_000):
-                    total += v.take(g[i : i + 100_000], axis=0).sum(axis=0, dtype=np.float64)
-                o = (total / len(g) + bias) / temperature
+                n, total = 0, np.zeros(len(languages))
+                for g in grams(t, s):
+                    n += len(g)
+                    total += v.take(g, axis=0).sum(axis=0, dtype=np.float64)
+                o = (total / n + bias) / temperature
                 p = np.exp(o - o.max())
                 p /= p.sum()
                 best = int(p.argmax())

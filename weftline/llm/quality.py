@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from weftline.session import materialise
 
 
+#: Filter places whose responses scoring holds at once.
+PLACES = 1 << 17
+
+
 @dataclass(frozen=True)
 class Settings:
     filters: int = 12
@@ -76,47 +80,58 @@ class Network:
             at += len(b)
         return np.frombuffer(gap + gap.join(padded) + gap, np.uint8), np.stack((np.concatenate(begins), np.concatenate(ends)), 1), np.array(firsts)
 
-    def _repeats(self, data: np.ndarray, n: int) -> np.ndarray:
-        """1 where ``run`` bytes from a place on equal those some 2 to ``lags`` places before."""
-        s, out = self.s, np.zeros(n, np.bool_)
+    def _repeats(self, data: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """For the places from ``lo`` to ``hi``: 1 where ``run`` bytes from there equal those some 2 to ``lags`` places before."""
+        s, out = self.s, np.zeros(hi - lo, np.bool_)
         for lag in range(2, s.lags + 1):
-            e, have = data[lag:] == data[:-lag], 1
+            e, have = data[lo : hi + s.run] == data[lo - lag : hi + s.run - lag], 1
             while have < s.run:
                 step = min(have, s.run - have)
                 e = e[step:] & e[:-step]
                 have += step
-            m = min(len(e), n - lag)
-            out[lag : lag + m] |= e[:m]
+            out |= e[: hi - lo]
         return out.astype(np.float32)
 
-    def _responses(self, data: np.ndarray, again: np.ndarray) -> np.ndarray:
-        """Filter responses at every place; two adjoining bytes are looked up at once."""
-        s, n = self.s, len(data) - self.s.width + 1
-        single = np.einsum("be,wef->wbf", self.p["emb"], self.p["conv"])
-        two = data[:-1].astype(np.intp) * 256 + data[1:]
-        z = np.broadcast_to(self.p["bias"], (n, s.filters)).copy()
-        for w in range(0, s.width - 1, 2):
-            z += (single[w][:, None, :] + single[w + 1][None, :, :]).reshape(65536, -1).take(two[w : w + n], axis=0)
-        if s.width % 2:
-            z += single[-1].take(data[s.width - 1 :], axis=0)
+    def _responses(self, data: np.ndarray, again: np.ndarray, lo: int, hi: int, pairs: list[np.ndarray]) -> np.ndarray:
+        """Filter responses at the places from ``lo`` to ``hi``; two adjoining bytes are looked up at once."""
+        s = self.s
+        part = data[lo : hi + s.width]
+        two = part[:-1].astype(np.intp) * 256 + part[1:]
+        z = np.broadcast_to(self.p["bias"], (hi - lo, s.filters)).copy()
+        for w, table in zip(range(0, s.width, 2), pairs, strict=True):
+            z += table.take(two[w : w + hi - lo] if len(table) > 256 else part[w : w + hi - lo], axis=0)
         z += again[:, None] * self.p["again"][None, :]
         return z
 
-    def forward(self, raw: list[bytes]):
+    def _pairs(self) -> list[np.ndarray]:
+        """What each two bytes give at filter places 0 and 1, 2 and 3, and so on; an odd last place has a table of single bytes."""
+        single = np.einsum("be,wef->wbf", self.p["emb"], self.p["conv"])
+        out = [(single[w][:, None, :] + single[w + 1][None, :, :]).reshape(65536, -1) for w in range(0, self.s.width - 1, 2)]
+        return [*out, single[-1]] if self.s.width % 2 else out
+
+    def forward(self, raw: list[bytes], places: int | None = None):
+        """Logits, and what the gradient needs; chunks are pooled over at most about ``places`` places at a time."""
         data, spans, firsts = self._layout(raw)
-        again = self._repeats(data, len(data) - self.s.width + 1)
-        z = np.vstack((self._responses(data, again), np.full((1, self.s.filters), -np.inf, np.float32)))
-        pooled = np.maximum(np.maximum.reduceat(z, spans.ravel(), axis=0)[::2], 0)
+        pairs, got, i = self._pairs(), [], 0
+        again = z = None
+        while i < len(spans):
+            j = len(spans) if places is None else max(i + 1, int(np.searchsorted(spans[:, 1], spans[i, 0] + places, "right")))
+            lo, hi = (int(spans[i, 0]), int(spans[j - 1, 1])) if places else (self.s.lags, len(data) - self.s.lags)
+            again = self._repeats(data, lo, hi)
+            z = np.vstack((self._responses(data, again, lo, hi, pairs), np.full((1, self.s.filters), -np.inf, np.float32)))
+            got.append(np.maximum(np.maximum.reduceat(z, (spans[i:j] - lo).ravel(), axis=0)[::2], 0))
+            i = j
+        pooled = np.concatenate(got)
         counts = np.diff(firsts)[:, None]
         mean = np.add.reduceat(pooled, firsts[:-1], axis=0) / counts
         most = np.maximum.reduceat(pooled, firsts[:-1], axis=0)
         short = np.exp(-np.array([[len(b)] for b in raw], np.float32) / 100)
         doc = np.hstack((mean, most, short))
         logit = doc @ self.p["out"] + self.p["shift"]
-        return logit, (data, spans, firsts, z, pooled, doc, again)
+        return logit, (data, spans - self.s.lags, firsts, z, pooled, doc, again)
 
     def score(self, raw: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(raw)[0].astype(np.float64), -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.forward(raw, PLACES)[0].astype(np.float64), -40, 40)))
 
     def gradient(self, raw: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
         s, p = self.s, self.p
@@ -140,7 +155,7 @@ class Network:
             w = dp[rows, f].astype(np.float32)
             g["again"][f] = w @ again[at]
             for k in range(s.width):
-                byte = data[at + k]
+                byte = data[at + s.lags + k]
                 g["conv"][k, :, f] += w @ p["emb"][byte]
                 np.add.at(g["emb"], byte, w[:, None] * p["conv"][k, :, f][None, :])
         return g
@@ -242,8 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None, id_col: s
 def score(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and ``score``, a double from 0 to 1.
 
-    A null text counts as empty, an empty text as zero bytes of one chunk; long
-    texts are scored whole. A column of ``docs`` named score is replaced.
+    A null text counts as empty, an empty text as zero bytes of one chunk; very
+    long texts are scored whole, some chunks at a time. A row's score depends on
+    its text alone, so repeated rows, null identifiers and the order of rows make
+    no difference, and an empty table gives an empty table. A column of ``docs``
+    named score is replaced.
     """
     cols = [c for c in (keep or docs.columns) if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast((net.s, net.p))
@@ -253,10 +271,10 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", keep: list[str]
         model = Network(s)
         model.p = p
         for batch in batches:
-            raw = [(t or "").encode("utf-8", "replace") for t in batch.column(len(cols)).to_pylist()]
             got, part, held = [], [], 0
-            for b in raw:
-                if part and held + len(b) > 262_144:
+            for t in batch.column(len(cols)):
+                b = (t.as_py() or "").encode("utf-8", "replace")
+                if part and held + len(b) > PLACES:
                     got.append(model.score(part))
                     part, held = [], 0
                 part.append(b)
