@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import DecompositionFailed, FindFailed, FitFailed, ParametersError, ReadingError, SolutionFailed
 from weftline.functions import distance, kernels, vectors
-from weftline.operators import cluster, decomposition, linalg, linear, logistic, metrics, naive_bayes, neighbors, optimize, preprocessing, selection, svm, tree
+from weftline.operators import cluster, decomposition, linalg, linear, logistic, metrics, naive_bayes, neighbors, optimize, preprocessing, selection, solvers, svm, tree
 from weftline.sources import csv, datasets, models
 
 
@@ -175,8 +175,6 @@ def test_factorisations():
     for solve in (linalg.lu_solve, linalg.cholesky_solve, linalg.qr_solve):
         assert np.allclose(s @ solve(s, b), b)
     assert np.allclose(linalg.svd(s).solve(b), np.linalg.solve(s, b))
-    x, res, _ = linalg.biconjugate_gradient(s, b)
-    assert np.allclose(s @ x, b, atol=1e-6) and res < 1e-6
     e = linalg.evd(s, True)
     assert (np.diff(e.d) <= 0).all() and np.allclose(s @ e.v, e.v * e.d)
     assert np.allclose(sorted(linalg.evd(np.array([[0.0, 1], [-1, 0]]), False).e), [-1, 1])
@@ -188,6 +186,57 @@ def test_factorisations():
         linalg.qr_solve(np.ones((2, 2)), np.ones(2))
 
 
+def test_tall_factors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(70, 3)) @ np.diag([1, 100, 1e-3])
+    df, names = wide(spark, x.tolist(), [0.0] * 70)
+    df = df.repartition(40)
+    f = solvers.qr(df, names)
+    assert np.allclose(f.r.T @ f.r, x.T @ x) and np.allclose(np.tril(f.r, -1), 0)
+    q = np.array([r.q for r in f.q(df).orderBy("id").select("q").collect()])
+    assert np.allclose(q @ f.r, x) and np.allclose(q.T @ q, np.eye(3))
+    s = solvers.tall_svd(df, names)
+    assert np.allclose(s.s, np.linalg.svd(x)[1])
+    u = np.array([r.u for r in s.u(df).orderBy("id").select("u").collect()])
+    assert np.allclose(u * s.s @ s.v.T, x)
+    assert np.allclose(solvers.triangle(df.limit(2), names).shape, (3, 3))
+    with pytest.raises(FitFailed):
+        solvers.triangle(df.limit(0), names)
+    # Nearly dependent columns, which the squared matrix could not tell apart.
+    a = rng.normal(size=50)
+    near, _ = wide(spark, np.stack((a, a + 1e-9 * rng.normal(size=50)), 1).tolist(), (2 * a).tolist())
+    w = linear.linear_regression(near, ["f0", "f1"], "y", "qr").coefficients
+    assert abs(sum(w) - 2) < 1e-5
+    with pytest.raises(FitFailed):
+        linear.linear_regression(near.withColumn("f1", F.col("f0")), ["f0", "f1"], "y", "qr")
+
+
+def test_biconjugate_gradient(spark):
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(6, 6)) + 6 * np.eye(6), rng.normal(size=6)
+    cells = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(6) for j in range(6)], "i long, j long, value double")
+    right = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "i long, value double")
+    x, residual, steps = solvers.biconjugate_gradient(cells, right)
+    assert residual < 1e-9 and steps <= 12
+    assert np.allclose([r.value for r in x.orderBy("i").collect()], np.linalg.solve(a, b))
+    zero, residual, steps = solvers.biconjugate_gradient(cells, right.withColumn("value", F.lit(0.0)))
+    assert residual == 0 and steps == 0 and {r.value for r in zero.collect()} == {0.0}
+    with pytest.raises(SolutionFailed):
+        solvers.biconjugate_gradient(cells, right, tol=0)
+
+
+def test_impurities():
+    assert tree.impurity([0.5, 0.5], "gini") == 0.5
+    assert tree.impurity([0.5, 0.5], "entropy") == 1.0
+    assert tree.impurity([0.75, 0.25], "classification_error") == 0.25
+
+
+def test_importances_follow_the_criterion(spark):
+    df, names = wide(spark, [[0.0], [0.0], [1.0], [1.0]], [0, 0, 1, 1])
+    for criterion, want in (("gini", 0.5), ("entropy", 1.0), ("classification_error", 0.5)):
+        assert tree.decision_tree_classifier(df, names, "y", criterion).feature_importances() == [want]
+
+
 def test_decompositions(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4))
@@ -288,8 +337,13 @@ def test_machines(spark):
             svm.svc(df, "features", "y", bad)
     with pytest.raises(FitFailed):
         svm.svc(line, "features", "y", kernels.Linear())
-    with pytest.raises(FitFailed):
-        svm.svc(df, "features", "y", kernels.Linear(), max_rows=10)
+    few = svm.svc(df, "features", "y", kernels.RBF(0.5), landmarks=12)
+    assert len(few.vectors) == 12 and few.predict_class(df).where("prediction = y").count() >= 57
+    # With all rows as landmarks the machine is at the minimum: no small change of its weights lowers what it minimises.
+    m = svm.svc(df, "features", "y", kernels.RBF(0.5))
+    k, t = kernels.RBF(0.5).matrix(m.vectors, m.vectors), np.sign(m.vectors[:, 0])
+    cost = lambda w: 0.5 * w @ k @ w + np.maximum(0, 1 - t * (k @ w + m.bias)).sum()
+    assert all(cost(m.weights) <= cost(m.weights + 0.05 * rng.normal(size=len(t))) + 0.02 * cost(m.weights) for _ in range(50))
 
 
 def test_selection(spark):

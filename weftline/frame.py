@@ -42,4 +42,4 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def check_same_rows(n_x: int, n_y: int) -> None:
     if n_x != n_y:
-        raise ParametersError(f"size of x should equal size of y; |x|=[{n_x}], |y|=[{n_y}]")
+        raise ParametersError(f"{n_x} rows of features do not go with {n_y} targets")

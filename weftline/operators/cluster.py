@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.errors import FitFailed
 from weftline.functions.distance import Distance, euclidian, squared_euclidian
 from weftline.operators.components import connected_components
 from weftline.operators.neighbors import radius
+from weftline.operators.selection import numbered
 from weftline.session import materialise
 
 
 @dataclass(frozen=True)
 class KMeans:
-    """k centroids; they are literals of the plan, so assignment needs no join."""
+    """k centroids; they are one constant of the plan, so assignment needs no join."""
 
     centroids: tuple[tuple[float, ...], ...]
     sizes: tuple[int, ...] = ()
@@ -26,51 +30,111 @@ class KMeans:
     def nearest(self, features: Column) -> Column:
         """struct(d, cluster) of the nearest centroid, the lowest number among equals."""
         v = features.cast("array<double>")
-        each = [F.struct(squared_euclidian(v, F.array(*(F.lit(float(x)) for x in c))).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(self.centroids)]
-        return F.array_min(F.array(*each))
+        # The optimiser folds the text into one constant, whatever the number of centroids.
+        centres = F.from_json(F.lit(json.dumps(self.centroids)), "array<array<double>>")
+        return F.array_min(F.transform(centres, lambda c, i: F.struct(squared_euclidian(v, c).alias("d"), i.alias("cluster"))))
 
     def predict(self, df: DataFrame, features: str = "features", name: str = "cluster") -> DataFrame:
         return df.withColumn(name, self.nearest(F.col(features))["cluster"])
 
     def step(self, df: DataFrame, features: str = "features") -> KMeans:
-        """One pass of Lloyd's algorithm; a cluster without rows keeps its centroid."""
-        near = df.select(F.col(features).cast("array<double>").alias("v"), self.nearest(F.col(features)).alias("n"))
-        dims = len(self.centroids[0])
-        rows = near.groupBy("n.cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n.d").alias("d"), *(F.avg(F.col("v")[j]).alias(f"m{j}") for j in range(dims))).collect()
-        centres, sizes = list(self.centroids), [0] * len(self.centroids)
-        for r in rows:
-            centres[r["cluster"]] = tuple(r[f"m{j}"] for j in range(dims))
-            sizes[r["cluster"]] = r["c"]
-        return KMeans(tuple(centres), tuple(sizes), float(sum(r["d"] for r in rows)), self.n_iter + 1, False)
+        """One pass of Lloyd's algorithm; a cluster without rows keeps its centroid.
+
+        Tasks add up Arrow batches, so what is exchanged is k sums for each task.
+        """
+        centres = np.array(self.centroids, float)
+        k, dims = centres.shape
+
+        def run(batches):
+            total = np.zeros((k, dims + 2))
+            for v in _blocks(batches, dims):
+                d = _distances(v, centres)
+                near = d.argmin(1)
+                total[:, 0] += np.bincount(near, minlength=k)
+                total[:, 1] += np.bincount(near, weights=d[np.arange(len(v)), near], minlength=k)
+                np.add.at(total, (near, slice(2, None)), v)
+            used = np.repeat(total[:, 0] > 0, dims + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(used), pa.int64()), pa.array(total.ravel()[used])], names=["i", "s"])
+
+        total = np.zeros(k * (dims + 2))
+        for r in _vectors(df, features).mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+            total[r.i] = r.s
+        total = total.reshape(k, -1)
+        full = total[:, 0] > 0
+        centres[full] = total[full, 2:] / total[full, :1]
+        return KMeans(tuple(map(tuple, centres.tolist())), tuple(int(n) for n in total[:, 0]), float(total[:, 1].sum()), self.n_iter + 1, False)
+
+
+def _vectors(df: DataFrame, features: str) -> DataFrame:
+    return df.select(F.col(features).cast("array<double>").alias("v")).where("v is not null")
 
 
-def _plus_plus(df: DataFrame, k: int, features: str, seed: int) -> KMeans:
-    """k-means++ seeds: each next one is drawn with probability in proportion to its squared distance.
+def _blocks(batches, dims: int):
+    for b in batches:
+        for at in range(0, b.num_rows, 4096):
+            part = b.slice(at, 4096)
+            yield part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
 
-    The least of u ** (1 / d) turned round, an exponential race, draws it in one pass.
+
+def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, one centroid at a time, so equal rows are at distance zero exactly."""
+    return np.stack([((v - c) ** 2).sum(1) for c in centres], 1)
+
+
+def _spread_seeds(rows: DataFrame, k: int, seed: int, rounds: int = 5) -> KMeans:
+    """Seeds by a few rounds of oversampling, weighted and thinned to k.
+
+    In each round a row is taken with a probability in proportion to its squared
+    distance from what is taken already, 2 k rows expected, by a hash. The rows
+    taken, weighted by how many rows are nearest to them, are few: k of them are
+    drawn on the driver, each next one in proportion to weight and distance.
     """
-    v = df.select(F.col(features).cast("array<double>").alias("v"))
-    first = v.orderBy(F.xxhash64("v", F.lit(seed)), "v").first()
+    first = rows.orderBy(F.xxhash64("v", F.lit(seed)), "v").first()
     if first is None:
         raise FitFailed("there are no rows")
-    model = KMeans((tuple(first.v),))
-    for i in range(1, k):
-        u = (F.pmod(F.xxhash64("v", F.lit(seed), F.lit(i)), F.lit(2**53)) + 1) / float(2**53 + 1)
-        race = F.when(model.nearest(F.col("v"))["d"] > 0, -F.log(u) / model.nearest(F.col("v"))["d"]).otherwise(F.lit(float("inf")))
-        row = v.agg(F.min_by("v", F.struct(race.alias("r"), "v")).alias("v")).first()
-        model = KMeans((*model.centroids, tuple(row.v)))
-    return model
+    dims, taken = len(first.v), np.array([first.v])
+
+    def nearest(v: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        return _distances(v, marks).min(1)
+
+    for i in range(rounds):
+        cost = KMeans(tuple(map(tuple, taken.tolist()))).step(rows, "v").distortion
+        if cost == 0:
+            break
+        marks = taken
+
+        def run(batches, cost=cost, marks=marks):
+            for b in batches:
+                u = b.column(1).to_numpy(zero_copy_only=False)
+                at = 0
+                for v in _blocks([b], dims):
+                    hit = u[at : at + len(v)] * cost < 2 * k * nearest(v, marks)
+                    at += len(v)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(v[hit]), pa.list_(pa.float64()))], names=["v"])
+
+        u = (F.pmod(F.xxhash64("v", F.lit(seed), F.lit(i)), F.lit(2**53)) + 0.5) / float(2**53)
+        found = rows.select("v", u.alias("u")).mapInArrow(run, "v array<double>").distinct().collect()
+        if found:
+            taken = np.unique(np.vstack((taken, [r.v for r in found])), axis=0)
+    weight = np.array(KMeans(tuple(map(tuple, taken.tolist()))).step(rows, "v").sizes, float)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    picked = [int(rng.choice(len(taken), p=weight / weight.sum()))]
+    while len(picked) < k:
+        far = weight * nearest(taken, taken[picked])
+        picked.append(int(rng.choice(len(taken), p=far / far.sum())) if far.sum() > 0 else picked[0])
+    return KMeans(tuple(map(tuple, taken[picked].tolist())))
 
 
 def kmeans(df: DataFrame, k: int = 2, max_iter: int = 100, features: str = "features", seed: int = 0, init: KMeans | None = None) -> KMeans:
     """Lloyd's algorithm until the distortion no longer falls."""
     if k < 2:
-        raise FitFailed(f"invalid number of clusters: {k}")
+        raise FitFailed(f"{k} clusters asked, two are the least")
     if max_iter <= 0:
-        raise FitFailed(f"invalid maximum number of iterations: {max_iter}")
-    model, last = init or _plus_plus(df, k, features, seed), float("inf")
+        raise FitFailed(f"max_iter is {max_iter}, but at least one step is needed")
+    rows = materialise(_vectors(df, features), "points")
+    model, last = init or _spread_seeds(rows, k, seed), float("inf")
     for _ in range(max_iter):
-        new = model.step(df, features)
+        new = model.step(rows, "v")
         if new.distortion >= last:
             return KMeans(model.centroids, new.sizes, new.distortion, model.n_iter, True)
         model, last = new, new.distortion
@@ -109,9 +173,9 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Dist
     cluster that comes first.
     """
     if min_samples < 1:
-        raise FitFailed("min_samples should be > 0")
+        raise FitFailed(f"a core row needs at least one neighbour, not {min_samples}")
     if eps <= 0:
-        raise FitFailed("eps should be > 0")
+        raise FitFailed(f"a neighbourhood of radius {eps} is empty")
     near = materialise((radius(df, df, eps, id_col, features, distance) if pairs is None else pairs).select("query_id", "id"), "near")
     core = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_samples).select(F.col("query_id").alias("core"))
     core = materialise(core, "core")
@@ -119,7 +183,7 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Dist
     joined = connected_components(links).toDF("core", "root")
     root = materialise(core.join(joined, "core", "left").select("core", F.coalesce("root", "core").alias("root")), "roots")
     border = near.join(root, F.col("id") == F.col("core")).groupBy("query_id").agg(F.min("root").alias("first"))
-    numbers = root.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("long").alias("cluster"))
+    numbers = numbered(root.select("root").distinct(), ["root"], "cluster")
     # A border row goes to the cluster whose first row comes first, a core row to its own.
     label = df.withColumn("__id", F.col(id_col).cast("long")).join(root.withColumnRenamed("core", "__id"), "__id", "left").join(border.withColumnRenamed("query_id", "__id"), "__id", "left")
     label = label.withColumn("__r", F.coalesce("root", "first")).drop("root", "first", "__id")

@@ -37,7 +37,7 @@ def pca(df: DataFrame, columns: Sequence[str], n_components: int = 2, use_correl
     Each component's sign is fixed so that its largest loading is positive.
     """
     if not 0 < n_components <= len(columns):
-        raise FitFailed("Number of components, n_components should be <= number of attributes")
+        raise FitFailed(f"{n_components} components asked of {len(columns)} columns")
     g = gram(df, columns)
     m = g.cross / g.n
     sd = np.ones(len(columns))
@@ -55,7 +55,7 @@ def pca(df: DataFrame, columns: Sequence[str], n_components: int = 2, use_correl
 def truncated_svd(df: DataFrame, columns: Sequence[str], n_components: int = 2) -> Projection:
     """The leading right singular vectors of the uncentred rows."""
     if not 0 < n_components < len(columns):
-        raise FitFailed("Number of components, n_components should be < number of attributes")
+        raise FitFailed(f"{n_components} components asked, but they must be fewer than the {len(columns)} columns")
     g = gram(df, columns)
     e = evd(g.cross + g.n * np.outer(g.mean, g.mean), True)
     v = e.v[:, :n_components]

@@ -1,7 +1,7 @@
-"""Factorisations of small dense matrices on the driver, and the Gram aggregation that feeds them.
+"""The Gram aggregation, and the factorisations of the column-sized matrices that aggregations leave.
 
 Rows of a table never reach the driver: a model needs sums over rows whose size
-depends on the number of columns alone.
+depends on the number of columns alone. Tall tables are factored in ``solvers``.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def cholesky(a: np.ndarray) -> np.ndarray:
     """The lower factor of a symmetric positive definite matrix."""
     a = np.asarray(a, float)
     if a.ndim != 2 or a.shape[0] != a.shape[1]:
-        raise DecompositionFailed("can't do a Cholesky decomposition of a non-square matrix")
+        raise DecompositionFailed("only square matrices have a Cholesky factor")
     try:
         return np.linalg.cholesky(a)
     except np.linalg.LinAlgError as e:
@@ -160,32 +160,3 @@ def evd(a: np.ndarray, symmetric: bool) -> EVD:
     w, v = np.linalg.eigh(a) if symmetric else np.linalg.eig(a)
     order = np.argsort(-w.real, kind="stable")
     return EVD(w.real[order], w.imag[order], v[:, order])
-
-
-def biconjugate_gradient(a: np.ndarray, b: np.ndarray, tol: float = 1e-10, max_iter: int = 1000) -> tuple[np.ndarray, float, int]:
-    """(x, relative residual, iterations) with the diagonal as preconditioner."""
-    if tol <= 0:
-        raise SolutionFailed("tolerance should be > 0")
-    if max_iter <= 0:
-        raise SolutionFailed("maximum number of iterations should be > 0")
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    diag = np.where(np.diag(a) != 0, np.diag(a), 1.0)
-    x = np.zeros_like(b)
-    r = b - a @ x
-    rr = r.copy()
-    norm = np.linalg.norm(b) or 1.0
-    p = pp = np.zeros_like(b)
-    last = 1.0
-    for it in range(1, max_iter + 1):
-        z, zz = r / diag, rr / diag
-        rho = z @ rr
-        if rho == 0:
-            break
-        p, pp = (z, zz) if it == 1 else (z + rho / last * p, zz + rho / last * pp)
-        last = rho
-        q = a @ p
-        step = rho / (q @ pp)
-        x, r, rr = x + step * p, r - step * q, rr - step * (a.T @ pp)
-        if np.linalg.norm(r) / norm <= tol:
-            break
-    return x, float(np.linalg.norm(r) / norm), it

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.errors import FitFailed
 from weftline.operators.linalg import cholesky_solve, gram, svd
+from weftline.operators.solvers import least_squares
 
 
 @dataclass(frozen=True)
@@ -37,23 +38,20 @@ def _parts(df: DataFrame, columns: Sequence[str], y: str):
 
 def linear_regression(df: DataFrame, columns: Sequence[str], y: str, solver: str = "svd") -> LinearModel:
     """Ordinary least squares; ``svd`` gives the least-norm solution of deficient data, ``qr`` an error."""
-    g, xx, xy, mx, my = _parts(df, columns, y)
-    if solver == "svd":
-        w = svd(xx).solve(xy)
-    elif solver == "qr":
-        if np.linalg.matrix_rank(xx) < len(xx):
-            raise FitFailed("the matrix is rank deficient")
-        w = np.linalg.solve(xx, xy)
-    else:
-        raise FitFailed(f"unknown solver {solver}")
-    return LinearModel(tuple(columns), tuple(w.tolist()), float(my - w @ mx))
+    names = [*columns, y]
+    whole = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna()
+    means = whole.agg(*(F.avg(c) for c in names)).first()
+    if means[0] is None:
+        raise FitFailed("there are no rows")
+    w = least_squares(whole, columns, y, list(means), solver)
+    return LinearModel(tuple(columns), tuple(w.tolist()), float(means[-1] - w @ np.array(means[:-1])))
 
 
 def _scaled(g, xx, xy, columns):
     sd = g.std[:-1]
     flat = [c for c, s in zip(columns, sd, strict=True) if s < np.finfo(float).eps]
     if flat:
-        raise FitFailed(f"Cannot rescale constant column {flat[0]}")
+        raise FitFailed(f"column {flat[0]} has no variance to be scaled by")
     return sd, xx / np.outer(sd, sd), xy / sd
 
 
@@ -61,7 +59,7 @@ def ridge_regression(df: DataFrame, columns: Sequence[str], y: str, alpha: float
     """Least squares with alpha ||w||^2; without ``normalize`` there is no intercept and no centring."""
     g, xx, xy, mx, my = _parts(df, columns, y)
     if g.n <= len(columns):
-        raise FitFailed("Number of rows in X should be >= number of columns in X")
+        raise FitFailed(f"more rows than the {len(columns)} columns are needed")
     solve = cholesky_solve if solver == "cholesky" else lambda a, b: svd(a).solve(b)
     eye = np.eye(len(columns))
     if normalize:
@@ -90,11 +88,11 @@ def coordinate_descent(q: np.ndarray, c: np.ndarray, l1: float, l2: float, tol:
 
 def _checked(alpha: float, tol: float, max_iter: int) -> None:
     if alpha < 0:
-        raise FitFailed("alpha should be >= 0")
+        raise FitFailed(f"alpha is {alpha}, but a penalty cannot be negative")
     if tol <= 0:
-        raise FitFailed("tol should be > 0")
+        raise FitFailed(f"tol is {tol}, but must be positive")
     if max_iter <= 0:
-        raise FitFailed("max_iter should be > 0")
+        raise FitFailed(f"max_iter is {max_iter}, but at least one pass is needed")
 
 
 def elastic_net(df: DataFrame, columns: Sequence[str], y: str, alpha: float = 1.0, l1_ratio: float = 0.5, normalize: bool = True, tol: float = 1e-8, max_iter: int = 10_000, compat: bool = False) -> LinearModel:
@@ -121,5 +119,5 @@ def elastic_net(df: DataFrame, columns: Sequence[str], y: str, alpha: float = 1.
 def lasso(df: DataFrame, columns: Sequence[str], y: str, alpha: float = 1.0, normalize: bool = True, tol: float = 1e-8, max_iter: int = 10_000) -> LinearModel:
     """min |y_c - Zw|^2 + alpha n |w|_1."""
     if df.limit(len(columns) + 1).count() <= len(columns):
-        raise FitFailed("Number of rows in X should be >= number of columns in X")
+        raise FitFailed(f"more rows than the {len(columns)} columns are needed")
     return elastic_net(df, columns, y, alpha, 1.0, normalize, tol, max_iter)

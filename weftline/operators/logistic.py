@@ -93,7 +93,7 @@ def logistic_regression(df: DataFrame, columns: Sequence[str], label: str, alpha
     found = df.select(label).where(F.col(label).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()
     classes = tuple(sorted(r[0] for r in found))
     if len(classes) < 2:
-        raise FitFailed(f"incorrect number of classes: {len(classes)}. Should be >= 2.")
+        raise FitFailed(f"two classes are needed, the labels have {len(classes)}")
     if len(classes) > MAX_CLASSES:
         raise FitFailed(f"more than {MAX_CLASSES} classes")
     p, k = len(columns), len(classes)

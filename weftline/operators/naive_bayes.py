@@ -84,7 +84,7 @@ def gaussian(df: DataFrame, label: str, features: str = "features", priors: Sequ
 
 def _alpha(alpha: float) -> None:
     if alpha < 0:
-        raise FitFailed(f"alpha should be >= 0, alpha=[{alpha}]")
+        raise FitFailed(f"smoothing by {alpha} is negative")
 
 
 def multinomial(df: DataFrame, label: str, features: str = "features", alpha: float = 1.0, priors: Sequence[float] | None = None) -> NaiveBayes:

@@ -95,7 +95,7 @@ class KNNClassifier:
 
     def __post_init__(self):
         if self.k < 2:
-            raise ParametersError(f"k should be > 1, k=[{self.k}]")
+            raise ParametersError(f"a vote needs two neighbours at least, not {self.k}")
 
     def predict(self, queries: DataFrame) -> DataFrame:
         """(query_id, prediction): the label of most weight; among equals the one whose neighbour comes first."""
@@ -117,7 +117,7 @@ class KNNRegressor:
 
     def __post_init__(self):
         if self.k < 1:
-            raise ParametersError(f"k should be > 0, k=[{self.k}]")
+            raise ParametersError(f"a mean needs a neighbour at least, not {self.k}")
 
     def predict(self, queries: DataFrame) -> DataFrame:
         """(query_id, prediction): the weighted mean of the neighbours' targets."""

@@ -18,41 +18,54 @@ class Result:
     converged: bool
 
 
-def backtrack(f: Objective, x: np.ndarray, fx: float, slope: float, step: np.ndarray, t: float = 1.0, c1: float = 1e-4, cubic: bool = True, most: int = 60) -> tuple[float, float, np.ndarray]:
-    """(t, f, gradient) at a step length that decreases f enough; lengths follow a quadratic, then a cubic."""
-    last_t = last_f = None
-    ft, gt = f(x + t * step)
+def wolfe_step(f: Objective, x: np.ndarray, fx: float, g: np.ndarray, direction: np.ndarray, first: float = 1.0, decrease: float = 1e-4, flat: float = 0.9, most: int = 50) -> tuple[float, float, np.ndarray]:
+    """(t, f, gradient) at a step length that meets the strong Wolfe conditions.
+
+    f must fall by ``decrease`` of what the slope at zero promises, and the slope
+    must have shrunk to ``flat`` of its size. A length that is too long, or past
+    the minimum, closes the bracket from above; one that still falls steeply
+    moves its lower end. The next length is where a straight line through the
+    slopes at both ends is zero, kept off the ends, or twice the length while
+    the bracket is open. After ``most`` tries the best length that fell enough is taken.
+    """
+    start = float(g @ direction)
+    low, low_slope, high, high_slope = 0.0, start, np.inf, np.nan
+    best, t = (0.0, fx, g), first
     for _ in range(most):
-        if np.isfinite(ft) and ft <= fx + c1 * t * slope:
-            break
-        if not np.isfinite(ft):
-            new = t / 2
-        elif last_t is None or not cubic:
-            new = -slope * t * t / (2 * (ft - fx - slope * t))
+        ft, gt = f(x + t * direction)
+        slope = float(gt @ direction) if np.isfinite(ft) else np.nan
+        if not np.isfinite(ft) or ft > fx + decrease * t * start:
+            high, high_slope = t, np.nan
         else:
-            d1, d2 = ft - fx - slope * t, last_f - fx - slope * last_t
-            div = 1 / (t * t * last_t * last_t * (t - last_t))
-            a = (last_t**2 * d1 - t**2 * d2) * div
-            b = (-(last_t**3) * d1 + t**3 * d2) * div
-            new = -slope / (2 * b) if abs(a) < 1e-300 else (-b + np.sqrt(max(b * b - 3 * a * slope, 0))) / (3 * a)
-        last_t, last_f = t, ft
-        t = min(max(new, t * 0.05), t * 0.5)
-        ft, gt = f(x + t * step)
-    return t, ft, gt
+            if ft < best[1]:
+                best = (t, ft, gt)
+            if abs(slope) <= -flat * start:
+                return t, ft, gt
+            if slope < 0:
+                low, low_slope = t, slope
+            else:
+                high, high_slope = t, slope
+        if np.isinf(high):
+            t = 2 * t
+        else:
+            zero = low_slope / (low_slope - high_slope) if np.isfinite(high_slope) else 0.5
+            t = low + (high - low) * min(max(zero, 0.1), 0.9)
+        if high - low <= 1e-16 * max(1.0, low):
+            break
+    return best
 
 
 def gradient_descent(f: Objective, x0, max_iter: int = 10_000, g_rtol: float = float(np.sqrt(np.finfo(float).eps)), g_atol: float = float(np.finfo(float).eps)) -> Result:
-    """Steepest descent with a backtracking line search."""
+    """Steepest descent; each search begins at twice the step before."""
     x = np.asarray(x0, float)
     fx, g = f(x)
     goal, t, it = max(np.linalg.norm(g) * g_rtol, g_atol), 1.0, 0
     while it < max_iter and np.linalg.norm(g) > goal:
         it += 1
-        t, new, gn = backtrack(f, x, fx, -float(g @ g), -g, t)
-        if new >= fx and t < 1e-18:
+        step, new, gn = wolfe_step(f, x, fx, g, -g, t)
+        if step == 0:
             break
-        x, fx, g = x - t * g, new, gn
-        t *= 2
+        x, fx, g, t = x - step * g, new, gn, 2 * step
     return Result(x, fx, it, bool(np.linalg.norm(g) <= goal))
 
 
@@ -77,7 +90,9 @@ def lbfgs(f: Objective, x0, m: int = 10, max_iter: int = 1000, g_tol: float = 1e
         slope = float(g @ step)
         if slope >= 0:
             step, slope, past = -g, -float(g @ g), []
-        t, new, gn = backtrack(f, x, fx, slope, step, 1.0)
+        t, new, gn = wolfe_step(f, x, fx, g, step)
+        if t == 0:
+            return Result(x, fx, it, False)
         s, y = t * step, gn - g
         if s @ y > 1e-300:
             past = [*past, (s, y, 1 / (s @ y))][-m:]

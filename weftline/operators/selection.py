@@ -34,10 +34,10 @@ def _order(id_col: str, shuffle: bool, seed: int) -> list[Column]:
 def train_test_split(df: DataFrame, id_col: str, test_size: float, shuffle: bool = True, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test): the first floor(n * test_size) rows are the test set; the product is in single precision."""
     if not 0 < test_size <= 1:
-        raise ParametersError("test_size should be between 0 and 1")
+        raise ParametersError(f"a test share of {test_size} is not between 0 and 1")
     n_test = int(np.float32(df.count()) * np.float32(test_size))
     if n_test < 1:
-        raise ParametersError("number of samples should be greater than 0")
+        raise ParametersError("the test share leaves no test row")
     rows = numbered(df, _order(id_col, shuffle, seed), "__row")
     return rows.where(F.col("__row") >= n_test).drop("__row"), rows.where(F.col("__row") < n_test).drop("__row")
 
@@ -45,7 +45,7 @@ def train_test_split(df: DataFrame, id_col: str, test_size: float, shuffle: bool
 def k_fold(df: DataFrame, id_col: str, n_splits: int = 3, shuffle: bool = True, seed: int = 0, name: str = "fold") -> DataFrame:
     """``df`` with a fold number; folds are runs of rows, the first n % k of them a row longer."""
     if n_splits < 2:
-        raise ParametersError("Number of splits is too small: at least 2")
+        raise ParametersError(f"{n_splits} folds leave nothing to train on")
     n = df.count()
     size, more = divmod(n, n_splits)
     row = F.col("__row")

@@ -1,9 +1,12 @@
-"""Support vector machines: trained on a bounded set of rows, scored anywhere by expressions.
-
-The dual has a variable for each training row and needs its kernel with all
-others, so ``max_rows`` bounds the training set; more rows are an error, and a
-sample has to be taken before. Scoring is a kernel sum over the support
-vectors, which are literals of the plan.
+"""Support vector machines over all rows, by landmarks.
+
+A kernel machine is fitted in the space that a bounded sample of rows, the
+landmarks, spans: a row becomes its kernel values with the landmarks, turned so
+that inner products there approach the kernel (they equal it if every distinct
+row is a landmark). The machine is then linear, and objective and gradient
+over all rows are one aggregation an evaluation; no row but the landmarks
+reaches the driver. The corner of the loss is rounded over a width that shrinks
+from one search to the next.
 """
 
 from __future__ import annotations
@@ -11,11 +14,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.errors import FitFailed
+from weftline.operators.optimize import lbfgs
+from weftline.session import materialise
 
-MAX_ROWS = 5000
+#: Rows of the sample that spans the machine's space.
+LANDMARKS = 256
+#: Support vectors that are literals of a plan; more are scored in Arrow batches.
+PLAN_VECTORS = 16
+#: Widths over which the corner of the loss is rounded, in turn.
+WIDTHS = (0.5, 0.05)
 
 
 @dataclass(frozen=True)
@@ -28,9 +40,16 @@ class SupportVectors:
     def decision(self, features: Column) -> Column:
         """sum(w_i K(x_i, x)) + b."""
         v = features.cast("array<double>")
-        rows = F.array(*(F.struct(F.lit(float(w)).alias("w"), F.array(*(F.lit(float(x)) for x in s)).alias("s")) for w, s in zip(self.weights, self.vectors, strict=True)))
         if not len(self.vectors):
             return F.lit(float(self.bias))
+        if len(self.vectors) > PLAN_VECTORS:
+            kernel, vectors, weights, bias = self.kernel, self.vectors, self.weights, float(self.bias)
+
+            def score(x: pd.Series) -> pd.Series:
+                return pd.Series(kernel.matrix(np.stack(x.to_numpy()), vectors) @ weights + bias) if len(x) else pd.Series([], dtype=float)
+
+            return F.pandas_udf(score, "double")(v)
+        rows = F.array(*(F.struct(F.lit(float(w)).alias("w"), F.array(*(F.lit(float(x)) for x in s)).alias("s")) for w, s in zip(self.weights, self.vectors, strict=True)))
         return F.aggregate(rows, F.lit(float(self.bias)), lambda a, r: a + r["w"] * self.kernel.column(r["s"], v))
 
     def predict_class(self, df: DataFrame, features: str = "features", name: str = "prediction") -> DataFrame:
@@ -41,55 +60,93 @@ class SupportVectors:
         return df.withColumn(name, self.decision(F.col(features)))
 
 
-def _rows(df: DataFrame, features: str, y: str, kernel, max_rows: int):
+def _rows(df: DataFrame, features: str, y: str, kernel) -> DataFrame:
     if kernel is None:
-        raise FitFailed("kernel should be defined at this point, please use with_kernel()")
-    got = df.select(F.col(features).cast("array<double>").alias("v"), F.col(y).cast("double").alias("y")).limit(max_rows + 1).collect()
-    if len(got) > max_rows:
-        raise FitFailed(f"more than {max_rows} training rows; take a sample")
+        raise FitFailed("a machine needs a kernel")
+    rows = df.select(F.col(features).cast("array<double>").alias("v"), F.col(y).cast("double").alias("y")).where("v is not null and y is not null")
+    return materialise(rows, "machine")
+
+
+def _landmarks(rows: DataFrame, most: int) -> np.ndarray:
+    """The first ``most`` distinct vectors in the order of a hash; equal vectors meet before the order is taken."""
+    got = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(most).collect()
     if not got:
         raise FitFailed("there are no rows")
-    return np.array([r.v for r in got]), np.array([r.y for r in got])
-
-
-def _solve(q: np.ndarray, p: np.ndarray, y: np.ndarray, c: float, tol: float, max_iter: int) -> tuple[np.ndarray, float]:
-    """min 1/2 a'Qa + p'a with y'a = 0 and 0 <= a <= c, by the most violating pair; returns (a, b)."""
-    a, g = np.zeros(len(y)), p.astype(float).copy()
-    hi = lo = 0.0
-    for _ in range(max_iter):
-        up = ((y > 0) & (a < c)) | ((y < 0) & (a > 0))
-        down = ((y > 0) & (a > 0)) | ((y < 0) & (a < c))
-        score = -y * g
-        i, j = int(np.where(up, score, -np.inf).argmax()), int(np.where(down, score, np.inf).argmin())
-        hi, lo = score[i], score[j]
-        if hi - lo < tol:
-            break
-        curve = max(q[i, i] + q[j, j] - 2 * y[i] * y[j] * q[i, j], 1e-12)
-        step = (hi - lo) / curve
-        step = min(step, c - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else c - a[j])
-        a[i] += y[i] * step
-        a[j] -= y[j] * step
-        g += step * (y[i] * q[:, i] - y[j] * q[:, j])
-    return a, float((hi + lo) / 2)
-
-
-def svc(df: DataFrame, features: str, y: str, kernel, c: float = 1.0, tol: float = 1e-3, max_iter: int = 100_000, max_rows: int = MAX_ROWS) -> SupportVectors:
-    """A two-class machine; labels must be -1 and 1."""
-    x, t = _rows(df, features, y, kernel, max_rows)
-    if set(np.unique(t)) != {-1.0, 1.0}:
-        raise FitFailed("Classes must be labeled as 1 and -1")
-    a, b = _solve(np.outer(t, t) * kernel.matrix(x, x), -np.ones(len(t)), t, c, tol, max_iter)
-    keep = a > 1e-12
-    return SupportVectors(kernel, x[keep], (a * t)[keep], b)
-
-
-def svr(df: DataFrame, features: str, y: str, kernel, eps: float = 0.1, c: float = 1.0, tol: float = 1e-3, max_iter: int = 100_000, max_rows: int = MAX_ROWS) -> SupportVectors:
-    """Regression with an insensitive band of width eps."""
-    x, t = _rows(df, features, y, kernel, max_rows)
-    n, k = len(t), kernel.matrix(x, x)
-    sign = np.concatenate((np.ones(n), -np.ones(n)))
-    q = np.block([[k, -k], [-k, k]])
-    a, b = _solve(q, np.concatenate((eps - t, eps + t)), sign, c, tol, max_iter)
-    w = a[:n] - a[n:]
-    keep = np.abs(w) > 1e-12
-    return SupportVectors(kernel, x[keep], w[keep], b)
+    return np.array([r.v for r in got])
+
+
+def _rounded(z: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """max(z, 0) with its corner rounded over ``width``, and the slope."""
+    slope = np.clip(z / width, 0, 1)
+    return np.where(z < width, slope * z / 2, z - width / 2), slope
+
+
+def _fit(rows: DataFrame, kernel, c: float, eps: float | None, tol: float, max_iter: int, landmarks: int) -> SupportVectors:
+    """min 1/2 |w|^2 + c sum(loss); the loss is the hinge, or with ``eps`` what leaves a band of that half width."""
+    marks = _landmarks(rows, landmarks)
+    d, u = np.linalg.eigh(kernel.matrix(marks, marks))
+    keep = d > max(d.max(), 0) * 1e-10
+    if not keep.any():
+        raise FitFailed("the kernel is zero on all landmarks")
+    turn = u[:, keep] / np.sqrt(d[keep])
+    m = turn.shape[1]
+
+    def passed(f, size: int) -> np.ndarray:
+        """Sums over all rows of the ``size`` numbers that ``f`` makes of mapped rows and targets."""
+
+        def run(batches):
+            total = np.zeros(size)
+            for b in batches:
+                for at in range(0, b.num_rows, 2048):
+                    part = b.slice(at, 2048)
+                    v = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    total += f(kernel.matrix(v, marks) @ turn, part.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int64()), pa.array(total)], names=["i", "s"])
+
+        got = {r.i: r.s for r in rows.mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
+        return np.array([got[i] for i in range(size)])
+
+    first = passed(lambda x, y: np.concatenate((x.sum(0), [len(y), y.sum()])), m + 2)
+    n, mean, middle = first[m], first[:m] / first[m], first[m + 1] / first[m]
+    spread = passed(lambda x, y: ((x - mean) ** 2).sum(0), m)
+    # Variables are scaled by what the loss would curve them at most, so that one length fits all.
+    scale = 1 / np.sqrt(1 + c * spread)
+    tall = 1 / np.sqrt(max(c * n, 1e-300))
+    at = np.zeros(m + 1)
+    at[m] = (middle if eps is not None else 0.0) / tall
+    for width in WIDTHS:
+
+        def objective(q: np.ndarray, width: float = width) -> tuple[float, np.ndarray]:
+            w, b = q[:m] * scale, q[m] * tall
+
+            def part(x, y):
+                x = x - mean
+                t = x @ w + b
+                if eps is None:
+                    loss, slope = _rounded(1 - y * t, width)
+                    slope = -y * slope
+                else:
+                    over, up = _rounded(t - y - eps, width)
+                    under, down = _rounded(y - t - eps, width)
+                    loss, slope = over + under, up - down
+                return np.concatenate(([loss.sum(), slope.sum()], slope @ x))
+
+            s = passed(part, m + 2)
+            return float(0.5 * w @ w + c * s[0]), np.concatenate(((w + c * s[2:]) * scale, [c * s[1] * tall]))
+
+        at = lbfgs(objective, at, max_iter=max_iter, g_tol=tol, f_rtol=1e-9).x
+    w, b = at[:m] * scale, at[m] * tall
+    return SupportVectors(kernel, marks, turn @ w, float(b - w @ mean))
+
+
+def svc(df: DataFrame, features: str, y: str, kernel, c: float = 1.0, tol: float = 1e-3, max_iter: int = 200, landmarks: int = LANDMARKS) -> SupportVectors:
+    """A two-class machine over all rows with labels -1 and 1; rows with a null are left out."""
+    rows = _rows(df, features, y, kernel)
+    if {r.y for r in rows.select("y").distinct().limit(3).collect()} != {-1.0, 1.0}:
+        raise FitFailed("the two classes are told by -1 and 1, and both must occur")
+    return _fit(rows, kernel, c, None, tol, max_iter, landmarks)
+
+
+def svr(df: DataFrame, features: str, y: str, kernel, eps: float = 0.1, c: float = 1.0, tol: float = 1e-3, max_iter: int = 200, landmarks: int = LANDMARKS) -> SupportVectors:
+    """Regression over all rows with an insensitive band of width eps on each side."""
+    return _fit(_rows(df, features, y, kernel), kernel, c, eps, tol, max_iter, landmarks)

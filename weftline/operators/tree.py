@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from math import floor, sqrt
+from math import floor, log2, sqrt
 from random import Random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,7 +20,7 @@ from weftline.errors import FitFailed
 from weftline.frame import small
 from weftline.session import materialise
 
-#: Levels of a tree; node numbers double with each.
+#: Levels of a tree, as node numbers double with each; a tree without ``max_depth`` that needs more is an error.
 MAX_LEVELS = 60
 
 
@@ -122,14 +122,24 @@ def _impurity(counts: list[Column], n: Column, criterion: str) -> Column:
     raise FitFailed(f"unknown criterion {criterion}")
 
 
+def impurity(shares: Sequence[float], criterion: str) -> float:
+    """The same of numbers."""
+    if criterion == "gini":
+        return 1 - sum(s * s for s in shares)
+    if criterion == "entropy":
+        return -sum(s * log2(s) for s in shares if s > 0)
+    return 1 - max(shares)
+
+
 def best_splits(rows: DataFrame, k: int | None, criterion: str = "gini", min_leaf: int = 1, midpoints: bool = True) -> DataFrame:
     """(tree, node, j, gain, threshold): each feature's best split of each node.
 
-    ``rows`` are (tree, node, w, y, v); with ``k`` classes y is a class number,
-    else the target. Among equal gains the lowest threshold stands; it lies
+    ``rows`` are (tree, node, w, y, v), and maybe js, the features that the node
+    looks at; with ``k`` classes y is a class number, else the target. Among equal gains the lowest threshold stands; it lies
     halfway between two values, or without ``midpoints`` on the lower one.
     """
-    cells = rows.select("tree", "node", "w", "y", F.posexplode("v").alias("j", "x"))
+    each = F.posexplode("v").alias("j", "x") if "js" not in rows.columns else F.inline(F.transform("js", lambda j: F.struct(j.alias("j"), F.element_at("v", j + 1).alias("x"))))
+    cells = rows.select("tree", "node", "w", "y", each)
     names = [f"c{i}" for i in range(k)] if k else ["s", "q"]
     sums = [F.sum(F.when(F.col("y") == i, F.col("w")).otherwise(0.0)).alias(f"c{i}") for i in range(k)] if k else [F.sum(F.col("w") * F.col("y")).alias("s"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("q")]
     per = cells.groupBy("tree", "node", "j", "x").agg(F.sum("w").alias("n"), *sums)
@@ -172,9 +182,8 @@ def _grow(df: DataFrame, columns: Sequence[str], y: Column, k: int | None, class
         live = set()
         for t, node, n, *c in state:
             if k:
-                shares = [x / n for x in c]
                 value = max(range(k), key=lambda i: (c[i], -i))
-                imp = 1 - sum(s * s for s in shares)
+                imp = impurity([x / n for x in c], criterion)
                 pure = max(c) == n
                 small_node = n <= min_split
             else:
@@ -191,15 +200,17 @@ def _grow(df: DataFrame, columns: Sequence[str], y: Column, k: int | None, class
                     parent.right = got
             if not pure and not small_node:
                 live.add((t, node))
+        if level == depth and live and max_depth is None:
+            raise FitFailed(f"the tree needs more than {MAX_LEVELS} levels; set max_depth")
         if level == depth or not live:
             break
-        wanted = small(df.sparkSession.createDataFrame(sorted(live), "tree int, node long"))
-        rows = rows.join(wanted, ["tree", "node"], "left_semi")
+        # Features that a node does not look at are left out before anything is counted.
+        asked = [(t, node, sorted(Random(f"{seed}/{(t, node)}").sample(range(len(columns)), min(m, len(columns))))) for t, node in sorted(live)]
+        wanted = small(df.sparkSession.createDataFrame(asked, "tree int, node long, js array<int>"))
         found: dict[tuple[int, int], tuple] = {}
-        allowed = _subsets(live, len(columns), m, seed)
-        for r in best_splits(rows, k, criterion, min_leaf, not bins).collect():
+        for r in best_splits(rows.join(wanted, ["tree", "node"]), k, criterion, min_leaf, not bins).collect():
             key = (r.tree, r.node)
-            if r.j in allowed(key) and r.gain > 1e-12 and (key not in found or (r.gain, -r.j) > (found[key][0], -found[key][1])):
+            if r.gain > 1e-12 and (key not in found or (r.gain, -r.j) > (found[key][0], -found[key][1])):
                 found[key] = (r.gain, r.j, r.threshold)
         if not found:
             break
@@ -222,23 +233,10 @@ def _prune_half(n: Node) -> None:
         _prune_half(n.right)
 
 
-def _subsets(live, p: int, m: int, seed: int):
-    cache: dict = {}
-
-    def allowed(key):
-        if m >= p:
-            return range(p)
-        if key not in cache:
-            cache[key] = set(Random(f"{seed}/{key}").sample(range(p), m))
-        return cache[key]
-
-    return allowed
-
-
 def _classes(df: DataFrame, label: str) -> tuple:
     classes = tuple(sorted(r[0] for r in df.select(label).distinct().limit(1001).collect()))
     if not 2 <= len(classes) <= 1000:
-        raise FitFailed(f"Incorrect number of classes: {len(classes)}. Should be >= 2.")
+        raise FitFailed(f"two classes are needed, the labels have {len(classes)}")
     return classes
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import distance, kernels, scalar, vectors
-from weftline.operators import cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, svm, tree
+from weftline.operators import cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, solvers, svm, tree
 from weftline.operators.linalg import gram
 from weftline.session import shared_dir
 from weftline.sources import csv, datasets
@@ -305,11 +305,11 @@ def _(spark, d):
 
 def _pairs(spark, d):
     e = _vec(spark, d)
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("v").alias("w"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("w"))
     return e.join(F.broadcast(q), F.lit(True))
 
 
-_PAIRS = _V + ", p AS (SELECT e.vec_id, q.vec_id q, e.v v, q.v w FROM e, e q WHERE q.vec_id < 5) "
+_PAIRS = _V + ", p AS (SELECT e.vec_id, q.vec_id q, e.v v, q.v w FROM e, e q WHERE q.vec_id % 100 = 0) "
 _ZIP = "[({}) FOR z IN list_zip(v, w)]"
 _DIST = {
     "distance_euclidian": (distance.euclidian, "list_distance(v, w)"),
@@ -332,33 +332,33 @@ for _name, (_f, _sql) in _DIST.items():
 @query(
     "distance_mahalanobis",
     """WITH c AS (SELECT var_samp(l_quantity) a, covar_samp(l_quantity, l_extendedprice) b, var_samp(l_extendedprice) e, avg(l_quantity) mx, avg(l_extendedprice) my FROM lineitem),
-    z AS (SELECT l_quantity - mx x, l_extendedprice - my y, a, b, e FROM lineitem, c)
-    SELECT round(avg(sqrt((e * x * x - 2 * b * x * y + a * y * y) / (a * e - b * b))), 6) mean, round(max(sqrt((e * x * x - 2 * b * x * y + a * y * y) / (a * e - b * b))), 5) top FROM z""",
+    z AS (SELECT l_orderkey, l_linenumber, l_quantity - mx x, l_extendedprice - my y, a, b, e FROM lineitem, c)
+    SELECT l_orderkey, l_linenumber, round(sqrt((e * x * x - 2 * b * x * y + a * y * y) / (a * e - b * b)), 5) AS "value" FROM z""",
 )
 def _(spark, d):
-    li = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     g = gram(li, ["l_quantity", "l_extendedprice"])
     m = distance.mahalanobis(g.covariance())(F.array("l_quantity", "l_extendedprice"), F.array(*(F.lit(float(x)) for x in g.mean)))
-    return li.select(m.alias("m")).agg(r6(F.avg("m")).alias("mean"), F.round(F.max("m"), 5).alias("top"))
+    return li.select("l_orderkey", "l_linenumber", F.round(m, 5).alias("value"))
 
 
 def _train(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), "label", (F.col("label") * 1.5).alias("y"))
 
 
-_NEAR = _V + ", k AS (SELECT q.vec_id query_id, e.vec_id id, list_distance(e.v, q.v) d FROM e, e q WHERE q.vec_id < 20), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) rnk FROM k) "
+_NEAR = _V + ", k AS (SELECT q.vec_id query_id, e.vec_id id, list_distance(e.v, q.v) d FROM e, e q WHERE q.vec_id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) rnk FROM k) "
 
 
 @query("knn_search", _NEAR + "SELECT query_id, id, round(d, 6) distance, rnk::INT rnk FROM n WHERE rnk <= 4")
 def _(spark, d):
     t = _train(spark, d)
-    return neighbors.knn(t, t.where("id < 20"), 4).select("query_id", "id", r6("distance").alias("distance"), "rnk")
+    return neighbors.knn(t, t.where("id % 100 = 0"), 4).select("query_id", "id", r6("distance").alias("distance"), "rnk")
 
 
 @query("radius_search", _NEAR + "SELECT query_id, id, round(d, 6) distance FROM n WHERE d <= 1.25")
 def _(spark, d):
     t = _train(spark, d)
-    return neighbors.radius(t, t.where("id < 20"), 1.25).select("query_id", "id", r6("distance").alias("distance"))
+    return neighbors.radius(t, t.where("id % 100 = 0"), 1.25).select("query_id", "id", r6("distance").alias("distance"))
 
 
 @query(
@@ -378,13 +378,13 @@ def _(spark, d):
 @query("knn_classifier", _NEAR + ", v AS (SELECT query_id, label, count(*) w, min(rnk) r FROM n JOIN embeddings ON id = vec_id WHERE rnk <= 5 GROUP BY 1, 2) SELECT query_id, label prediction FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, r) k FROM v) WHERE k = 1")
 def _(spark, d):
     t = _train(spark, d)
-    return neighbors.KNNClassifier(t, "label", 5).predict(t.where("id < 20"))
+    return neighbors.KNNClassifier(t, "label", 5).predict(t.where("id % 100 = 0"))
 
 
 @query("knn_regressor", _NEAR + ", v AS (SELECT query_id, label * 1.5 y, CASE WHEN bool_or(d = 0) OVER (PARTITION BY query_id) THEN (d = 0)::INT::DOUBLE ELSE 1 / d END w FROM n JOIN embeddings ON id = vec_id WHERE rnk <= 5) SELECT query_id, round(sum(w * y) / sum(w), 6) prediction FROM v GROUP BY 1")
 def _(spark, d):
     t = _train(spark, d)
-    return neighbors.KNNRegressor(t, "y", 5, "distance").predict(t.where("id < 20")).select("query_id", r6("prediction").alias("prediction"))
+    return neighbors.KNNRegressor(t, "y", 5, "distance").predict(t.where("id % 100 = 0")).select("query_id", r6("prediction").alias("prediction"))
 
 
 # -- naive Bayes ---------------------------------------------------------------------
@@ -483,10 +483,62 @@ def _(spark, d):
     return _coef(spark, linear.elastic_net(_price(spark, d), ["l_quantity"], "y", 0.02, 0.5))
 
 
-@query("linear_predict", "SELECT count(*) n, round(avg(0.5 + 2 * l_quantity - l_tax), 6) mean FROM lineitem")
+@query("linear_predict", "SELECT l_orderkey, l_linenumber, round(0.5 + 2 * l_quantity - l_tax, 6) prediction FROM lineitem")
 def _(spark, d):
     m = linear.LinearModel(("l_quantity", "l_tax"), (2.0, -1.0), 0.5)
-    return m.predict(_price(spark, d)).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("prediction")).alias("mean"))
+    return m.predict(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", r6("prediction").alias("prediction"))
+
+
+_PARTS = [f"f{j}" for j in range(63)]
+
+
+@query("linear_regression_many", "SELECT j::INT j, 0.0::DOUBLE slope FROM range(64) t(j)")
+def _(spark, d):
+    """What least squares of one component on the others leaves is at right angles to each of them, and has no mean."""
+    e = _emb(spark, d)
+    left = linear.linear_regression(e, _PARTS, "f63").predict(e).withColumn("left", F.col("f63") - F.col("prediction"))
+    sums = F.array(*(F.round(F.avg(F.col("left") * (F.col(c) if c else 1.0)), 7) + 0.0 for c in [*_PARTS, None]))
+    return left.agg(sums.alias("s")).select(F.posexplode("s").alias("j", "slope"))
+
+
+@query("ridge_regression_many", "SELECT j::INT j, 0.0::DOUBLE slope FROM range(63) t(j)")
+def _(spark, d):
+    """At the minimum the slope of the squares is the penalty's, on scaled columns."""
+    e = _emb(spark, d)
+    m = linear.ridge_regression(e, _PARTS, "f63", 10.0)
+    left = F.col("f63") - m.expression()
+    sd = e.agg(*(F.stddev_pop(c) for c in _PARTS), *(F.avg(c) for c in _PARTS), F.count(F.lit(1))).first()
+    slopes = [F.round((F.sum(left * (F.col(c) - sd[63 + i])) / sd[i] - 10.0 * m.coefficients[i] * sd[i]) / sd[-1], 7) + 0.0 for i, c in enumerate(_PARTS)]
+    return e.agg(F.array(*slopes).alias("s")).select(F.posexplode("s").alias("j", "slope"))
+
+
+@query("tall_qr", "WITH s AS (SELECT sum(l_quantity ** 2) a, sum(l_quantity * l_extendedprice / 1000) b, sum((l_extendedprice / 1000) ** 2) c FROM lineitem) SELECT round(sqrt(a), 4) r00, round(b / sqrt(a), 4) r01, round(sqrt(c - b * b / a), 4) r11 FROM s")
+def _(spark, d):
+    r = solvers.qr(_price(spark, d), ["l_quantity", "y"]).r
+    return spark.createDataFrame([tuple(round(float(v), 4) for v in (r[0, 0], r[0, 1], r[1, 1]))], "r00 double, r01 double, r11 double")
+
+
+@query("tall_qr_rows", "WITH s AS (SELECT sum(l_quantity ** 2) a, sum(l_quantity * l_extendedprice / 1000) b, sum((l_extendedprice / 1000) ** 2) c FROM lineitem) SELECT l_orderkey, l_linenumber, round(l_quantity / sqrt(a), 7) q0, round((l_extendedprice / 1000 - l_quantity * b / a) / sqrt(c - b * b / a), 7) + 0.0 q1 FROM lineitem, s")
+def _(spark, d):
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
+    q = solvers.qr(df, ["l_quantity", "y"]).q(df)
+    return q.select("l_orderkey", "l_linenumber", F.round(F.col("q")[0], 7).alias("q0"), (F.round(F.col("q")[1], 7) + 0.0).alias("q1"))
+
+
+@query("tall_svd", "WITH s AS (SELECT sum(l_quantity ** 2) a, sum(l_quantity * l_extendedprice / 1000) c, sum((l_extendedprice / 1000) ** 2) b FROM lineitem) SELECT k, round(sqrt((a + b + s * sqrt((a - b) ** 2 + 4 * c * c)) / 2), 4) v FROM s, (VALUES (0, 1), (1, -1)) t(k, s)")
+def _(spark, d):
+    s = solvers.tall_svd(_price(spark, d), ["l_quantity", "y"]).s
+    return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(s)], "k int, v double")
+
+
+@query("biconjugate_gradient", "SELECT n_nationkey::BIGINT i, round(n_regionkey + n_nationkey / 10.0, 6)::DOUBLE AS \"value\" FROM nation")
+def _(spark, d):
+    """A system that is not symmetric, made from its solution."""
+    x = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), (F.col("n_regionkey") + F.col("n_nationkey") / 10.0).alias("value"))
+    cell = lambda step, v: x.select("i", (F.col("i") + step).alias("j"), F.lit(v).alias("value"))
+    a = cell(0, 4.0).union(cell(1, -1.0)).union(cell(-1, -0.5)).join(x.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j", "value")
+    found, _, _ = solvers.biconjugate_gradient(a, matrix.matvec(a, x))
+    return found.select("i", (r6("value") + 0.0).alias("value"))
 
 
 _EIG = "WITH s AS (SELECT count(*)::DOUBLE n, var_pop(l_quantity) a, var_pop(l_extendedprice / 1000) b, covar_pop(l_quantity, l_extendedprice / 1000) c FROM lineitem) "
@@ -500,30 +552,52 @@ def _(spark, d):
     return spark.createDataFrame([(i, round(float(v) / n, 5)) for i, v in enumerate(p.eigenvalues)], "k int, v double")
 
 
-@query("pca_scores", _EIG + "SELECT round((a + b + sqrt((a - b) ** 2 + 4 * c * c)) / 2, 5) v0, round((a + b - sqrt((a - b) ** 2 + 4 * c * c)) / 2, 5) v1, 0.0::DOUBLE m0 FROM s")
+# The eigenvector of the larger eigenvalue v of [[a, c], [c, b]] is (c, v - a), turned so that its larger part is positive.
+_AXIS = "w AS (SELECT *, (a + b + sqrt((a - b) ** 2 + 4 * c * c)) / 2 v FROM s), e AS (SELECT *, CASE WHEN CASE WHEN abs(c) >= abs(v - a) THEN c ELSE v - a END < 0 THEN -1 ELSE 1 END / sqrt(c * c + (v - a) ** 2) k FROM w) "
+
+
+@query("pca_scores", "WITH s AS (SELECT var_pop(l_quantity) a, var_pop(l_extendedprice / 1000) b, covar_pop(l_quantity, l_extendedprice / 1000) c, avg(l_quantity) mx, avg(l_extendedprice / 1000) my FROM lineitem), " + _AXIS + "SELECT l_orderkey, l_linenumber, round(k * (c * (l_quantity - mx) + (v - a) * (l_extendedprice / 1000 - my)), 5) + 0.0 pc0 FROM lineitem, e")
 def _(spark, d):
-    df = _price(spark, d)
-    t = decomposition.pca(df, ["l_quantity", "y"], 2).transform(df)
-    return t.agg(F.round(F.var_pop("pc0"), 5).alias("v0"), F.round(F.var_pop("pc1"), 5).alias("v1"), F.abs(F.round(F.avg("pc0"), 5)).alias("m0"))
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
+    return decomposition.pca(df, ["l_quantity", "y"], 2).transform(df).select("l_orderkey", "l_linenumber", (F.round("pc0", 5) + 0.0).alias("pc0"))
 
 
-@query("truncated_svd", "WITH s AS (SELECT count(*) n, avg(l_quantity ** 2) a, avg((l_extendedprice / 1000) ** 2) b, avg(l_quantity * l_extendedprice / 1000) c FROM lineitem) SELECT round((a + b + sqrt((a - b) ** 2 + 4 * c * c)) / 2, 5) v FROM s")
+@query("truncated_svd", "WITH s AS (SELECT avg(l_quantity ** 2) a, avg((l_extendedprice / 1000) ** 2) b, avg(l_quantity * l_extendedprice / 1000) c FROM lineitem), " + _AXIS + "SELECT l_orderkey, l_linenumber, round(k * (c * l_quantity + (v - a) * l_extendedprice / 1000), 5) + 0.0 pc0 FROM lineitem, e")
 def _(spark, d):
-    df = _price(spark, d)
-    return decomposition.truncated_svd(df, ["l_quantity", "y"], 1).transform(df).agg(F.round(F.avg(F.col("pc0") * F.col("pc0")), 5).alias("v"))
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
+    return decomposition.truncated_svd(df, ["l_quantity", "y"], 1).transform(df).select("l_orderkey", "l_linenumber", (F.round("pc0", 5) + 0.0).alias("pc0"))
 
 
-@query("logistic_score", "SELECT count(*) n, sum(CASE WHEN 1 / (1 + exp(-(-3 + 0.1 * l_quantity))) > 0.5 THEN 1 ELSE 0 END)::BIGINT ones FROM lineitem")
+@query("logistic_score", "SELECT l_orderkey, l_linenumber, CASE WHEN -3 + 0.1 * l_quantity > 0 THEN 1 ELSE 0 END prediction FROM lineitem")
 def _(spark, d):
     m = logistic.LogisticModel(("l_quantity",), (0, 1), [[0.1]], [-3.0])
-    return m.predict(_price(spark, d)).agg(F.count(F.lit(1)).alias("n"), F.sum("prediction").cast("bigint").alias("ones"))
+    return m.predict(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", "prediction")
 
 
-@query("logistic_regression")
+@query("logistic_regression", "SELECT term, 0.0::DOUBLE slope FROM (VALUES ('l_quantity'), ('l_tax'), ('intercept')) t(term)")
 def _(spark, d):
+    """At the minimum of the loss its slope is zero along each coefficient."""
     df = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity", "l_tax")
     m = logistic.logistic_regression(df, ["l_quantity", "l_tax"], "y")
-    return spark.createDataFrame([(c, float(w)) for c, w in zip([*m.columns, "intercept"], [*m.coefficients[0], m.intercept[0]], strict=True)], "term string, w double")
+    off = scalar.sigmoid(m.margins()[0]) - F.col("y")
+    terms = {"l_quantity": F.col("l_quantity") / 50, "l_tax": F.col("l_tax") / 0.08, "intercept": F.lit(1.0)}
+    slopes = df.agg(F.array(*(F.struct(F.lit(t).alias("term"), (F.round(F.avg(off * x), 5) + 0.0).alias("slope")) for t, x in terms.items())).alias("s"))
+    return slopes.select(F.inline("s"))
+
+
+@query("logistic_regression_classes", "SELECT k::INT k, 0.0::DOUBLE slope FROM range((SELECT count(DISTINCT label) FROM embeddings)) t(k)")
+def _(spark, d):
+    """The same for each of several classes: the largest slope along its coefficients, with a penalty."""
+    e, names = _emb(spark, d), [f"f{j}" for j in range(64)]
+    m = logistic.logistic_regression(e, names, "label", alpha=1.0)
+    p = e.select(*names, "label", vectors.softmax(F.array(*m.margins())).alias("p"))
+    n = e.count()
+    slopes = []
+    for k, c in enumerate(m.classes):
+        off = F.col("p")[k] - (F.col("label") == c).cast("double")
+        along = [F.abs(F.sum(off * F.col(x)) + float(m.coefficients[k][j])) / n for j, x in enumerate(names)]
+        slopes.append(F.round(F.greatest(*along, F.abs(F.avg(off))), 5) + 0.0)
+    return p.agg(F.array(*slopes).alias("s")).select(F.posexplode("s").alias("k", "slope"))
 
 
 # -- clustering ----------------------------------------------------------------------------
@@ -542,10 +616,10 @@ def _(spark, d):
     return _seeds(spark, d).predict(table(spark, d, "embeddings"), "embedding").select("vec_id", "cluster")
 
 
-@query("kmeans_step", _ASSIGN + "SELECT q::INT AS \"cluster\", count(*) size, round(avg(e.v[1]), 6) + 0.0 first FROM a JOIN e USING (vec_id) GROUP BY q")
+@query("kmeans_step", _ASSIGN + "SELECT q::INT AS \"cluster\", count(*) size, round([" + ", ".join(f"avg(e.v[{j}])" for j in range(1, 65)) + "][j], 6) + 0.0 AS \"value\", (j - 1)::INT j FROM a JOIN e USING (vec_id), range(1, 65) t(j) GROUP BY q, j")
 def _(spark, d):
     m = _seeds(spark, d).step(table(spark, d, "embeddings"), "embedding")
-    return spark.createDataFrame([(i, s, round(c[0], 6) + 0.0) for i, (c, s) in enumerate(zip(m.centroids, m.sizes, strict=True))], "cluster int, size bigint, first double")
+    return spark.createDataFrame([(i, s, j, round(x, 6) + 0.0) for i, (c, s) in enumerate(zip(m.centroids, m.sizes, strict=True)) for j, x in enumerate(c)], "cluster int, size bigint, j int, value double")
 
 
 @query("kmeans")
@@ -575,7 +649,12 @@ def _(spark, d):
     return cluster.dbscan(p, 3.0, 4, pairs=neighbors.radius_grid(p, 3.0)).labels.select("id", "cluster")
 
 
-@query("dbscan_predict")
+_DB_VOTE = _DB.replace("\nSELECT c.i id", ",\nl AS (SELECT c.i id") + """),
+v AS (SELECT n.q query_id, l."cluster" g, count(*) c FROM n JOIN l ON n.i = l.id GROUP BY ALL)
+SELECT query_id::BIGINT query_id, (g + 1)::BIGINT prediction FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, CASE WHEN g < 0 THEN 1 ELSE 0 END, g) k FROM v) WHERE k = 1"""
+
+
+@query("dbscan_predict", _DB_VOTE)
 def _(spark, d):
     p = _points(spark, d)
     return cluster.dbscan(p, 3.0, 4, pairs=neighbors.radius_grid(p, 3.0)).predict(p)
@@ -597,33 +676,55 @@ def _(spark, d):
     return tree.best_splits(rows, 3).select("j", F.round("gain", 9).alias("gain"), r6("threshold").alias("threshold"))
 
 
-def _emb(spark, d, n=4):
+def _emb(spark, d, n=64):
     e = table(spark, d, "embeddings")
     return e.select("vec_id", "label", *(F.col("embedding")[j].cast("double").alias(f"f{j}") for j in range(n)))
 
 
-@query("decision_tree_classifier")
+def _best(rows: str) -> str:
+    """(node, j, t): the best split by Gini of each node of (node, vec_id, y, j, x) with more than two rows and two classes."""
+    return f"""(SELECT node, j, t FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, t) r FROM (
+      SELECT node, j, (x + nx) / 2 t, (sum(lc * lc) / any_value(ln) + sum((tc - lc) * (tc - lc)) / (any_value(tn) - any_value(ln))) / any_value(tn) - sum(tc * tc) / any_value(tn) ** 2 gain
+      FROM (SELECT *, sum(c) OVER (PARTITION BY node, j, y ORDER BY x) lc, sum(c) OVER (PARTITION BY node, j, y) tc FROM (
+        SELECT g.node, g.j, g.x, g.nx, g.ln, g.tn, k.y, coalesce(c.c, 0)::DOUBLE c
+        FROM (SELECT node, j, x, lead(x) OVER (PARTITION BY node, j ORDER BY x) nx, (sum(count(*)) OVER (PARTITION BY node, j ORDER BY x))::DOUBLE ln, (sum(count(*)) OVER (PARTITION BY node, j))::DOUBLE tn FROM {rows} GROUP BY node, j, x) g
+        CROSS JOIN (SELECT DISTINCT label y FROM embeddings) k
+        LEFT JOIN (SELECT node, j, x, y, count(*) c FROM {rows} GROUP BY ALL) c ON c.node = g.node AND c.j = g.j AND c.x = g.x AND c.y = k.y))
+      WHERE nx IS NOT NULL AND tn > 2 GROUP BY node, j, x, nx)
+    WHERE gain > 1e-12) WHERE r = 1)"""
+
+
+_TREE = f"""WITH c0 AS (SELECT 1 node, vec_id, label y, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE x FROM embeddings),
+s0 AS {_best("c0")}, n1 AS (SELECT vec_id, CASE WHEN x <= t THEN 2 ELSE 3 END node FROM c0 JOIN s0 USING (node, j)),
+c1 AS (SELECT n1.node, vec_id, y, j, x FROM c0 JOIN n1 USING (vec_id)), s1 AS {_best("c1")},
+n2 AS (SELECT c1.vec_id, c1.node * 2 + CASE WHEN c1.x <= s1.t THEN 0 ELSE 1 END node FROM c1 JOIN s1 ON c1.node = s1.node AND c1.j = s1.j),
+leaf AS (SELECT vec_id, coalesce(n2.node, n1.node) node, label FROM n1 LEFT JOIN n2 USING (vec_id) JOIN embeddings USING (vec_id)),
+vote AS (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY count(*) DESC, label) k FROM leaf GROUP BY node, label)
+SELECT leaf.vec_id, vote.label prediction FROM leaf JOIN vote ON leaf.node = vote.node AND k = 1"""
+
+
+@query("decision_tree_classifier", _TREE)
 def _(spark, d):
     e = _emb(spark, d)
-    return tree.decision_tree_classifier(e, ["f0", "f1", "f2", "f3"], "label", max_depth=3).predict(e).select("vec_id", "prediction")
+    return tree.decision_tree_classifier(e, [f"f{j}" for j in range(64)], "label", max_depth=2).predict(e).select("vec_id", "prediction")
 
 
 @query("decision_tree_regressor")
 def _(spark, d):
     e = _emb(spark, d)
-    return tree.decision_tree_regressor(e, ["f0", "f1", "f2"], "f3", max_depth=3).predict(e).select("vec_id", "prediction")
+    return tree.decision_tree_regressor(e, _PARTS, "f63", max_depth=3).predict(e).select("vec_id", "prediction")
 
 
 @query("random_forest_classifier")
 def _(spark, d):
     e = _emb(spark, d)
-    return tree.random_forest_classifier(e, ["f0", "f1", "f2", "f3"], "label", "vec_id", n_trees=5, max_depth=3).predict(e).select("vec_id", "prediction")
+    return tree.random_forest_classifier(e, [f"f{j}" for j in range(64)], "label", "vec_id", n_trees=5, max_depth=3).predict(e).select("vec_id", "prediction")
 
 
 @query("random_forest_regressor")
 def _(spark, d):
     e = _emb(spark, d)
-    return tree.random_forest_regressor(e, ["f0", "f1", "f2"], "f3", "vec_id", n_trees=5, max_depth=3).predict(e).select("vec_id", "prediction")
+    return tree.random_forest_regressor(e, _PARTS, "f63", "vec_id", n_trees=5, max_depth=3).predict(e).select("vec_id", "prediction")
 
 
 @query("svm_decision", _V + ", s AS (SELECT vec_id k, v w FROM e WHERE vec_id < 3) SELECT vec_id, round(0.25 + sum((k - 1) * exp(-0.5 * list_distance(v, w) ** 2)), 6) + 0.0 score, CASE WHEN 0.25 + sum((k - 1) * exp(-0.5 * list_distance(v, w) ** 2)) > 0 THEN 1 ELSE -1 END prediction FROM e, s GROUP BY vec_id")
@@ -637,13 +738,13 @@ def _(spark, d):
 
 @query("svc")
 def _(spark, d):
-    e = _train(spark, d).where("id < 200").withColumn("t", F.when(F.col("label") < 5, 1).otherwise(-1))
+    e = _train(spark, d).withColumn("t", F.when(F.col("label") < 5, 1).otherwise(-1))
     return svm.svc(e, "features", "t", kernels.RBF(0.5)).predict_class(_train(spark, d)).select("id", "prediction")
 
 
 @query("svr")
 def _(spark, d):
-    e = _train(spark, d).where("id < 200")
+    e = _train(spark, d)
     return svm.svr(e, "features", "y", kernels.Linear()).predict_value(_train(spark, d)).select("id", "prediction")
 
 
@@ -682,12 +783,32 @@ def _(spark, d):
     return out.select("p_partkey", r6("prediction").alias("prediction"))
 
 
-@query("grid_search")
+_GRID = _CV.split("m AS (SELECT k.fold")[0] + """m AS (SELECT k.fold k, a.a, count(*) * covar_pop(y, x) / (var_pop(x) * (count(*) + a.a)) w, avg(y) - count(*) * covar_pop(y, x) / (var_pop(x) * (count(*) + a.a)) * avg(x) b
+  FROM f, (SELECT DISTINCT fold FROM f) k, (VALUES (1.0::DOUBLE), (1e6)) a(a) WHERE f.fold <> k.fold GROUP BY k.fold, a.a),
+t AS (SELECT a, k, avg((y - w * x - b) ** 2) e FROM f JOIN m ON fold = k GROUP BY a, k)
+SELECT a alpha, round(-avg(e), 6) score FROM t GROUP BY a"""
+
+
+@query("grid_search", _GRID)
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 1000).alias("y"))
     score = lambda t: -metrics.score(metrics.mean_squared_error(t, "y", "prediction"))
     g = selection.grid_search(p, "p_partkey", lambda t, alpha: linear.ridge_regression(t, ["x"], "y", alpha), score, {"alpha": [1.0, 1e6]}, n_splits=3, shuffle=False)
-    return spark.createDataFrame([(float(a["alpha"]), s) for a, s in g.scores], "alpha double, score double")
+    return spark.createDataFrame([(float(a["alpha"]), round(s, 6)) for a, s in g.scores], "alpha double, score double")
+
+
+@query("k_fold_shuffled", "SELECT f fold, n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END size, 5 * (n // 5) + n % 5 AS total FROM (SELECT count(*) n FROM orders), range(5) t(f)")
+def _(spark, d):
+    f = selection.k_fold(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5, shuffle=True, seed=3)
+    total = f.agg(F.countDistinct("o_orderkey").alias("total"))
+    return f.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("size")).crossJoin(F.broadcast(total))
+
+
+@query("train_test_split_shuffled", "SELECT floor(count(*) * 0.25)::BIGINT test, (count(*) - floor(count(*) * 0.25))::BIGINT train, 0::BIGINT common FROM orders")
+def _(spark, d):
+    train, test = selection.train_test_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.25, shuffle=True, seed=4)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(test, "test").crossJoin(count(train, "train")).crossJoin(count(test.join(train, "o_orderkey", "left_semi"), "common"))
 
 
 # -- sources, streams ------------------------------------------------------------------------------

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.errors import ParametersError
+
 
 def build_session(app: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with AQE on and UTC timestamps; ``conf`` overrides any setting."""
@@ -28,12 +31,15 @@ def build_session(app: str = "weftline", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, local mode) a temporary folder of
-    this process is taken instead.
+    Only in local mode, where the setting may be absent, a temporary folder of
+    this process is taken instead; on a cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ParametersError(f"set spark.checkpoint.dir to a folder that all nodes of {master} share")
     own = getattr(spark, "_weftline_shared", None)
     if own is None:
         path = tempfile.mkdtemp(prefix="weftline-")
@@ -44,13 +50,37 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders that ``materialise`` wrote, by application, until they are released.
+_written: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     A lost executor then costs a re-read, never a recomputation, and the files
-    stay readable from every node.
+    stay readable from every node. They stay until ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession) -> int:
+    """How many folders are to be released; pass it to ``release`` to go back to this point."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete what ``materialise`` has written since a point, when no result that reads it is needed any more.
+
+    ``but_last`` keeps the newest folder, as the result of a stage that has been written.
+    """
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - but_last]
+    del paths[since : len(paths) - but_last]
+    jvm = spark._jvm
+    for path in gone:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
