@@ -3,15 +3,22 @@
 The pages of a host are merged into one style tree: an element node is a path
 of tags with their class and id, and each page adds the style its node has
 there, the sequence of its children. The presentation importance of a node is
-the entropy of its styles over the m pages that have it, in base m; its content
-importance falls with the entropy of each content over those pages, so what all
-pages share counts for nothing. Both are combined with the weight
-GAMMA ** styles, and a node that only one page has is important. All pages of a
-host make its tree, and on every page branches whose importance is low are left
-out, as are branches whose tag or class names a role that is never main text.
-A page's mark of its article is a weight: MARKED inside, zero outside. Within an
-article a role named by a class or id is a weight too, ROLE, on the importance
-that the tree gives; only where the tree cannot judge does the name decide.
+the entropy of its styles over the m pages that have it, as a share of what
+MANY_PAGES pages of styles of their own would give; its content importance
+falls with the entropy of each content over those pages, so what all pages
+share counts for nothing. Both are combined with the weight GAMMA ** styles. A
+node that fewer than MANY_PAGES pages of a host have is judged by the tree of
+all hosts, and one that fewer than LEAST_PAGES pages of all have is not judged.
+
+On every page branches whose importance is low are left out. A template's fixed
+parts (menus, adverts, footers) may fill with other words on each page, but
+look alike, so text must also stand in a branch whose presentation is
+important: of the nodes above it that are judged, one must reach STANDING.
+Branches whose tag or class names a role that is never main text go too. A
+page's mark of its article is a weight: MARKED inside, where it also counts for
+the presentation, zero outside. Within an article a role named by a class or id
+is a weight too, ROLE, on the importance that the tree gives; only where the
+tree cannot judge does the name decide.
 """
 
 from __future__ import annotations
@@ -28,8 +35,13 @@ from weftline.llm.urlfilter import host_of
 from weftline.session import materialise
 
 GAMMA, LOW = 0.9, 0.2
-#: A node is judged by its host only if so many pages have it.
+#: A node is judged by a tree only if so many of its pages have it.
 LEAST_PAGES = 4
+#: Presentation of full importance is as varied as that of so many pages that all
+#: differ; a host's own tree speaks for nodes of so many pages.
+MANY_PAGES = 16
+#: Presentation importance that a branch with main text reaches.
+STANDING = 0.4
 #: Weight of the importance of what a page marks as its article.
 MARKED = 2.0
 #: Weight of the importance of a node whose class or id names a role, inside an article.
@@ -265,44 +277,70 @@ def _tree_rows(batches):
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, node, pages, importance, named) of every node of all pages; ``named`` counts those whose class or id names a role."""
+    """(host, node, pages, presentation, importance, named) of every node of every host.
+
+    A node that fewer than MANY_PAGES pages of its host have is given what the
+    tree of all hosts, its own among them, says of it. ``named`` counts the pages on which the class or
+    id names a role.
+    """
     named = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     rows = named.mapInArrow(_tree_rows, "host string, node long, kind int, value long")
     # Counts per value come first, partly before the shuffle, so no host meets in one task.
-    per = rows.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    style, content = F.when(F.col("kind") == 0, F.col("c")), F.when(F.col("kind") == 1, F.col("c"))
+    per = materialise(rows.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("c")), "style-counts")
+    own = _importances(per, ["host", "node"])
+    rare = F.col("pages") < MANY_PAGES
+    every = _importances(per.groupBy("node", "kind", "value").agg(F.sum("c").alias("c")), ["node"])
+    few = own.where(rare).select("host", "node").join(every, "node").select(own.columns)
+    return own.where(~rare).unionByName(few)
+
+
+def _importances(counts: DataFrame, of: list[str]) -> DataFrame:
+    """The nodes of a tree, told by the columns ``of``, from how many pages have each style, content and role."""
+    c = F.col("c").cast("double")
+    style, content = F.when(F.col("kind") == 0, c), F.when(F.col("kind") == 1, c)
     xlogx = lambda c: c * F.log(F.greatest(c, F.lit(1.0)))
-    node = per.groupBy("host", "node").agg(F.sum(style).alias("m"), F.count(style).alias("styles"), F.sum(xlogx(style)).alias("sx"), F.sum(content).alias("cm"), F.sum(xlogx(content)).alias("cx"), F.sum(F.when(F.col("kind") == 2, F.col("c"))).alias("named"))
-    base = F.log(F.greatest("m", F.lit(2.0)))
-    presentation = (base - F.col("sx") / F.col("m")) / base
-    matter = F.coalesce(1 - F.col("cx") / F.col("cm") / base, F.lit(0.0))
+    node = counts.groupBy(*of).agg(F.sum(style).alias("m"), F.count(style).alias("styles"), F.sum(xlogx(style)).alias("sx"), F.sum(content).alias("cm"), F.sum(xlogx(content)).alias("cx"), F.sum(F.when(F.col("kind") == 2, c)).alias("named"))
+    entropy = F.log("m") - F.col("sx") / F.col("m")
+    presentation = F.least(F.lit(1.0), entropy / F.log(F.greatest(F.lit(2.0), F.least("m", F.lit(float(MANY_PAGES))))))
+    matter = F.coalesce(1 - F.col("cx") / F.col("cm") / F.log(F.greatest("m", F.lit(2.0))), F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), "styles")
-    importance = F.when(F.col("m") <= 1, 1.0).otherwise((1 - weight) * presentation + weight * matter)
-    return node.select("host", "node", F.col("m").cast("long").alias("pages"), importance.alias("importance"), F.coalesce("named", F.lit(0.0)).cast("long").alias("named"))
+    node = node.withColumn("presentation", presentation)
+    importance = F.when(F.col("m") <= 1, 1.0).otherwise((1 - weight) * F.col("presentation") + weight * matter)
+    return node.select(*of, F.col("m").cast("long").alias("pages"), "presentation", importance.alias("importance"), F.coalesce("named", F.lit(0.0)).cast("long").alias("named"))
 
 
-def _main_blocks(page: str, low: set[int], lower: set[int], own: set[int]) -> list[str]:
-    """The blocks of a page without those under nodes of low importance.
+def _main_blocks(page: str, low: set[int], lower: set[int], own: set[int], flat: set[int], tall: set[int]) -> list[str]:
+    """The blocks of a page that the judged nodes above them leave.
 
-    Inside a marked article just ``lower`` are so low, and of the nodes named for
-    a role those that are not ``own`` to their pages.
+    Blocks under a node of low importance go, and blocks with nodes above that
+    are ``flat`` and none that is ``tall``. Inside a marked article just ``lower``
+    are so low, and of the nodes named for a role those that are not ``own`` to
+    their pages.
     If nothing of the article is left, the mark says nothing and the page counts
-    as one without; if that has nothing either, as where all pages of a host are
-    copies, the article stays whole.
+    as one without. If no block stands out, as where all pages look alike, only
+    importance decides; if that has nothing either, as where all are copies,
+    the article, or without one the page, stays whole.
     """
     blocks = [b for b in parse(page)[0] if not b[1] and own.issuperset(b[4])] if page else []
     marked = [b for b in blocks if b[2]]
-    left = [b for b in marked if not lower.intersection(b[3])] or [b for b in blocks if not low.intersection(b[3])] or marked
+    left = [b for b in marked if not lower.intersection(b[3])]
+    if not left:
+        some = [b for b in blocks if not low.intersection(b[3])]
+        left = [b for b in some if tall.intersection(b[3]) or not flat.intersection(b[3])] or some or marked or blocks
     return [b[0] for b in left]
 
 
+#: The lists of a host's nodes that ``main_text`` passes on, in the order of ``_main_blocks``.
+_LISTS = ("low", "lower", "own", "flat", "tall")
+
+
 def _texts(width: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for page, *nodes in zip(*(part.column(width + i).to_pylist() for i in range(4)), strict=True):
+                for page, *nodes in zip(*(part.column(width + i).to_pylist() for i in range(1 + len(_LISTS))), strict=True):
                     out.append("\n".join(_main_blocks(page, *(set(x or ()) for x in nodes))))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(width)), pa.array(out, pa.string())], names=[*part.schema.names[:width], "text"])
 
@@ -315,19 +353,21 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
     Blocks are joined by one line feed in page order, white space in a block is
     one space. A null or empty page, or one without main text, gives an empty
     text. A null url has an empty host, which is a host like others. Repeated
-    rows count as pages of their own in the style tree. Columns of ``pages`` of
-    these two names are replaced; an empty table stays empty.
+    rows count as pages of their own in the style tree. Very long pages are read
+    whole. A node counts as low below the bounds and stands out at or above
+    them, so ties are settled. Columns of ``pages`` of these two names are
+    replaced; an empty table stays empty.
     """
     cols = [c for c in (keep or pages.columns) if c not in ("text", "n_chars")]
-    is_low, is_own = F.col("importance") < LOW, (F.col("named") > 0) & (F.col("importance") * ROLE >= LOW)
-    judged = style_tree(pages, url_col, html_col).where((F.col("pages") >= LEAST_PAGES) & (is_low | is_own))
-    of = {"low": is_low, "lower": F.col("importance") * MARKED < LOW, "own": is_own}
-    low = materialise(judged.groupBy("host").agg(*(F.collect_list(F.when(is_so, F.col("node"))).alias(k) for k, is_so in of.items())), "low-nodes")
-    if low.select(F.coalesce(F.sum(F.size("low") + F.size("own")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-        low = F.broadcast(low)
+    importance, role = F.col("importance"), F.col("named") > 0
+    tests = (importance < LOW, importance * MARKED < LOW, role & (importance * ROLE >= LOW), F.col("presentation") < STANDING, F.col("presentation") >= STANDING)
+    judged = style_tree(pages, url_col, html_col).where(F.col("pages") >= LEAST_PAGES)
+    lists = materialise(judged.groupBy("host").agg(*(F.collect_list(F.when(t, F.col("node"))).alias(k) for k, t in zip(_LISTS, tests, strict=True))), "judged-nodes")
+    if lists.select(F.coalesce(F.sum(F.size("flat") + F.size("tall")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        lists = F.broadcast(lists)
     kept = [F.col(f"`{c}`") for c in cols]
     named = pages.select(*kept, F.col(f"`{html_col}`").alias("__html"), host_of(F.col(f"`{url_col}`")).alias("__host"))
-    joined = named.join(low.withColumnRenamed("host", "__host"), "__host", "left").select(*kept, "__html", *of)
+    joined = named.join(lists.withColumnsRenamed({"host": "__host"} | {k: f"__{k}" for k in _LISTS}), "__host", "left").select(*kept, "__html", *(f"__{k}" for k in _LISTS))
     schema = pages.select(*kept).schema.add("text", "string")
     out = joined.mapInArrow(_texts(len(cols)), schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))
