@@ -230,21 +230,24 @@ def test_main_text_of_a_page(spark):
 
 def test_what_all_pages_of_a_host_share_goes(spark):
     page = lambda i: f"<body><div class='x'><p>Same words on all pages</p></div><div class='y'><p>Story {i} of many</p><p>more {i * 7}</p></div></body>"
-    df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(12)] + [(99, "http://other.org/", page(99))], "page_id long, url string, html string")
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(20)] + [(99, "http://other.org/", page(99)), (100, "http://new.org/", "<body><div class='q'><p>Own words</p></div></body>")], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in sitestyle.main_text(df).collect()}
     assert got[3] == "Story 3 of many\nmore 21"
-    assert got[99] == "Same words on all pages\nStory 99 of many\nmore 693"
+    # A host with few pages is judged by all hosts, and what is nowhere else stays.
+    assert got[99] == "Story 99 of many\nmore 693" and got[100] == "Own words"
 
 
 def test_the_tree_judges_marked_pages(spark):
     page = lambda i: f"<body><article><h1>Story {i}</h1><p>Words {i * 7}</p><div class='x'><p>Same words on all pages</p></div></article></body>"
     bare = lambda i: f"<body><div class='y'><p>Tale {i}</p></div><div class='z'><p>Shared by marked and bare</p></div></body>"
     mixed = lambda i: bare(i) if i < 2 else f"<body><div class='z'><p>Shared by marked and bare</p></div><main><p>Tale {i}</p></main></body>"
-    rows = [(i, "http://h.org/", page(i)) for i in range(12)] + [(20 + i, "http://mixed.org/", mixed(i)) for i in range(12)] + [(40 + i, "http://copies.org/", page(1)) for i in range(5)] + [(50, "http://one.org/", page(1))]
+    rows = [(i, "http://h.org/", page(i)) for i in range(12)] + [(20 + i, "http://mixed.org/", mixed(i)) for i in range(12)] + [(40 + i, "http://h2.org/", page(1)) for i in range(5)] + [(50, "http://one.org/", page(1))]
+    rows += [(60 + i, "http://copies.org/", "<body><article class='own'><h1>Only</h1><p>copies</p></article></body>") for i in range(5)]
     got = {r.page_id: r.text for r in sitestyle.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Story 3\nWords 21"
     assert got[20] == "Tale 0" and got[25] == "Tale 5"
-    assert got[40] == got[50] == "Story 1\nWords 7\nSame words on all pages"
+    assert got[40] == got[50] == "Story 1\nWords 7"
+    assert got[60] == "Only\ncopies"
 
 
 def test_role_words_inside_an_article(spark):
@@ -292,7 +295,9 @@ def test_main_text_of_the_pages_table(spark):
 def test_shards(spark):
     texts = [*ODD, *(f"text {i}" for i in range(95))]
     df = docs_of(spark, texts).union(docs_of(spark, texts[:3]))
-    got = sharding.shuffle_shards(df, 8, seed=3, rows_per_block=5).collect()
+    df = df.withColumns({"__block": F.lit(1), "__key": F.lit("own"), "slot": F.lit("own")})
+    got = sharding.shuffle_shards(df, 8, seed=3, block_bytes=50).collect()
+    assert {(r["__block"], r["__key"]) for r in got} == {(1, "own")}
     assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(i, t or "") for i, t in enumerate(texts)] + [(i, t or "") for i, t in enumerate(texts[:3])])
     by = {}
     for r in got:
@@ -450,10 +455,24 @@ def test_contamination(spark):
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     windows = contamination.windows_of(bench, "item_id", "text", 4)
-    docs = spark.createDataFrame([(0, "zz delta alpha x gamma beta yy"), (1, "alpha beta a b c d gamma delta"), (2, "alpha beta gamma delta")], "k long, t string")
-    index = contamination.PositionalIndex(docs, windows, "t", "k", 10)
+    docs = spark.createDataFrame([(0, "zz delta alpha x gamma beta yy"), (1, "alpha beta a b c d gamma delta"), (2, "alpha beta gamma delta")], "doc_id long, text string")
+    words = docs.select(F.col("doc_id").alias("key"), contamination.words_of(F.col("text")).alias("w"))
+    index = contamination.PositionalIndex(words, windows, 10)
     assert sorted(r.key for r in index.phrases().collect()) == [2]
     assert sorted({r.key for r in index.proximities(1).collect()}) == [0, 2]
+    for slack, want in ((0, [2]), (1, [0, 2]), (4, [0, 1, 2])):
+        got = contamination.find(docs, bench, 4, slack=slack).collect()
+        assert sorted(r.doc_id for r in got if r.near_ids == ["1"]) == want and [r.doc_id for r in got if r.contaminated] == [2]
+
+
+def test_proximity_reaches_all_words_before_the_rarest(spark):
+    w = [f"w{i}" for i in range(10)]
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    texts = [" ".join([*w[:9], "x", "y", w[9]]), " ".join([*w[:9], "x", "y", "z", w[9]])]
+    common = [" ".join(w[:9])] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *common])], "doc_id long, text string")
+    got = contamination.find(docs, bench, 10, slack=2).collect()
+    assert sorted(r.doc_id for r in got if r.near_ids) == [0]
 
 
 def test_sql_forms(spark):

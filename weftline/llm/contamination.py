@@ -50,14 +50,15 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, size: int) -> Dat
 
 
 class PositionalIndex:
-    """The postings of the anchor terms of a set of windows, over all rows of ``docs``.
+    """The postings of the anchor terms of a set of windows, over all ``words`` (key, w).
 
-    Rows of ``docs`` are told apart by a row key, not by their identifier.
+    Rows are told apart by the key, not by their identifier. Each posting of a
+    leading term keeps ``reach`` - 1 words on either side.
     """
 
-    def __init__(self, docs: DataFrame, windows: DataFrame, text_col: str, key_col: str, reach: int):
+    def __init__(self, words: DataFrame, windows: DataFrame, reach: int):
         self.reach = reach
-        self.words = docs.select(F.col(key_col).alias("key"), words_of(F.col(text_col)).alias("w"))
+        self.words = words
         terms = windows.select(F.explode("words").alias("term")).distinct()
         token = self.words.select(F.explode("w").alias("term"))
         seen = token.join(_bounded(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("f"))
@@ -94,7 +95,10 @@ class PositionalIndex:
         return self.starts().where(same).select("key", "wid", "start", "n")
 
     def proximities(self, slack: int) -> DataFrame:
-        """(key, wid, at): places of a window's rarest term with all its words within ``n + slack`` words around."""
+        """(key, wid, at): places of a window's rarest term with all its words within ``n + slack`` words around.
+
+        ``reach`` must be the longest window and the slack at least.
+        """
         lead = self.postings.where("near is not null").join(_bounded(self.anchors), F.col("term") == F.col("t1"))
         before = F.least("at", F.lit(self.reach - 1))
         spans = F.sequence(F.greatest(before + 2 - F.col("n") - slack, F.lit(1)), before + 1)
@@ -102,39 +106,48 @@ class PositionalIndex:
         return lead.where(inside).select("key", "wid", "at")
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None, slack: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: n_words, n_hit, n_items, item_ids and contaminated.
 
     A window is ``size`` adjoining words of an item, or all its words if it has
     fewer; a word inside any occurrence of a window is hit. ``item_ids`` are the
-    items with occurring windows, as strings in order. Null texts have no words;
-    items of a null identifier hit words but are not named. Rows of a repeated or
-    null identifier keep a row each (a row is known by its identifier and text).
-    Columns of ``docs`` in ``keep`` (all by default) stay, but for these names;
-    empty tables on either side give rows without hits.
+    items with occurring windows, as strings in order. With ``slack`` there is
+    also near_ids, the items of which some window has all its words, in any
+    order, within its length and ``slack`` more words of the document.
+    Null texts have no words; very long texts are read whole; items of a null
+    identifier hit words but are not named. Rows of a repeated or null
+    identifier, and equal rows, keep a row each. Columns of ``docs`` in ``keep``
+    (all by default) stay, but for these names; empty tables on either side give
+    rows without hits.
     """
-    made = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
+    made = ["n_words", "n_hit", "n_items", "item_ids", "contaminated", *(["near_ids"] if slack is not None else [])]
     kept = [c for c in (keep or docs.columns) if c not in made]
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     windows = materialise(windows_of(items, item_col, item_text, size), "windows")
-    texts = docs.select(key.alias("__row"), F.col(f"`{text_col}`").alias("__text"))
-    index = PositionalIndex(texts, windows, "__text", "__row", size)
+    # Texts are cut into words once; a row's number is given when the table is written. Names of one's own keep columns apart.
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    base = materialise(docs.select(*own, words_of(F.col(f"`{text_col}`")).alias("w"), F.monotonically_increasing_id().alias("key")), "words")
+    index = PositionalIndex(base.select("key", "w"), windows, size + (slack or 0))
     hits = materialise(index.phrases().distinct(), "phrases")
     before = Window.partitionBy("key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
     spans = hits.groupBy("key", "start").agg(F.max("n").alias("n")).withColumn("end", F.col("start") + F.col("n"))
     count = spans.withColumn("new", new).groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
-    named = hits.join(_bounded(windows.select("wid", "items")), "wid").select("key", F.explode("items").alias("item"))
-    ids = named.distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("item_ids"))
-    found = _bounded(materialise(count.join(ids, "key", "left").withColumnRenamed("key", "__row"), "contaminated"))
-    size_of = docs.select(*(F.col(f"`{c}`") for c in kept), key.alias("__row"), F.size(words_of(F.col(f"`{text_col}`"))).cast("long").alias("n_words"))
-    out = size_of.join(found, "__row", "left")
+
+    def named(found: DataFrame, name: str) -> DataFrame:
+        one = found.join(_bounded(windows.select("wid", "items")), "wid").select("key", F.explode("items").alias("item")).distinct()
+        return one.groupBy("key").agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias(name))
+
+    found = count.join(named(hits, "item_ids"), "key", "left")
+    if slack is not None:
+        found = found.join(named(index.proximities(slack).select("key", "wid").distinct(), "near_ids"), "key", "full")
+    out = base.withColumn("n_words", F.size("w").cast("long")).join(_bounded(materialise(found, "contaminated")), "key", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        *(F.col(f"`{c}`") for c in kept),
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"),
         F.coalesce("item_ids", none).alias("item_ids"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *([F.coalesce("near_ids", none).alias("near_ids")] if slack is not None else []),
     )

@@ -1,13 +1,13 @@
 """Nearest neighbours by inner product over tiles of a block matrix join.
 
-Vectors are packed into blocks, without a shuffle, and blocks of queries meet
+Vectors are dealt out evenly and packed into full blocks, and blocks of queries meet
 slices of candidate blocks in a grid of tiles. In a tile both sides are int8
 with a scale for each vector; their products are whole numbers, exact in the
 floats of the matrix product, and the norms of the quantisation residuals bound
 the error of each. A pair survives unless its upper bound is below the query's
 20th lower bound so far; survivors are recomputed in double precision on the
-original vectors, and a heap for each query merges them across a slice. No true
-neighbour is lost, so the search is exact.
+original vectors, the best of a tile are picked, and a heap for each query
+merges them across a slice. No true neighbour is lost, so the search is exact.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.session import materialise
 
-#: Vectors in a packed block, blocks of a candidate slice, blocks of a query group.
-BLOCK, SLICE, GROUP = 2048, 16, 4
+#: Vectors in a packed block, and values, whichever are fewer; blocks of a candidate slice and of a query group.
+BLOCK, BLOCK_VALUES, SLICE, GROUP = 2048, 1 << 19, 16, 4
+#: Blocks that one task packs, so that few stay partly filled.
+PACKED = 8
 _BLOCKS = "part long, dim int, ids binary, vectors binary"
 
 
@@ -50,7 +52,7 @@ def _pack(batches):
             ids, vs = held.setdefault(len(v), ([], []))
             ids.append(key)
             vs.append(v)
-            if len(ids) == BLOCK:
+            if len(ids) >= min(BLOCK, max(1, BLOCK_VALUES // len(v))):
                 yield row(len(v))
     for dim in list(held):
         yield row(dim)
@@ -64,6 +66,15 @@ def _quantise(x: np.ndarray):
     return q, scale, np.linalg.norm(near, axis=1), np.linalg.norm(x - near, axis=1)
 
 
+def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best pairs of each row, larger scores and then smaller ids first."""
+    order = np.lexsort((ids, -scores, rows))
+    of = rows[order]
+    begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    nth = np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of))))
+    return order[nth < k]
+
+
 def _tiles(k: int):
     def unpack(table, i):
         dim = table["dim"][i].as_py()
@@ -95,7 +106,8 @@ def _tiles(k: int):
                 for i in range(0, len(rows), 65536):
                     r, s = rows[i : i + 65536], cols[i : i + 65536]
                     exact = (q[r] * c[s]).sum(axis=1)
-                    for u, v, x in zip(r.tolist(), cid[s].tolist(), exact.tolist(), strict=True):
+                    best = _best(r, exact, cid[s], k)
+                    for u, v, x in zip(r[best].tolist(), cid[s[best]].tolist(), exact[best].tolist(), strict=True):
                         item = (x, -v, next(tick))
                         if len(heaps[u]) < k:
                             heapq.heappush(heaps[u], item)
@@ -118,8 +130,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     queries of the same number of components. Ties go to the smaller id; with
     fewer candidates all are returned. Vectors that are null, zero, or hold a null
     or non-finite component take no part on either side, nor do rows of a null id.
-    A repeated candidate id keeps a place for each of its rows, a repeated query
-    row is asked once. Empty tables give an empty table.
+    A repeated candidate id keeps a place for each of its rows; a repeated query
+    id is asked once, with the least of its vectors. Empty tables give an empty table.
     """
 
     def packed(df: DataFrame) -> DataFrame:
@@ -127,8 +139,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return df.select(F.col(id_col).cast("long").alias("i"), v.alias("v")).where(F.col("i").isNotNull() & usable(F.col("v")))
 
     # Packed blocks carry random deal numbers, so they are written once and only read from then on.
-    left = materialise(packed(queries).dropDuplicates(["i"]).mapInArrow(_pack, _BLOCKS), "query-blocks")
-    right = materialise(packed(vectors).mapInArrow(_pack, _BLOCKS), "candidate-blocks")
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        df = materialise(df, name)
+        return materialise(df.repartition(max(1, -(-df.count() // (PACKED * BLOCK)))).mapInArrow(_pack, _BLOCKS), f"{name}-blocks")
+
+    left = blocks(packed(queries).groupBy("i").agg(F.min("v").alias("v")), "queries")
+    right = blocks(packed(vectors), "candidates")
     groups, slices = (max(1, -(-df.count() // size)) for df, size in ((left, GROUP), (right, SLICE)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     grid_l = left.withColumn("g", (F.col("part") % groups).cast("int")).withColumn("s", every(slices))

@@ -23,6 +23,8 @@ from weftline.session import materialise
 PROBES = 3
 #: A level takes so many bits for each key, rounded up to a power of two.
 BITS_PER_KEY = 16
+#: Filters of a cascade; each leaves a small share of the keys before, so even large universes need few.
+MAX_LEVELS = 64
 #: Rules that a cascade may hold; their filters stay within 16 MB.
 MAX_RULES = 4_000_000
 #: Rules that are literals of the plan; longer lists become a table.
@@ -85,8 +87,10 @@ class Cascade:
             raise ValueError(f"more than {MAX_RULES} rules in one list; split it")
         self.levels: list[tuple[Column, int]] = []
         encode, other = listed, universe.select("key")
-        while (n := encode.count()) and len(self.levels) < 64:
+        while n := encode.count():
             level = len(self.levels)
+            if level == MAX_LEVELS:
+                raise RuntimeError(f"{n} keys are left after {MAX_LEVELS} filters")
             bits = 64 * max(1, 1 << max(0, (n * BITS_PER_KEY - 1).bit_length() - 6))
             # The words of one bounded rule list; the optimiser folds the text into a constant array.
             text = _filter_words(encode, level, bits).select(F.to_json("words")).first()[0]
@@ -114,7 +118,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
     several the longest wins, and block wins over allow for the same rule. With
     no rule the key is listed nowhere: rule is null and the verdict ``default``.
     A null url, or one without ``://``, has an empty host and path and fits no
-    rule. Columns of these four names are replaced; an empty table stays empty.
+    rule. Very long urls are read whole and repeated rows keep a row each.
+    Columns of these four names are replaced; an empty table stays empty.
     """
     spark = pages.sparkSession
     if any(v not in ("allow", "block") or not h for v, h, _ in rules):
