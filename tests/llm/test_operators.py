@@ -253,11 +253,11 @@ def test_the_tree_judges_marked_pages(spark):
 def test_role_words_inside_an_article(spark):
     anchors = "<h2 id='related-work'>Related</h2><section id='social-policy'><p>Policy</p></section><h2 id='search-results'>Results</h2><p class='share-price'>Price</p>"
     page = lambda i: f"<body><article><p>Story {i}</p>{anchors if i == 0 else ''}<div class='notice'>Own notice {i}</div><div class='share-buttons'>Share this</div><div class='comments'>Reader {i}</div></article></body>"
-    rows = [(i, "http://h.org/", page(i)) for i in range(12)] + [(20, "http://one.org/", page(0))]
+    rows = [(i, "http://h.org/", page(i)) for i in range(12)] + [(20, "http://one.org/", page(0)), (21, "http://two.org/", page(0).replace("<article>", "<article class='solo'>"))]
     got = {r.page_id: r.text for r in sitestyle.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0] == "Story 0\nRelated\nPolicy\nResults\nPrice\nOwn notice 0"
     assert got[5] == "Story 5\nOwn notice 5"
-    assert got[20] == "Story 0\nRelated\nPolicy\nResults\nPrice"
+    assert got[20] == got[0] and got[21] == "Story 0\nRelated\nPolicy\nResults\nPrice"
 
 
 @pytest.mark.parametrize(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from weftline.session import materialise
 
 #: Size of the rows of a block, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Beginnings of blocks that are broadcast at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: numpy draws from populations below this size directly.
