@@ -392,3 +392,36 @@ def test_models_come_back(spark, tmp_path):
         models.save(spark, m, f"file://{tmp_path}/{i}")
         again = models.load(spark, f"file://{tmp_path}/{i}")
         assert models.to_json(again) == models.to_json(m)
+
+
+def test_models_with_tables_come_back(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    x = np.concatenate((rng.normal(-2, 1, (30, 3)), rng.normal(2, 1, (30, 3))))
+    df = packed(spark, x, [0.0] * 30 + [1.0] * 30)
+    nb = [naive_bayes.gaussian(df, "y"), naive_bayes.bernoulli(df, "y", binarize=0.5), naive_bayes.multinomial(df.withColumn("features", F.transform("features", lambda v: F.abs(v))), "y")]
+    cat = df.withColumn("features", F.transform("features", lambda v: F.floor(F.abs(v)).cast("double"))).withColumn("y", F.col("y").cast("int"))
+    models_ = [*((m, df, lambda m, d: m.predict(d, "id")) for m in nb), (naive_bayes.categorical(cat, "y"), cat, lambda m, d: m.predict(d, "id"))]
+    models_ += [(neighbors.KNNClassifier(df, "y", 3), df, lambda m, d: m.predict(d)), (neighbors.KNNRegressor(df, "y", 3, "distance"), df, lambda m, d: m.predict(d)), (cluster.dbscan(df, 1.5, 3), df, lambda m, d: m.predict(d))]
+    for i, (m, d, predict) in enumerate(models_):
+        models.save(spark, m, f"file://{tmp_path}/{i}")
+        again = models.load(spark, f"file://{tmp_path}/{i}")
+        assert sorted(map(tuple, predict(again, d).collect())) == sorted(map(tuple, predict(m, d).collect()))
+    with pytest.raises(ParametersError):
+        models.save(spark, neighbors.KNNClassifier(df, "y", 3, distance=distance.minkowski(3)), f"file://{tmp_path}/no")
+
+
+def test_large_models_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    df = packed(spark, rng.normal(size=(40, 3)), [float(i % 3) for i in range(40)])
+    small = sorted(map(tuple, naive_bayes.gaussian(df, "y").scores(df, "id").collect()))
+    monkeypatch.setattr(naive_bayes, "MODEL_CELLS", 0)
+    large = sorted(map(tuple, naive_bayes.gaussian(df, "y").scores(df, "id").collect()))
+    assert [a[:2] for a in small] == [b[:2] for b in large] and np.allclose([a[2] for a in small], [b[2] for b in large])
+
+
+def test_categories_by_a_join(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, None), (5, "z")], "id long, c string")
+    m = preprocessing.CategoryMapper.fit(df.where("id < 5"), "c", "id")
+    got = {r.id: r.n for r in m.join(df, "c", "n").collect()}
+    assert got == {r.id: r.n for r in df.select("id", m.number(F.col("c")).alias("n")).collect()} == {1: 0, 2: 1, 3: 0, 4: None, 5: None}
+    assert [r.h for r in df.orderBy("id").select(m.one_hot(F.col("c")).alias("h")).collect()] == [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 0.0], [0.0, 0.0]]

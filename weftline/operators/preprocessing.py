@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from weftline.errors import FitFailed, TransformFailed
+from weftline.frame import small
 from weftline.functions.scalar import is_categorical
 
 #: Deviations below it count as this, so a constant column becomes zeros.
@@ -85,7 +86,13 @@ class CategoryMapper:
 
     def one_hot(self, value: Column, unseen_is_error: bool = False) -> Column:
         num = self.number(value, unseen_is_error)
-        return F.array(*(F.when(num == i, 1.0).otherwise(0.0) for i in range(len(self))))
+        return F.transform(F.sequence(F.lit(0), F.lit(len(self) - 1)), lambda i: F.coalesce((i == num).cast("double"), F.lit(0.0)))
+
+    def join(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """``df`` with the number of each row's category, null if unseen, by a join; for many categories."""
+        kind = df.schema[column].dataType
+        known = df.sparkSession.createDataFrame(list(enumerate(self.categories)), T.StructType([T.StructField(name, T.IntegerType()), T.StructField(column, kind)]))
+        return df.join(small(known), column, "left")
 
 
 @dataclass(frozen=True)
