@@ -327,3 +327,11 @@ def test_stages_take_empty_tables(spark, small):
         out = stage(spark, docs, small[0])
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.pack_sequences(spark, docs, small[0]).count() == 0
+
+
+def test_the_pipeline_runs_on_an_empty_table(spark, small, tmp_path):
+    for t in ("labels", "benchmark"):
+        queries.table(spark, small[0], t).write.parquet(f"{tmp_path}/{t}.parquet")
+    queries.table(spark, small[0], "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert got.count() == 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)

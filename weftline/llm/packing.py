@@ -92,8 +92,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048
 
     ``ids`` holds the piece's tokens as little-endian unsigned 32-bit integers.
     A null or empty text still has its end id, hence one piece. Null and repeated
-    ids are carried along, each row being a document; columns beyond the two named
-    are not looked at, and an empty table gives no pieces.
+    ids are carried along, each row being a document; very long texts are encoded
+    whole and cut into many pieces; pieces of equal length are told apart by
+    their numbers, so ties are settled. Columns beyond the two named are not
+    looked at, and an empty table gives no pieces.
     """
     schema = "doc_id long, start long, length long, doc_tokens long, worker int, nth long, ids binary"
     named = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of three-word shingles at 0.85."""
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"), plan=minhash.Plan(shingle_words=3, percent=85))
-    return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id", "n_copies")
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "n_copies")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,4 +146,19 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL}
+_PAIRS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END) AS g FROM d),
+m AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM m a JOIN m b ON a.k = b.k AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, least(s.doc_id, c.y) AS component_id, s.doc_id = least(s.doc_id, c.y) AS kept,
+       CASE WHEN len(g) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY g) END::BIGINT AS n_copies
+FROM s LEFT JOIN c ON c.x = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": _PAIRS_SQL, "op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL}

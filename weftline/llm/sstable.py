@@ -172,8 +172,9 @@ class Reader:
         found = []
         for i in range(bisect_left(self.lasts, key), len(self.blocks)):
             raw, restarts = self._block(i)
-            heads = [next(self._entries(raw, r))[0] for r in restarts]
-            for k, v in self._entries(raw, restarts[max(0, bisect_left(heads, key) - 1)]):
+            # Only the heads that the search touches are read.
+            head = bisect_left(restarts, key, key=lambda r: next(self._entries(raw, r))[0])
+            for k, v in self._entries(raw, restarts[max(0, head - 1)]):
                 if k > key:
                     return found
                 if k == key:
@@ -208,9 +209,12 @@ def write_tables(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     Returns (shard, path, first_key, last_key, n_docs, n_tokens), a row for each
     shard. An attempt of a task writes a file of its own name, and only files of
     committed attempts are in the result, so lost executors do no harm. A null
-    text is empty; rows of a null id come first; rows of one id follow each
-    other in the order of a text hash. The shards' folder must be in a file
-    system that pyarrow opens, as all executors see it.
+    text is empty and has its end id alone; rows of a null id come first; rows of
+    one id, equal ones among them, each keep a place and follow each other in
+    the order of a text hash. Very long texts are encoded whole, and make a block
+    longer by themselves. An empty table gives an empty list, other columns are
+    not looked at. The shards' folder must be in a file system that pyarrow
+    opens, as all executors see it.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/weftline/shards-{uuid.uuid4().hex}"
