@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import contamination, langid, minhash, packing, quality
 from weftline.llm.queries import table, tokenizer_file
-from weftline.session import materialise
+from weftline.session import materialise, release, written
 
 #: A language below this calibrated probability is no decision, and the document goes.
 LEAST_CONFIDENCE = 0.5
@@ -20,7 +20,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.5."""
+    """Documents whose quality score is at least 0.5.
+
+    A null text is scored as an empty one; very long texts are scored whole.
+    Repeated rows and null identifiers each keep their own decision, which the
+    text alone makes. An empty table stays empty, and without labels all rows
+    score 0.5 and stay.
+    """
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
     held = docs.withColumnRenamed("score", "__score")
     out = quality.score(held, net).where("score >= 0.5").drop("score")
@@ -28,7 +34,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: letters, and a calibrated probability of at least 0.5."""
+    """Documents with a language: letters, and a calibrated probability of at least 0.5.
+
+    Null and empty texts, and others without letters, have none and go; very long
+    texts are read whole. Repeated rows and null identifiers each keep their own
+    decision. An empty table stays empty; where no row has a language to learn
+    from, nothing is known and nothing stays.
+    """
     model = langid.fit(docs)
     named = [c for c in docs.columns if c in ("lang_pred", "score")]
     held = docs.withColumnsRenamed({c: f"__{c}" for c in named})
@@ -39,7 +51,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8), that of the least id.
 
-    Of several rows of one id one stays; rows of a null id are left alone.
+    Of several rows of one id one stays; rows of a null id are left alone, and so
+    are null, empty and wordless texts, which are like nothing. Very long texts
+    are compared whole; an empty table stays empty.
     """
     found = materialise(minhash.near_duplicates(docs), "near-duplicates")
     dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
@@ -55,7 +69,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten-word window of a benchmark item."""
+    """Documents without any ten-word window of a benchmark item.
+
+    An item of fewer words is one window. Null, empty and wordless texts hit
+    nothing and stay; very long texts are searched whole; repeated rows and null
+    identifiers each keep their own decision; an empty table stays empty.
+    """
     made = {c: f"__{c}" for c in ("n_words", "n_hit", "n_items", "item_ids", "contaminated") if c in docs.columns}
     held = docs.withColumnsRenamed(made)
     out = contamination.find(held, table(spark, sf_dir, "benchmark"), 10).where(~F.col("contaminated"))
@@ -63,7 +82,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens.
+
+    Every row is a document, whatever its identifier; a null or empty text is its
+    end id alone, a very long one many pieces; an empty table has no pieces.
+    """
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
@@ -80,9 +103,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.
+
+    What a stage wrote is deleted when its result is written and read no more;
+    the last stage's files stay as long as the result that is returned.
+    """
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else materialise(out, f"stage-{name}")
-    return docs
+    start = written(spark)
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, start, but_last=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
