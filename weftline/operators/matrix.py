@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.errors import ParametersError
 from weftline.frame import small
@@ -74,6 +74,23 @@ def take_rows(df: DataFrame, id_col: str, index: Sequence[int]) -> DataFrame:
     return small(asked).join(df, F.col("__id") == F.col(id_col)).drop("__id")
 
 
+def take_columns(vectors: Column, index: Sequence[int]) -> Column:
+    """The components of a packed row at some places, in the order asked, repeats kept."""
+    return F.array(*(F.element_at(vectors, i + 1) for i in index))
+
+
+def equal(a: DataFrame, b: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(equal, differing): whether two long matrices have the same cells, and how many have not.
+
+    A cell that only one side has differs; NaN equals nothing.
+    """
+    x = a.select("i", "j", F.col("value").cast("double").alias("x"))
+    y = b.select("i", "j", F.col("value").cast("double").alias("y"))
+    same = (F.abs(F.col("x") - F.col("y")) <= tolerance) & ~F.isnan("x") & ~F.isnan("y")
+    found = x.join(y, ["i", "j"], "full").agg(F.count(F.when(~F.coalesce(same, F.lit(False)), 1)).alias("differing"))
+    return found.select((F.col("differing") == 0).alias("equal"), "differing")
+
+
 def slice_rows(df: DataFrame, id_col: str, start: int, stop: int, cols: Sequence[str] | None = None) -> DataFrame:
     """The rectangle of rows start <= id < stop and some columns."""
     out = df.where((F.col(id_col) >= start) & (F.col(id_col) < stop))

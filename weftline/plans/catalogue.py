@@ -190,6 +190,20 @@ def _(spark, d):
     return matrix.take_rows(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", [7, 3, 7, 499])
 
 
+@query("take_columns", "SELECT vec_id, round(v[4], 6) + 0.0 a, round(v[1], 6) + 0.0 b, round(v[4], 6) + 0.0 c FROM (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings)")
+def _(spark, d):
+    taken = _vec(spark, d).select("vec_id", matrix.take_columns(F.col("v"), [3, 0, 3]).alias("t"))
+    return taken.select("vec_id", *((r6(F.col("t")[k]) + 0.0).alias(c) for k, c in enumerate("abc")))
+
+
+@query("matrix_equal", "SELECT s step, CASE WHEN s = 0 THEN true ELSE false END AS \"equal\", CASE WHEN s = 0 THEN 0 ELSE (SELECT sum((x <> 0)::INT) FROM (SELECT unnest(embedding) x FROM embeddings WHERE vec_id % 2 = 1)) END::BIGINT differing FROM (VALUES (0), (1)) t(s)")
+def _(spark, d):
+    c = _cells(spark, d)
+    other = c.withColumn("value", F.when(F.col("i") % 2 == 1, -F.col("value")).otherwise(F.col("value")))
+    step = lambda df, k: df.select(F.lit(k).alias("step"), "equal", "differing")
+    return step(matrix.equal(c, c), 0).union(step(matrix.equal(c, other), 1))
+
+
 @query("slice_rows", "SELECT vec_id, label FROM embeddings WHERE vec_id >= 10 AND vec_id < 20")
 def _(spark, d):
     return matrix.slice_rows(table(spark, d, "embeddings"), "vec_id", 10, 20, ["label"])
