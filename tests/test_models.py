@@ -425,3 +425,16 @@ def test_categories_by_a_join(spark):
     got = {r.id: r.n for r in m.join(df, "c", "n").collect()}
     assert got == {r.id: r.n for r in df.select("id", m.number(F.col("c")).alias("n")).collect()} == {1: 0, 2: 1, 3: 0, 4: None, 5: None}
     assert [r.h for r in df.orderBy("id").select(m.one_hot(F.col("c")).alias("h")).collect()] == [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_closest_pair_of_equal_and_of_many_rows(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(300, 4))
+    monkeypatch.setattr(neighbors, "SAMPLE", 20)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d[np.tril_indices(300)] = np.inf
+    i, j = np.unravel_index(d.argmin(), d.shape)
+    r = neighbors.closest_pair(packed(spark, x)).first()
+    assert (r.node, r.neighbour) == (i, j) and abs(r.squared - d.min()) < 1e-12
+    r = neighbors.closest_pair(packed(spark, [[1.0, 2.0]] * 6)).first()
+    assert (r.node, r.neighbour, r.distance) == (0, 1, 0.0)

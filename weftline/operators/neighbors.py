@@ -11,6 +11,10 @@ from weftline.frame import BROADCAST_ROWS
 from weftline.functions.distance import Distance, euclidian, squared_euclidian
 
 
+#: Rows whose closest two bound the search for the closest of all.
+SAMPLE = 500
+
+
 def _pairs(data: DataFrame, queries: DataFrame, id_col: str, features: str) -> DataFrame:
     """(id, v, query_id, q): all rows beside all queries.
 
@@ -50,8 +54,9 @@ def radius(data: DataFrame, queries: DataFrame, r: float, id_col: str = "id", fe
 def radius_grid(data: DataFrame, r: float, id_col: str = "id", features: str = "features", dims: int = 2) -> DataFrame:
     """(query_id, id, distance) of all pairs within a Euclidian radius, self included, by cells of that width.
 
-    For few dimensions: each row is asked from the 3**dims cells around it, so
-    the join is on equality of cells.
+    Cells are over the first ``dims`` components, in which rows within the radius
+    are too; the rest is left to the distance. Each row is asked from the 3**dims
+    cells around it, so the join is on equality of cells.
     """
     cell = lambda move: F.array(*(F.floor(F.col("v")[d] / r) + (move[d] if move is not None else 0) for d in range(dims)))
     v = data.select(F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("v"))
@@ -60,17 +65,27 @@ def radius_grid(data: DataFrame, r: float, id_col: str = "id", features: str = "
         moves = [[*m, d] for m in moves for d in (-1, 0, 1)]
     around = v.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode(F.array(*(cell(m) for m in moves))).alias("cell"))
     own = v.select("id", "v", cell(None).alias("cell"))
-    d = F.sqrt(squared_euclidian(F.col("v"), F.col("q")))
-    return own.join(around, "cell").select("query_id", "id", d.alias("distance")).where(F.col("distance") <= r)
+    d = squared_euclidian(F.col("v"), F.col("q"))
+    near = own.join(around, "cell").select("query_id", "id", F.sqrt(d).alias("distance"), d.alias("squared"))
+    return near.where(F.col("distance") <= r)
 
 
 def closest_pair(data: DataFrame, id_col: str = "id", features: str = "features") -> DataFrame:
-    """(node, neighbour, distance, squared) of the two closest rows, the smallest ids among ties."""
+    """(node, neighbour, distance, squared) of the two closest rows, the smallest ids among ties.
+
+    The closest two of a bounded sample bound the distance, and only rows of
+    neighbouring cells of that width are compared.
+    """
     if data.limit(3).count() < 3:
         raise ParametersError("at least three rows are needed")
-    p = _pairs(data, data, id_col, features).where("id > query_id")
-    near = p.select(F.col("query_id").alias("node"), F.col("id").alias("neighbour"), squared_euclidian(F.col("v"), F.col("q")).alias("squared"))
-    return near.orderBy("squared", "node", "neighbour").limit(1).select("node", "neighbour", F.sqrt("squared").alias("distance"), "squared")
+    v = data.select(F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("features"))
+    some = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    bound, dims = _pairs(some, some, "id", "features").where("id > query_id").agg(F.min(euclidian(F.col("v"), F.col("q"))), F.max(F.size("v"))).first()
+    # Cells are not so narrow that their numbers would overflow.
+    scale = v.agg(F.max(F.array_max(F.transform("features", F.abs)))).first()[0] or 1.0
+    near = radius_grid(v, max(bound * (1 + 1e-9), scale * 1e-12), dims=min(dims, 3)).where("id > query_id")
+    near = near.select(F.col("query_id").alias("node"), F.col("id").alias("neighbour"), "distance", "squared")
+    return near.orderBy("squared", "node", "neighbour").limit(1).select("node", "neighbour", "distance", "squared")
 
 
 def _weights(near: DataFrame, weight: str) -> DataFrame:
