@@ -101,3 +101,24 @@ def lbfgs(f: Objective, x0, m: int = 10, max_iter: int = 1000, g_tol: float = 1e
         if flat:
             return Result(x, fx, it + 1, True)
     return Result(x, fx, max_iter, False)
+
+
+def newton(f: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], x0, max_iter: int = 100, g_tol: float = 1e-8, f_rtol: float = 1e-14) -> Result:
+    """Newton's method for a convex objective that gives its Hessian too; a step that does not lower it is halved."""
+    x = np.asarray(x0, float)
+    fx, g, h = f(x)
+    for it in range(max_iter):
+        if np.abs(g).max(initial=0) <= g_tol:
+            return Result(x, fx, it, True)
+        step, t = -np.linalg.lstsq(h, g, rcond=None)[0], 1.0
+        new = f(x + step)
+        while not new[0] <= fx + 1e-4 * t * float(g @ step) and t > 1e-10:
+            t /= 2
+            new = f(x + t * step)
+        if not new[0] <= fx:
+            return Result(x, fx, it, abs(new[0] - fx) <= f_rtol * max(abs(fx), 1.0))
+        flat = abs(fx - new[0]) <= f_rtol * max(abs(fx), 1.0)
+        x, (fx, g, h) = x + t * step, new
+        if flat:
+            return Result(x, fx, it + 1, True)
+    return Result(x, fx, max_iter, False)
