@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline.llm.components import connected_components
 from weftline.llm.shingles import mix, shingle_sets
-from weftline.session import materialise
+from weftline.session import arrow_rows, materialise
 
 #: Rows of a side that is broadcast at most; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
+#: Rows of the Arrow batches in which texts and full sets pass to Python.
+BATCH_ROWS = 1000
 #: A block of a tile holds about so many sets and so many values in them.
 BLOCK_SETS, BLOCK_VALUES = 512, 500_000
 #: Sets of a text are hashed at most so many values at a time.
@@ -341,8 +343,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of ``docs`` are not looked at; an empty table gives an empty table.
     ``class_id`` spells a class's two sums, null without words.
     """
-    join = _Join(docs, id_col, text_col, plan or Plan())
-    labels = join.run()
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        join = _Join(docs, id_col, text_col, plan or Plan())
+        labels = join.run()
     linked = join.classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls")
     least = linked.groupBy("label").agg(F.min("first").alias("comp"))
     comp = materialise(linked.join(least, "label").select("cls", "comp"), "components")

@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.llm.textids import encoder
-from weftline.session import materialise
+from weftline.session import arrow_rows, materialise
 
 #: Rows of the per-worker counts that are broadcast at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: Rows of the Arrow batches in which texts pass to Python.
+BATCH_ROWS = 1000
 _CLASS = 1 << 40
 
 
@@ -99,7 +101,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048
     """
     schema = "doc_id long, start long, length long, doc_tokens long, worker int, nth long, ids binary"
     named = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    pieces = materialise(named.mapInArrow(_pieces(tokenizer_path, end_id, capacity), schema), "pieces", compression="zstd")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        pieces = materialise(named.mapInArrow(_pieces(tokenizer_path, end_id, capacity), schema), "pieces", compression="zstd")
     counts = pieces.groupBy("length", "worker").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("length").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "worker", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("first"), F.sum("c").over(Window.partitionBy("length")).alias("all"))
