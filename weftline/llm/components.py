@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from weftline.session import materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: With up to so many links, the least neighbours of their nodes are broadcast; beyond it both sides are shuffled.
+BROADCAST_LINKS = 200_000
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """One star step over edges (a > b), joined back through each node's least neighbour."""
     if large:
         links = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         links = edges
     least = links.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = links.join(least, "a")
+    joined = links.join(F.broadcast(least) if few else least, "a")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -38,7 +42,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     now = state(e)
     while now[0]:
-        e = materialise(_star(_star(e, True), False), "links")
+        few = now[0] <= BROADCAST_LINKS
+        e = materialise(_star(_star(e, True, few), False, few), "links")
         before, now = now, state(e)
         if before == now:
             break
