@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import contamination, langid, minhash, nearest, packing, quality, sharding, sitestyle, sstable, urlfilter
+from weftline.llm import contamination, divergence, langid, minhash, nearest, packing, quality, sharding, sitestyle, sstable, urlfilter
 
 #: (verdict, host, path prefix) of the URL filter's query.
 URL_RULES = [
@@ -103,6 +103,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sources of a language diverge in their words, and by which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -114,6 +119,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sstable": op9_sstable,
     "op10_decontamination": op10_decontamination,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _URL_SQL = """
@@ -161,4 +167,26 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, least(s.doc_id, c.y) AS component
 FROM s LEFT JOIN c ON c.x = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": _PAIRS_SQL, "op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL}
+_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+s AS (SELECT id, lang, source, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+w AS (SELECT * FROM s WHERE term <> ''),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+t AS (SELECT lang, source, sum(n)::BIGINT AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(t.n, 0) + 2 * v.v) AS p,
+             1 + (1000000000 * (k.n + 2)) // (v.n + 2 * v.v) AS q
+      FROM g JOIN k ON g.lang = k.lang JOIN v ON v.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": _PAIRS_SQL, "op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL, "op12_source_divergence": _DIVERGENCE_SQL}
