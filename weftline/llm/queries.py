@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm import contamination, divergence, langid, minhash, nearest, packing, quality, sharding, sitestyle, sstable, urlfilter
+from weftline.llm import contamination, divergence, langid, minhash, nearest, packing, quality, ranked, sharding, sitestyle, sstable, suffixes, urlfilter
 
 #: (verdict, host, path prefix) of the URL filter's query.
 URL_RULES = [
@@ -103,11 +103,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty highest-scoring documents of each benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far sources of a language diverge in their words, and by which terms."""
     return divergence.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of documents without strings of 200 bytes that start elsewhere too; rows are told by file and place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    out = suffixes.remove_repeats(docs, 200, keep=["doc_id"], key=["file", "row"])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -119,7 +131,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sstable": op9_sstable,
     "op10_decontamination": op10_decontamination,
+    "op11_ranked_search": op11_ranked_search,
     "op12_source_divergence": op12_source_divergence,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _URL_SQL = """
@@ -167,6 +181,20 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, least(s.doc_id, c.y) AS component
 FROM s LEFT JOIN c ON c.x = s.doc_id
 """
 
+_RANKED_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, [x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+i AS (SELECT DISTINCT item_id, list_sort(list_distinct([x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> ''])) AS w FROM benchmark),
+q AS (SELECT item_id, unnest(w) AS t FROM i),
+c AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+p AS (SELECT id, doc_id, n, t, count(*) AS tf FROM (SELECT id, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+g AS (SELECT p.id, p.doc_id, p.t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l))) AS s
+      FROM p JOIN f ON f.t = p.t, c),
+s AS (SELECT item_id, id, doc_id, sum(s)::BIGINT AS score FROM q JOIN g ON g.t = q.t GROUP BY ALL),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
 _DIVERGENCE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 s AS (SELECT id, lang, source, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
@@ -189,4 +217,4 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT * FROM o WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": _PAIRS_SQL, "op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL, "op12_source_divergence": _DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": _PAIRS_SQL, "op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL, "op11_ranked_search": _RANKED_SQL, "op12_source_divergence": _DIVERGENCE_SQL}
