@@ -6,9 +6,10 @@ but one, of them lack; so a pair's sum over all terms starts from the value that
 two absent counts give, takes a correction for each source and count by itself,
 and one for each two counts of one row. The last are found on a tree of the
 rows: rows with equal beginnings share their nodes, a node carries how many rows
-pass through it, and each node meets each of its ancestors once. Trees are built
-by range of the rows, and sums over trees are plain integer sums, so no tree has
-to be whole.
+pass through it, and each node meets each of its ancestors once. Rows are sorted, so
+the lines of a tree lie together and it is read off them depth by depth. Trees
+are built of ranges of the rows, and sums over trees are plain integer sums, so
+no tree has to be whole.
 
 Values are integers: p = 1 + floor(10^9 (count + 2) / (N + 2 V)), and
 f(p, q) = floor((p - q)^2 / (p + q)).
@@ -24,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftline.session import materialise
+from weftline.session import arrow_rows, materialise
 
 #: Entries of counts that a task holds before it hands them on.
-HELD_COUNTS = 300_000
-#: Pairs of a node and an ancestor that a task holds before it sums them.
-HELD_PAIRS = 1 << 18
+HELD_COUNTS = 500_000
+#: Rows of a tree at most.
+TREE_ROWS = 4096
 #: Rows of groups that are broadcast at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 100_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -85,78 +86,57 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
+def corrections(numbers: np.ndarray, p: np.ndarray, p0: np.ndarray, rows: np.ndarray, sources: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each two sources have in common on the tree of some rows in order: (a * sources + b, value).
+
+    A line of the three matrices is a path, with the number -1 after its end; ``rows``
+    tells how many rows have it. Where a line leaves the line before, its nodes
+    begin; a node's rows are those of the lines up to where its depth is left again.
+    """
+    differs = (numbers[1:] != numbers[:-1]) | (p[1:] != p[:-1])
+    left_at = np.concatenate(([0], np.where(differs.any(1), differs.argmax(1), numbers.shape[1])))
+    keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
+    for d in range(1, numbers.shape[1]):
+        begins = np.flatnonzero(left_at <= d)
+        passed = np.add.reduceat(rows, begins)
+        there = numbers[begins, d] >= 0
+        at, n = begins[there], passed[there]
+        # All ancestors of the nodes of a depth at once; what is summed by then goes in again.
+        q, q0 = p[at, d, None], p0[at, d, None]
+        u, u0 = p[at, :d], p0[at, :d]
+        part = n[:, None] * (_f(u, q) - _f(u, q0) - _f(u0, q) + _f(u0, q0))
+        pair = numbers[at, :d] * sources + numbers[at, d, None]
+        keys, place = np.unique(np.concatenate((keys, pair.ravel())), return_inverse=True)
+        values, before = np.zeros(len(keys), np.int64), values
+        np.add.at(values, place, np.concatenate((before, part.ravel())))
+    return keys, values
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, a, b, value): corrections of each two sources that rows (lang, path, rows) have in common.
 
-    Rows come in the order of their language and path, so a language's tree is
-    walked as it is built: the stack is the present row's path, and a node that
-    the next row does not share has seen all its rows. A path's elements are
-    (source, p, p of an absent count).
+    Rows come in the order of their language and path; those of a batch and a
+    language are one tree. A path's elements are (source, p, p of an absent count).
     """
-    stack: list[tuple[int, int, int]] = []
-    passed: list[int] = []
-    nodes: list[tuple[np.ndarray, int]] = []
-    held, sums, present = 0, {}, None
-
-    def close(keep: int) -> None:
-        nonlocal held
-        while len(stack) > keep:
-            n = passed.pop()
-            if passed:
-                passed[-1] += n
-                nodes.append((np.array(stack, np.int64), n))
-                held += len(stack) - 1
-            stack.pop()
-
-    def total() -> None:
-        nonlocal held
-        if nodes:
-            sizes = np.array([len(p) - 1 for p, _ in nodes])
-            up = np.concatenate([p[:-1] for p, _ in nodes])
-            own = np.repeat(np.array([p[-1] for p, _ in nodes]), sizes, axis=0)
-            n = np.repeat(np.array([n for _, n in nodes], np.int64), sizes)
-            (a, p, p0), (b, q, q0) = up.T, own.T
-            part = n * (_f(p, q) - _f(p, q0) - _f(p0, q) + _f(p0, q0))
-            keys, place = np.unique(np.stack((a, b), 1), axis=0, return_inverse=True)
-            value = np.zeros(len(keys), np.int64)
-            np.add.at(value, place.ravel(), part)
-            for k, v in zip(map(tuple, keys.tolist()), value.tolist(), strict=True):
-                sums[k] = sums.get(k, 0) + v
-            nodes.clear()
-            held = 0
-
-    def out() -> pa.RecordBatch:
-        a, b = ([k[i] for k in sums] for i in (0, 1))
-        made = pa.RecordBatch.from_arrays([pa.array([present] * len(sums), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["lang", "a", "b", "value"])
-        sums.clear()
-        return made
-
     for batch in batches:
-        # The elements of all paths of a batch are one flat array.
-        langs, paths, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
+        langs, paths, rows = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_numpy()
         bounds = paths.offsets.to_numpy()
-        elements = list(zip(*(paths.values.field(i).to_pylist() for i in range(3)), strict=True))
-        for lang, lo, hi, n in zip(langs, bounds[:-1].tolist(), bounds[1:].tolist(), rows, strict=True):
-            if lang != present:
-                close(0)
-                total()
-                yield out()
-                present = lang
-            path, same = elements[lo:hi], 0
-            while same < len(path) and same < len(stack) and path[same] == stack[same]:
-                same += 1
-            close(same)
-            for e in path[same:]:
-                stack.append(e)
-                passed.append(0)
-            passed[-1] += n
-            if held > HELD_PAIRS:
-                total()
-                if len(sums) > HELD_PAIRS:
-                    yield out()
-    close(0)
-    total()
-    yield out()
+        sid, p, p0 = (paths.values.field(i).to_numpy() for i in range(3))
+        ends = [i for i in range(1, len(langs)) if langs[i] != langs[i - 1]]
+        for lo, hi in zip([0, *ends], [*ends, len(langs)], strict=True):
+            sizes = np.diff(bounds[lo : hi + 1])
+            if not len(sizes):
+                continue
+            part = slice(bounds[lo], bounds[hi])
+            known, number = np.unique(sid[part], return_inverse=True)
+            line = np.repeat(np.arange(hi - lo), sizes)
+            place = np.arange(len(line)) - np.repeat(bounds[lo:hi] - bounds[lo], sizes)
+            wide = np.full((3, hi - lo, int(sizes.max())), -1, np.int64)
+            for m, v in zip(wide, (number, p[part], p0[part]), strict=True):
+                m[line, place] = v
+            pair, value = corrections(*wide, rows[lo:hi], len(known))
+            a, b = np.divmod(pair, len(known))
+            yield pa.RecordBatch.from_arrays([pa.array([langs[lo]] * len(a), pa.string()), pa.array(known[a], pa.int64()), pa.array(known[b], pa.int64()), pa.array(value, pa.int64())], names=["lang", "a", "b", "value"])
 
 
 def audit(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
@@ -215,4 +195,5 @@ def _pairs_of_rows(same: DataFrame) -> DataFrame:
     n = int(same.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialise(same.where("size(path) > 1"), "paths").repartitionByRange(n, "lang", "path").sortWithinPartitions("lang", "path")
     found = dealt.mapInArrow(_walk, "lang string, a long, b long, value long")
-    return found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    with arrow_rows(same.sparkSession, TREE_ROWS):
+        return materialise(found.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "corrections")
