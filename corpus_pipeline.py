@@ -51,21 +51,29 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8), that of the least id.
 
-    Of several rows of one id one stays; rows of a null id are left alone, and so
-    are null, empty and wordless texts, which are like nothing. Very long texts
-    are compared whole; an empty table stays empty.
+    Rows of one id are told apart by their texts: of those in one group one stays,
+    and one that is like nothing stays beside its namesakes. Rows of a null id are
+    left alone, and so are null, empty and wordless texts, which are like nothing.
+    Very long texts are compared whole; an empty table stays empty.
     """
-    found = materialise(minhash.near_duplicates(docs), "near-duplicates")
-    dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    few = lambda d: F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
-    dropped, again = few(materialise(dropped, "dropped")), materialise(again, "repeated")
-    out = docs.join(dropped, "doc_id", "left_anti")
-    if not again.isEmpty():
-        again = few(again)
-        one = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(again, "doc_id", "left_anti").unionByName(one)
-    return out.select(docs.columns)
+    found = materialise(minhash.near_duplicates(docs), "near-duplicates").where("doc_id is not null")
+    again = materialise(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    dropped = found.where("not kept").select("doc_id").distinct()
+    if again.isEmpty():
+        return docs.join(_few(materialise(dropped, "dropped")), "doc_id", "left_anti").select(docs.columns)
+    again = _few(again)
+    gone = _few(materialise(dropped.union(again), "dropped"))
+    key, cls, group = (next(n for i in range(len(docs.columns) + 1) if (n := f"__{name}{i}") not in docs.columns) for name in ("key", "class", "group"))
+    rows = materialise(docs.join(again, "doc_id", "left_semi").withColumn(key, F.monotonically_increasing_id()), "rows-of-repeated")
+    told = found.where("kept or class_id is null").join(again, "doc_id", "left_semi").select("doc_id", F.coalesce("class_id", F.lit("")).alias(cls), F.col("group_id").alias(group)).distinct()
+    with_class = rows.join(minhash.class_ids(rows, key).select(F.col("key").alias(key), F.coalesce("class_id", F.lit("")).alias(cls)), key)
+    stays = with_class.join(told, ["doc_id", cls])
+    one = stays.where(F.col(group).isNotNull()).dropDuplicates(["doc_id", group]).unionByName(stays.where(F.col(group).isNull()))
+    return docs.join(gone, "doc_id", "left_anti").unionByName(one.select(docs.columns)).select(docs.columns)
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,8 +150,8 @@ def test_scores_do_not_depend_on_the_batch():
     net.p["out"][:] = 1
     raw = [b"one two two two two two two", b"", b"x" * 2000, b"two two two two"]
     assert np.allclose(net.score(raw), [net.score([b])[0] for b in raw], atol=1e-6)
-    again = net._repeats(np.frombuffer(b"\0" * 32 + b"abcdefgh word word word word!" + b"\0" * 32, np.uint8), 80)
-    assert again[32 + 14 : 32 + 20].all() and not again[32 : 32 + 13].any()
+    again = net._repeats(np.frombuffer(b"\0" * 32 + b"abcdefgh word word word word!" + b"\0" * 32, np.uint8), 32, 80)
+    assert again[14:20].all() and not again[:13].any()
 
 
 def test_language_is_learnt(spark):

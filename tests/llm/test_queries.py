@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -321,6 +322,17 @@ def test_stages_against_brute_force(spark, small):
     assert {r.doc_id for r in named.select("doc_id").collect()} == set(lang[(lang.lang_pred != "und") & (lang.score >= 0.5)].doc_id)
 
 
+def test_repeated_ids_keep_what_is_like_nothing(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    near = long.replace("word59", "other")
+    rows = [(1, long), (5, long), (5, " ".join(f"own{i}" for i in range(60))), (7, "x y z"), (8, near), (9, "a b c d e f"), (9, "a b c d e f"), (9, "p q r s t u"), (4, ""), (4, None), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("group_id", F.lit(1)).withColumn("__key0", F.lit("own"))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, long), (5, rows[2][1]), (7, "x y z"), (9, "a b c d e f"), (9, "p q r s t u"), (4, ""), (4, None), (None, long)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in want)
+
+
 def test_stages_take_empty_tables(spark, small):
     docs = queries.table(spark, small[0], "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -26,7 +26,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.llm.components import connected_components
 from weftline.llm.shingles import mix, shingle_sets
@@ -332,7 +332,7 @@ class _Join:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class_id, n_copies), one row for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, class_id, n_copies, group_id), one row for each row of ``docs``.
 
     Two rows are linked if the Jaccard similarity of their shingle sets reaches
     ``plan.percent``; component_id is the least id that can be reached. Rows with
@@ -341,16 +341,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and kept is true. Repeated ids keep a row each. Very long texts are read whole,
     a piece at a time. Nothing is decided by order, so ties do not arise. Other
     columns of ``docs`` are not looked at; an empty table gives an empty table.
-    ``class_id`` spells a class's two sums, null without words.
+    ``class_id`` spells a class's two sums and ``group_id`` numbers what is
+    linked, also where ids repeat; both are null without words.
     """
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         join = _Join(docs, id_col, text_col, plan or Plan())
         labels = join.run()
     linked = join.classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls")
     least = linked.groupBy("label").agg(F.min("first").alias("comp"))
-    comp = materialise(linked.join(least, "label").select("cls", "comp"), "components")
+    comp = materialise(linked.join(least, "label").select("cls", "comp", "label"), "components")
     named = join.classes.select("h1", "h2", "cls", "first", "copies").join(_bounded(comp), "cls", "left")
-    named = named.select("h1", "h2", "cls", F.coalesce("comp", "first").alias("comp"), "copies")
+    named = named.select("h1", "h2", F.coalesce("label", "cls").alias("label"), F.coalesce("comp", "first").alias("comp"), "copies")
     # Texts without words have sums of their own, which are no class.
     out = join.rows.select("id", "n", *(F.when(F.col("n") > 0, F.col(h)).alias(h) for h in ("h1", "h2"))).join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
@@ -359,6 +360,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
-        F.when(F.col("n") > 0, F.concat(*(F.lpad(F.hex(h), 16, "0") for h in ("h1", "h2")))).alias("class_id"),
+        _spelled(F.col("n"), F.col("h1"), F.col("h2")).alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
+        F.col("label").alias("group_id"),
     )
+
+
+def _spelled(n: Column, h1: Column, h2: Column) -> Column:
+    return F.when(n > 0, F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (h1, h2))))
+
+
+def class_ids(docs: DataFrame, key_col: str, text_col: str = "text", plan: Plan | None = None) -> DataFrame:
+    """(key, class_id) of each row of ``docs``, as ``near_duplicates`` spells it; ``key_col`` is a long."""
+    words = (plan or Plan()).shingle_words
+
+    def run(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1).to_pylist(), words))
+            h = [_sums(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in h], pa.int64()) for i in (0, 1))], names=["key", "n", "h1", "h2"])
+
+    rows = docs.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, "key long, n long, h1 long, h2 long")
+    return rows.select("key", _spelled(F.col("n"), F.col("h1"), F.col("h2")).alias("class_id"))
