@@ -320,6 +320,29 @@ def test_communication_matrix():
 # -- 7 -------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("sizes", [(160,), (-160,), (300, -300), (160, 0, -5), (308,)])
+def test_nearest_of_very_large_and_small_vectors(spark, sizes):
+    rng = np.random.default_rng(4)
+    v = [[float(x) * 10.0 ** sizes[i % len(sizes)] for x in rng.uniform(-1, 1, 6)] for i in range(60)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    from fractions import Fraction
+
+    def product(a, b):
+        x = sum(Fraction(p) * Fraction(q) for p, q in zip(a, b, strict=True))
+        try:
+            return float(x)
+        except OverflowError:
+            return float("inf") if x > 0 else -float("inf")
+
+    got = {}
+    for r in nearest.nearest(df, df.where("vec_id % 10 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 60, 10):
+        s = {i: product(v[q], v[i]) for i in range(60) if i != q}
+        want = sorted(s, key=lambda i: (-s[i], i))[:5]
+        assert [i for i, _ in got[q]] == want and np.allclose([x for _, x in got[q]], [s[i] for i in want], rtol=1e-9)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(130, 6))

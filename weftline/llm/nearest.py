@@ -8,6 +8,9 @@ the error of each. A pair survives unless its upper bound is below the query's
 20th lower bound so far; survivors are recomputed in double precision on the
 original vectors, the best of a tile are picked, and a heap for each query
 merges them across a slice. No true neighbour is lost, so the search is exact.
+Where products may leave the range of doubles, queries are scaled by powers of
+two, bounds that cannot be told let a pair survive, and a score is scaled back
+at the end, so only a score that is itself too large is infinite.
 """
 
 from __future__ import annotations
@@ -63,7 +66,18 @@ def _quantise(x: np.ndarray):
     scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(float).tiny)
     q = np.rint(x / scale[:, None]).astype(np.int8)
     near = q * scale[:, None]
-    return q, scale, np.linalg.norm(near, axis=1), np.linalg.norm(x - near, axis=1)
+    return q, scale, _norm(near), _norm(x - near)
+
+
+def _norm(x: np.ndarray) -> np.ndarray:
+    """Norms of rows whose squares may not fit a double."""
+    most = np.abs(x).max(axis=1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.where(most > 0, most * np.linalg.norm(x / np.where(most > 0, most, 1)[:, None], axis=1), 0)
+
+
+#: Norms whose products are far from the ends of the doubles' range.
+_SAFE = (1e-140, 1e140)
 
 
 def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -81,9 +95,16 @@ def _tiles(k: int):
         return np.frombuffer(table["ids"][i].as_py(), "<i8"), np.frombuffer(table["vectors"][i].as_py(), "<f8").reshape(-1, dim)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            return tiles(left, right)
+
+    def tiles(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         for a in range(left.num_rows):
             qid, q = unpack(left, a)
+            power = np.frexp(np.abs(q).max(axis=1))[1]
+            plain = not len(q) or (_SAFE[0] < np.abs(q).max(axis=1).min() and np.abs(q).max() < _SAFE[1])
+            q = q if plain else np.ldexp(q, -power[:, None])
             q8, qs, qn, qe = _quantise(q)
             # Integer sums stay below 2**24, so single precision holds them exactly up to 1040 components.
             kind = np.float32 if q.shape[1] <= 1040 else np.float64
@@ -97,15 +118,27 @@ def _tiles(k: int):
                 error += 1e-9 * (qn + qe)[:, None] * (cn + ce)[None, :]
                 own = qid[:, None] == cid[None, :]
                 near[own] = -np.inf
-                low = near - error
+                top = np.abs(c).max(axis=1)
+                if plain and _SAFE[0] < top.min() and top.max() < _SAFE[1]:
+                    low, high, back = near - error, near + error, None
+                else:
+                    back = np.zeros(len(q), int) if plain else power
+                    # Rounding at the end of the range moves a score by its least step.
+                    low, high = (np.ldexp(v, back[:, None]) + step for v, step in ((near - error, -1e-322), (near + error, 1e-322)))
+                    low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+                    low[own] = -np.inf
                 if low.shape[1] >= k:
                     bound = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
                 else:
                     bound = floor
-                rows, cols = np.nonzero((near + error >= bound[:, None]) & ~own)
+                rows, cols = np.nonzero((high >= bound[:, None]) & ~own)
                 for i in range(0, len(rows), 65536):
                     r, s = rows[i : i + 65536], cols[i : i + 65536]
-                    exact = (q[r] * c[s]).sum(axis=1)
+                    if back is None:
+                        exact = (q[r] * c[s]).sum(axis=1)
+                    else:
+                        up = np.frexp(top[s])[1]
+                        exact = np.ldexp((q[r] * np.ldexp(c[s], -up[:, None])).sum(axis=1), back[r] + up)
                     best = _best(r, exact, cid[s], k)
                     for u, v, x in zip(r[best].tolist(), cid[s[best]].tolist(), exact[best].tolist(), strict=True):
                         item = (x, -v, next(tick))
@@ -131,7 +164,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     fewer candidates all are returned. Vectors that are null, zero, or hold a null
     or non-finite component take no part on either side, nor do rows of a null id.
     A repeated candidate id keeps a place for each of its rows; a repeated query
-    id is asked once, with the least of its vectors. Empty tables give an empty table.
+    id is asked once, with the least of its vectors. Components may have any
+    finite size; scores that round to the same double are ties. Empty tables give an empty table.
     """
 
     def packed(df: DataFrame) -> DataFrame:
