@@ -274,8 +274,38 @@ def test_role_words_inside_an_article(spark):
     ],
 )
 def test_raw_elements_end_where_they_end(inner, want):
-    blocks = sitestyle.parse(f"<article><p>{inner}</p><p>end</p></article>")[0]
-    assert [b[0] for b in blocks] == [want, "end"]
+    pieces = sitestyle.parse(f"<article><p>{inner}</p><p>end</p></article>")[0]
+    assert sitestyle.lines(p for p in pieces if not p[1]) == [want, "end"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p class=it's>hello</p> <p>world's end</p><p>tail</p></article>", "hello\nworld's end\ntail"),
+        ("<article><p><a href=foo\"bar>link</a> on</p></article>", "link on"),
+        ("<article><p>text <label>inline</label> more</p></article>", "text more"),
+        ("<article><p>one<span class='share'> Share</span> two</p></article>", "one two"),
+        ("<article><p title='a > b' data-x=\"c > d\">kept</p></article>", "kept"),
+        ("<article><p>a < b & c</p><p>cut <b", "a < b & c\ncut"),
+        ("<article><p title=\"open>text</p><p>next</p></article>", "text\nnext"),
+    ],
+)
+def test_quotes_and_inline_elements(spark, page, want):
+    df = spark.createDataFrame([(1, "http://h.org/", page)], "page_id long, url string, html string")
+    assert sitestyle.main_text(df).first().text == want
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<a '", "<a \"", "<a ='", "<a x=\"", "<svg ", "<!--", "</i", "<div>", "<b>x", "<div>x</span>", "<b></i>", "<p class=a>t", "<ul><li>x", "<table><tr><td>", "<script>", "<svg>", "< ", "<x", "&amp", "<div class='c'>y"],
+)
+def test_hostile_pages_take_no_longer(unit):
+    import time
+
+    page = "<article>" + unit * ((1 << 20) // len(unit))
+    start = time.process_time()
+    sitestyle._main_blocks(page, set(), set(), set(), set(), set())
+    assert time.process_time() - start < 5
 
 
 def test_main_text_of_the_pages_table(spark):

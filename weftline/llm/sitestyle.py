@@ -90,8 +90,12 @@ _ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 hgroup section p a li dt dd span b i em
 _MAIN_TAGS = frozenset(["article", "main"])
 _MAIN_WORDS = frozenset("articlebody entry-content post-content article-content article-body main-content".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# A quote opens a value only after an equals sign; what ends no tag is taken to the page's end, so each byte is read once.
+_VALUES = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+){_VALUES}(>|\Z)|<[!?][^>]*>?", re.S)
+_ATTR = re.compile(r"""([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+#: Elements nested deeper stand beside each other at this depth, as browsers have it.
+MAX_DEPTH = 128
 _READ = frozenset(["class", "id", "role", "hidden", "itemprop"])
 _WORD = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
@@ -135,8 +139,8 @@ def _role(tag: str, attrs: dict[str, str], inside: bool) -> tuple[bool, bool, bo
 def _raw_ends(page: str, tag: str) -> dict[int, int]:
     """Where each raw element of a tag ends, by the end of its start tag; elements without an end tag of their own are left out."""
     ends, open_at = {}, []
-    for m in re.finditer(rf"<!--.*?-->|<(/?){re.escape(tag)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.I | re.S):
-        if m.group(2) is None:
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<(/?){re.escape(tag)}(?=[\s/>]){_VALUES}(>|\Z)", page, re.I | re.S):
+        if not m.group(3):
             continue
         if not m.group(1):
             if not (tag in _FOREIGN and m.group(2).endswith("/")):
@@ -146,37 +150,95 @@ def _raw_ends(page: str, tag: str) -> dict[int, int]:
     return ends
 
 
+class _Stack:
+    """The open elements, with the places of each tag, so that looking one up does not walk them."""
+
+    def __init__(self):
+        self.nodes = [_Node("#", "#", False, False, False, 0)]
+        self.paths, self.named = [0], []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.above: dict[int, tuple[int, ...]] = {}
+        self.noise = self.main = 0
+
+    def push(self, node: _Node) -> None:
+        i = len(self.nodes)
+        self.nodes.append(node)
+        self.paths.append(node.path)
+        self.at.setdefault(node.tag, []).append(i)
+        if node.tag in _SCOPE:
+            self.scopes.append(i)
+        if node.named:
+            self.named.append(node.path)
+        self.noise += node.noise
+        self.main += node.main
+
+    def cut(self, i: int) -> None:
+        """Close all elements from place ``i`` on."""
+        while len(self.nodes) > max(i, 1):
+            node = self.nodes.pop()
+            self.paths.pop()
+            self.at[node.tag].pop()
+            if node.tag in _SCOPE:
+                self.scopes.pop()
+            if node.named:
+                self.named.pop()
+            self.noise -= node.noise
+            self.main -= node.main
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of a tag, 0 if none is open."""
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def scope(self, but: tuple[str, ...] = ()) -> int:
+        """The place of the innermost scope, 0 if none is open; of the tags ``but`` none counts."""
+        for i in reversed(self.scopes):
+            if self.nodes[i].tag not in but:
+                return i
+        return 0
+
+    def context(self) -> tuple:
+        # A path tells all paths above it, so pieces of equal places share them.
+        own = self.paths[-1]
+        above = self.above.get(own)
+        if above is None:
+            above = self.above[own] = tuple(self.paths[1:])
+        return self.noise > 0, self.main > 0, above, tuple(self.named)
+
+
 def parse(page: str):
-    """The blocks of a page, (text, noise, in article, nodes above, those named for a role), and all its nodes.
+    """The pieces of a page, (text, noise, in article, nodes above, those named for a role, block), and all its nodes.
 
-    Blocks end at block elements and line breaks; end tags may be missing, and
+    Blocks end at block elements and line breaks; an element within a line that
+    has a role of its own is a piece of its block. End tags may be missing, and
     what follows an unclosed tag at the end of the page is dropped. A raw
     element without an end tag is left out alone, unless it is code or a title.
+    White space of a piece is as in the page. Elements deeper than MAX_DEPTH
+    are taken as siblings. Each byte of a page is read a bounded number of times.
     """
-    root = _Node("#", "#", False, False, False, 0)
-    stack, nodes, blocks, text, ends = [root], [root], [], [], {}
+    stack, pieces, text, ends, block = _Stack(), [], [], {}, 0
+    nodes = [stack.nodes[0]]
 
-    def flush():
+    def piece():
         if text:
-            line = _WHITE.sub(" ", entities.unescape("".join(text))).strip()
+            line = entities.unescape("".join(text))
             text.clear()
             if line:
-                blocks.append((line, any(n.noise for n in stack), any(n.main for n in stack), tuple(n.path for n in stack[1:]), tuple(n.path for n in stack if n.named)))
+                pieces.append((line, *stack.context(), block))
 
-    def close(i: int):
-        flush()
-        del stack[i:]
+    def flush():
+        nonlocal block
+        piece()
+        block += 1
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
             rest = page[at:]
-            cut = rest.find("<")
-            # A tag that the page's end cuts short is no text.
-            if cut >= 0 and re.match(r"</?[a-zA-Z!]", rest[cut:]):
-                rest = rest[:cut]
-            text.append(rest)
+            cut = rest.find("</")
+            text.append(rest if cut < 0 or not re.match(r"</[a-zA-Z!]", rest[cut:]) else rest[:cut])
             break
         if m.start() > at:
             text.append(page[at : m.start()])
@@ -184,63 +246,68 @@ def parse(page: str):
         tag = m.group(2)
         if tag is None:
             continue
-        tag = tag.lower()
+        if not m.group(4):
+            # A tag that the page's end cuts short is no text.
+            break
+        tag, values = tag.lower(), m.group(3)
         if m.group(1):
+            i = stack.last(tag)
             if tag in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag in _BLOCK:
-                        close(i)
-                    else:
-                        if any(x.tag in _SCOPE or x.tag == "p" for x in stack[i + 1 :]):
-                            break
-                        if any(x.noise or x.named or x.main for x in stack[i:]):
-                            flush()
-                        del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE and tag not in _BLOCK:
-                    break
+                if i:
+                    stack.cut(i)
+            elif i and i >= stack.scope() and not stack.last("p") > i:
+                if any(x.noise or x.named or x.main for x in stack.nodes[i:]):
+                    piece()
+                stack.cut(i)
             continue
         if tag in _BLOCK:
             flush()
         if tag in _RAW:
-            stack[-1].kids.append(tag)
+            stack.nodes[-1].kids.append(tag)
             if tag in _CODE:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
                 at = end.end() if end else n
-            elif not (tag in _FOREIGN and m.group(3).endswith("/")):
+            elif not (tag in _FOREIGN and values.endswith("/")):
                 if tag not in ends:
                     ends[tag] = _raw_ends(page, tag)
                 at = ends[tag].get(at, at)
             continue
-        if tag in _ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in _CLOSED_BY.get(tag, ()):
-                close(i)
-                break
-            if stack[i].tag in _SCOPE and not (tag in ("tr", "td", "th") and stack[i].tag in ("td", "th")):
-                break
-        attrs = {k: a.group(2) or a.group(3) or a.group(4) or "" for a in _ATTR.finditer(m.group(3)) if (k := a.group(1).lower()) in _READ} if m.group(3) else {}
+        if tag in _ENDS_P and (i := stack.last("p")) and i > stack.scope():
+            flush()
+            stack.cut(i)
+        closed = _CLOSED_BY.get(tag)
+        if closed:
+            i = max(map(stack.last, closed))
+            if i and i >= stack.scope(("td", "th") if tag in ("tr", "td", "th") else ()):
+                flush()
+                stack.cut(i)
+        attrs = {k: a.group(2) or a.group(3) or a.group(4) or "" for a in _ATTR.finditer(values) if (k := a.group(1).lower()) in _READ} if values else {}
         sign = " ".join((tag, attrs.get("class", ""), attrs.get("id", "")))
-        stack[-1].kids.append(sign)
+        if len(stack.nodes) > MAX_DEPTH and tag not in _VOID:
+            piece()
+            stack.cut(MAX_DEPTH)
+        stack.nodes[-1].kids.append(sign)
         if tag in _VOID:
             continue
-        noise, role, main = _role(tag, attrs, any(x.main for x in stack))
-        if noise and not stack[-1].noise or role or main:
-            flush()
-        node = _Node(tag, sign, noise, role, main, hash_of(f"{stack[-1].path} {sign}"))
-        if not m.group(3).rstrip().endswith("/") or tag in _BLOCK:
-            stack.append(node)
+        noise, role, main = _role(tag, attrs, stack.main > 0)
+        if noise or role or main:
+            piece()
+        node = _Node(tag, sign, noise, role, main, hash_of(f"{stack.nodes[-1].path} {sign}"))
+        if not values.rstrip().endswith("/") or tag in _BLOCK:
+            stack.push(node)
         nodes.append(node)
-    close(1)
-    return blocks, nodes
+    flush()
+    return pieces, nodes
+
+
+def lines(pieces) -> list[str]:
+    """The texts of the blocks of some pieces: white space is one space, and blocks without text are left out."""
+    of: dict[int, list[str]] = {}
+    for p in pieces:
+        of.setdefault(p[5], []).append(p[0])
+    found = (_WHITE.sub(" ", "".join(x)).strip() for x in of.values())
+    return [x for x in found if x]
 
 
 @lru_cache(maxsize=65536)
@@ -258,12 +325,13 @@ def _tree_rows(batches):
             for h, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if not page:
                     continue
-                blocks, nodes = parse(page)
+                pieces, nodes = parse(page)
                 styles, content, role = {}, {}, {x.path: [] for x in nodes if x.named}
                 for x in nodes:
                     styles.setdefault(x.path, []).append("|".join(x.kids))
-                for line, _, _, above, _ in blocks:
-                    for p in above:
+                for text, _, _, above, _, _ in pieces:
+                    line = _WHITE.sub(" ", text).strip()
+                    for p in above if line else ():
                         content.setdefault(p, []).append(line)
                 for k, of in ((0, styles), (1, content), (2, role)):
                     for p, v in of.items():
@@ -321,13 +389,13 @@ def _main_blocks(page: str, low: set[int], lower: set[int], own: set[int], flat:
     importance decides; if that has nothing either, as where all are copies,
     the article, or without one the page, stays whole.
     """
-    blocks = [b for b in parse(page)[0] if not b[1] and own.issuperset(b[4])] if page else []
+    blocks = [b for b in parse(page)[0] if not b[1] and own.issuperset(b[4]) and not b[0].isspace()] if page else []
     marked = [b for b in blocks if b[2]]
     left = [b for b in marked if not lower.intersection(b[3])]
     if not left:
         some = [b for b in blocks if not low.intersection(b[3])]
         left = [b for b in some if tall.intersection(b[3]) or not flat.intersection(b[3])] or some or marked or blocks
-    return [b[0] for b in left]
+    return lines(left)
 
 
 #: The lists of a host's nodes that ``main_text`` passes on, in the order of ``_main_blocks``.
