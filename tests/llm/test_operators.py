@@ -1,6 +1,7 @@
 """The numbered operators against brute force, round trips and held-out accuracy, on small tables with odd rows."""
 
 import itertools
+import math
 import re
 
 import duckdb
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import components, contamination, langid, minhash, nearest, packing, quality, queries, sharding, shingles, sitestyle, sstable, textids, urlfilter
+from weftline.llm import components, contamination, divergence, langid, minhash, nearest, packing, quality, queries, ranked, sharding, shingles, sitestyle, sstable, suffixes, textids, urlfilter
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \t\n", "one", "one two", "One TWO three four five", "ein zwei drei vier fünf", "x " * 30_000]
@@ -537,3 +538,166 @@ def test_sql_forms(spark):
         cols = sorted(got.columns)
         a, b = (d[cols].sort_values(cols).reset_index(drop=True) for d in (got, want))
         assert (a.astype(object).fillna("~") == b.astype(object).fillna("~")).all().all(), name
+
+
+def test_later_filters_do_not_grow_with_the_universe(spark, monkeypatch):
+    listed = spark.range(3).select(F.concat(F.lit("host"), "id", F.lit("/")).alias("key"))
+    sizes = []
+    for n in (50_000, 200_000, 800_000):
+        universe = spark.range(n).select(F.concat(F.lit("host"), "id", F.lit("/")).alias("key"))
+        made = urlfilter.Cascade(listed, universe, f"u{n}")
+        sizes.append([bits for _, bits in made.levels])
+        found = universe.where(made.contains(F.col("key"))).collect()
+        assert sorted(r.key for r in found) == ["host0/", "host1/", "host2/"]
+    assert all(max(s[1:], default=0) <= 256 for s in sizes) and sizes[2][0] <= 4096
+    monkeypatch.setattr(urlfilter, "MAX_BYTES", 8)
+    with pytest.raises(ValueError, match="split the list"):
+        urlfilter.Cascade(listed, universe, "large")
+
+
+def test_urls_that_are_long_or_repeated(spark):
+    long = "http://www.example.com/en/" + "a" * 200_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "x." * 300 + "net/es/y"), (3, None)], "page_id long, url string")
+    got = sorted((r.page_id, r.rule or "", r.verdict) for r in urlfilter.judge(df, queries.URL_RULES).collect())
+    assert got == [(1, "www.example.com/en/", "allow"), (1, "www.example.com/en/", "allow"), (2, "net/es/", "block"), (3, "", "allow")]
+
+
+# -- 11 to 13 ------------------------------------------------------------------------
+
+
+def plain_ranking(docs, items, k):
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+    held = [(i, words(t)) for i, t in docs]
+    held = [(i, w) for i, w in held if w]
+    n, total = len(held), sum(len(w) for _, w in held)
+    df = {}
+    for _, w in held:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for item, text in items:
+        scored = []
+        for i, w in held:
+            m = 50 + 50 * len(w) * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * w.count(t) // (1000 * w.count(t) + 20 * m)) for t in set(words(text)) if t in df)
+            if s > 0 and i is not None:
+                scored.append((-s, i))
+        out += [(item, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+def test_ranked_search(spark, monkeypatch):
+    monkeypatch.setattr(ranked, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(ranked, "FIRST_DOCS", 2)
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(40)])
+    weights = 1 / np.arange(1, 41)
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 30), p=weights / weights.sum())) for _ in range(300)]
+    texts[5] = texts[6] = texts[7] = texts[250]
+    rows = list(enumerate([*ODD, *texts, "ÄB äb W1", "w1 " * 20_000]))
+    rows += [(None, "w3 w4"), (9, "w39 w38"), (9, "w39 w38")]
+    items = [(1, "w0 w1 w2"), (2, " ".join(vocabulary)), (3, None), (4, "..."), (5, "W39, w38; unknown"), (None, "äb"), (6, "w0 w1 w2"), (7, "w1"), (8, " ".join(f"w{i}" for i in range(20)) + " " + " ".join(f"u{i}" for i in range(100)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("rank", F.lit("own")).withColumn("item", F.lit("own"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit("own"))
+    want = sorted(plain_ranking(rows, items, 10), key=lambda r: (r[0] or -1, *r[1:]))
+    key = lambda r: (r.item_id or -1, r["rank"])
+    for terms in (None, 30):
+        got = [tuple(r) for r in sorted(ranked.search(docs, bench, 10, pass_terms=terms).collect(), key=key)]
+        assert got == want
+    # Equal rows are documents of their own, and equal items are asked once.
+    twice = ranked.search(docs, bench.union(bench), 10)
+    assert twice.count() == len(want)
+    assert ranked.search(docs.limit(0), bench).count() == 0 and ranked.search(docs, bench.limit(0)).count() == 0
+
+
+def plain_divergence(rows, least, top):
+    words = lambda t: re.findall(rb"[a-z\x80-\xff]+", (t or "").encode().lower())
+    rows = [(words(t), g or "", s or "") for t, g, s in rows]
+    out = []
+    for g in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == g]
+        df = {}
+        for w, _, _ in mine:
+            for t in set(w):
+                df[t] = df.get(t, 0) + 1
+        kept = [t for t in df if df[t] >= least]
+        count = {}
+        for w, _, s in mine:
+            for t in kept:
+                count[s, t] = count.get((s, t), 0) + w.count(t)
+        sources = sorted({r[2] for r in mine})
+        total = {s: sum(count[s, t] for t in kept) for s in sources}
+        p = {(s, t): 1 + 1_000_000_000 * (count[s, t] + 2) // (total[s] + 2 * len(kept)) for s in sources for t in kept}
+        q = {t: 1 + 1_000_000_000 * (sum(count[s, t] for s in sources) + 2) // (sum(total.values()) + 2 * len(kept)) for t in kept}
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = sorted((-sum(f(p[s, t], p[u, t]) for t in kept), u) for u in sources if u != s)
+            out += [(g, s, "pair", u, -v, i + 1) for i, (v, u) in enumerate(pairs)]
+            terms = sorted((-f(p[s, t], q[t]), t) for t in kept if count[s, t] and p[s, t] > q[t])
+            out += [(g, s, "term", t.decode(), -v, i + 1) for i, (v, t) in enumerate(terms[:top])]
+    return out
+
+
+def test_source_divergence(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "HELD_COUNTS", 50)
+    monkeypatch.setattr(divergence, "TREE_ROWS", 7)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{'abcdefgh'[i % 8]}{'xyzé'[i // 8]}" for i in range(32)]
+    rows = [(" ".join(rng.choice(vocabulary, rng.integers(1, 12))) + " 12", "ab"[i % 2], f"s{rng.integers(0, 6)}") for i in range(200)]
+    rows += [("only here", "a", "empty"), ("...", "a", "none"), (None, "b", None), ("ax", None, None), ("ax " * 20_000, "a", "s1"), ("rare", "c", "x"), ("rare", "c", "y"), ("AX ax", "a", "s2"), ("AX ax", "a", "s2")]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3).withColumn("rank", F.lit("own")).withColumn("sid", F.lit("own"))
+    got = [tuple(r) for r in divergence.audit(docs, 4, 3).collect()]
+    assert sorted(got) == sorted(plain_divergence(rows, 4, 3))
+    assert {r[4] for r in got if r[0] == "c"} == {0} and divergence.audit(docs.limit(0)).count() == 0
+
+
+def plain_repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = {}
+    for r in raw:
+        for i in range(len(r) - length + 1):
+            seen[r[i : i + length]] = seen.get(r[i : i + length], 0) + 1
+    out = []
+    for r in raw:
+        gone = np.zeros(len(r) + 1, bool)
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = True
+        spans = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0])
+        out.append((len(r), int(gone.sum()), spans, bytes(b for b, g in zip(r, gone, strict=False) if not g)))
+    return out
+
+
+def repeating_texts(seed):
+    rng = np.random.default_rng(seed)
+    base = ["".join(rng.choice(list("abcé "), 300)) for _ in range(6)]
+    out = [None, "", "short", "a" * 500, "ab" * 150, "x" * 39, "x" * 40, base[0], base[0], base[1][:200]]
+    for _ in range(60):
+        a, b = base[rng.integers(6)], base[rng.integers(6)]
+        i, j = rng.integers(0, 250, 2)
+        t = "".join(rng.choice(list("xyz"), rng.integers(0, 40))) + a[i : i + rng.integers(10, 120)] + b[j : j + rng.integers(10, 120)]
+        out.append(t[: len(t) // 2] + "Q" + t[len(t) // 2 :] if rng.random() < 0.5 else t)
+    return [*out, *out[-5:], "\0" * 100 + "z", "\0" * 90, "long " * 30_000]
+
+
+@pytest.mark.parametrize(("hot", "piece", "run_bytes"), [(None, None, None), (3, 4096, 20_000), (0, 4096, 5000)])
+def test_repeated_strings_go(spark, monkeypatch, hot, piece, run_bytes):
+    if piece:
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        monkeypatch.setattr(suffixes, "RUN_BYTES", run_bytes)
+        monkeypatch.setattr(suffixes, "RANGE_ENTRIES", 50)
+    texts = repeating_texts(11)
+    docs = docs_of(spark, texts).withColumn("n_bytes", F.lit("own"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in suffixes.remove_repeats(docs, 40, gram=16, hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_repeats(texts, 40)
+    assert suffixes.remove_repeats(empty(spark)).count() == 0
+
+
+def test_loser_tree_merges_front_coded_runs():
+    rng = np.random.default_rng(8)
+    runs = [sorted(bytes(rng.choice([97, 98], rng.integers(1, 12)).astype(np.uint8)) for _ in range(rng.integers(0, 40))) for _ in range(7)]
+    blocks = [suffixes.front_code([(x, b"", i, 0, 0) for i, x in enumerate(r)], 12) for r in runs if r]
+    out = [(k, e[1]) for _, k, e in suffixes.LoserTree([suffixes.front_decode(b) for b in blocks])]
+    assert [x for _, x in out] == sorted(x for r in runs for x in r)
+    common = lambda a, b: next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+    assert [k for k, _ in out] == [0, *(common(a[1], b[1]) for a, b in itertools.pairwise(out))]

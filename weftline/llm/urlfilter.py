@@ -9,7 +9,9 @@ the first filter it fails, and it is listed if that filter, counted from zero,
 has an odd number.
 As the levels are made over the corpus's whole key universe, membership is
 exact for every URL in it, and judging a URL needs no join: each filter is one
-array of words, bounded by its list, that the plan carries as a constant.
+array of words that the plan carries as a constant. The first filter has bits
+enough that no more other keys pass it than are listed, so all later ones are
+as small as the list, whatever the universe.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.session import materialise
 
 PROBES = 3
-#: A level takes so many bits for each key, rounded up to a power of two.
+#: A level after the first takes so many bits for each key; all are rounded up to a power of two.
 BITS_PER_KEY = 16
 #: Filters of a cascade; each leaves a small share of the keys before, so even large universes need few.
 MAX_LEVELS = 64
-#: Rules that a cascade may hold; their filters stay within 16 MB.
-MAX_RULES = 4_000_000
+#: Bytes of one filter at most; a list that needs more is an error.
+MAX_BYTES = 16 << 20
 #: Rules that are literals of the plan; longer lists become a table.
 PLAN_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,21 +80,36 @@ def _passes(key: Column, words: Column, level: int, bits: int) -> Column:
     return reduce(lambda a, b: a & b, (hit(p) for p in range(PROBES)))
 
 
+def _rounded(bits: float) -> int:
+    """The power of two, 64 at least, that is not below ``bits``."""
+    return 1 << max(6, (int(bits) - 1).bit_length())
+
+
+def filter_bits(listed: int, keys: int) -> int:
+    """Bits of a first filter that about as many of ``keys`` keys pass wrongly as are listed.
+
+    With PROBES bits set for each listed key, a share (PROBES * listed / bits) ** PROBES passes.
+    """
+    wanted = max(2.0, keys / max(1, listed))
+    return _rounded(PROBES * listed * wanted ** (1 / PROBES))
+
+
 class Cascade:
     """Exact membership of the universe's keys in ``listed`` (both tables have a column ``key``)."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame, name: str):
         listed = materialise(listed.select("key").where("key is not null").distinct(), f"{name}-listed")
-        if listed.count() > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules in one list; split it")
+        keys = universe.count()
         self.levels: list[tuple[Column, int]] = []
         encode, other = listed, universe.select("key")
         while n := encode.count():
             level = len(self.levels)
             if level == MAX_LEVELS:
                 raise RuntimeError(f"{n} keys are left after {MAX_LEVELS} filters")
-            bits = 64 * max(1, 1 << max(0, (n * BITS_PER_KEY - 1).bit_length() - 6))
-            # The words of one bounded rule list; the optimiser folds the text into a constant array.
+            bits = filter_bits(n, keys) if level == 0 else _rounded(n * BITS_PER_KEY)
+            if bits > 8 * MAX_BYTES:
+                raise ValueError(f"a filter of {n} keys needs {bits // 8} bytes, more than {MAX_BYTES}; split the list")
+            # The words of one bounded filter; the optimiser folds the text into a constant array.
             text = _filter_words(encode, level, bits).select(F.to_json("words")).first()[0]
             words = F.from_json(F.lit(text), "array<bigint>")
             self.levels.append((words, bits))
