@@ -48,7 +48,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         for (lang, source), (n, df) in seen.items():
             terms = list(n)
-            columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array([t.decode() for t in terms], pa.string())]
+            columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array([t.decode() for t in terms], pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(n.values()), pa.int64()), pa.array([df[t] for t in terms], pa.int64())], names=["lang", "source", "term", "n", "df"])
 
     for batch in batches:
