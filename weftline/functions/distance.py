@@ -13,6 +13,16 @@ from weftline.functions.vectors import total
 Distance = Callable[[Column, Column], Column]
 
 
+def metric(distance: Distance) -> Distance:
+    """Mark a distance that keeps to the triangle inequality, so that searches may leave rows out by it."""
+    distance.metric = True
+    return distance
+
+
+def is_metric(distance: Distance) -> bool:
+    return getattr(distance, "metric", False)
+
+
 def _checked(a: Column, b: Column, value: Column) -> Column:
     same = F.size(a) == F.size(b)
     return F.when(same, value).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
@@ -22,10 +32,12 @@ def squared_euclidian(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+@metric
 def euclidian(a: Column, b: Column) -> Column:
     return _checked(a, b, F.sqrt(squared_euclidian(a, b)))
 
 
+@metric
 def manhattan(a: Column, b: Column) -> Column:
     return _checked(a, b, total(F.zip_with(a, b, lambda x, y: F.abs(x - y))))
 
@@ -33,9 +45,10 @@ def manhattan(a: Column, b: Column) -> Column:
 def minkowski(p: int) -> Distance:
     if p < 1:
         raise ParametersError("p must be at least 1")
-    return lambda a, b: _checked(a, b, F.pow(total(F.zip_with(a, b, lambda x, y: F.pow(F.abs(x - y), F.lit(float(p))))), F.lit(1.0 / p)))
+    return metric(lambda a, b: _checked(a, b, F.pow(total(F.zip_with(a, b, lambda x, y: F.pow(F.abs(x - y), F.lit(float(p))))), F.lit(1.0 / p))))
 
 
+@metric
 def hamming(a: Column, b: Column) -> Column:
     """Share of places that differ."""
     return _checked(a, b, total(F.zip_with(a, b, lambda x, y: F.when(x != y, 1.0).otherwise(0.0))) / F.size(a))
@@ -53,7 +66,7 @@ def mahalanobis(covariance: np.ndarray) -> Distance:
         rows = F.array(*(total(F.zip_with(z, F.lit(r.tolist()), lambda x, y: x * y)) for r in inverse))
         return _checked(a, b, F.sqrt(total(F.zip_with(z, rows, lambda x, y: x * y))))
 
-    return distance
+    return metric(distance)
 
 
 DISTANCES: dict[str, Callable[..., Distance] | Distance] = {

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.errors import FitFailed
-from weftline.functions.distance import Distance, euclidian, squared_euclidian
+from weftline.functions.distance import Distance, euclidian, is_metric, squared_euclidian
 from weftline.operators.components import connected_components
-from weftline.operators.neighbors import radius, radius_grid
+from weftline.operators.neighbors import radius
 from weftline.operators.selection import numbered
 from weftline.session import materialise
 
@@ -156,7 +156,8 @@ class DBSCAN:
 
         Equal counts go to the lower cluster, noise comes last.
         """
-        near = radius(self.labels, queries, self.eps, self.id_col, self.features, self.distance)
+        how = "balls" if is_metric(self.distance) else "pairs"
+        near = radius(self.labels, queries, self.eps, self.id_col, self.features, self.distance, how)
         of = self.labels.select(F.col(self.id_col).cast("long").alias("id"), "cluster")
         votes = near.join(of, "id").groupBy("query_id", "cluster").agg(F.count(F.lit(1)).alias("c"))
         place = F.when(F.col("cluster") < 0, F.lit(2**62)).otherwise(F.col("cluster"))
@@ -168,8 +169,7 @@ class DBSCAN:
 def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Distance = euclidian, id_col: str = "id", features: str = "features", pairs: DataFrame | None = None) -> DBSCAN:
     """Density clustering; ``pairs`` (query_id, id) may bring a ready-made neighbour table.
 
-    With the Euclidian distance neighbours are found by cells over the first
-    components; with any other, all pairs are compared.
+    Neighbours are found by the balls of the metric; with a distance that is none, all pairs are compared.
 
     Core rows have at least ``min_samples`` rows within eps, themselves included;
     clusters are the components of core rows, border rows join the neighbouring
@@ -179,10 +179,8 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Dist
         raise FitFailed(f"a core row needs at least one neighbour, not {min_samples}")
     if eps <= 0:
         raise FitFailed(f"a neighbourhood of radius {eps} is empty")
-    if pairs is None and distance is euclidian:
-        dims = df.agg(F.max(F.size(features))).first()[0]
-        pairs = radius_grid(df, eps, id_col, features, min(dims, 3)) if dims and dims > 0 else None
-    near = materialise((radius(df, df, eps, id_col, features, distance) if pairs is None else pairs).select("query_id", "id"), "near")
+    how = "balls" if is_metric(distance) else "pairs"
+    near = materialise((radius(df, df, eps, id_col, features, distance, how) if pairs is None else pairs).select("query_id", "id"), "near")
     core = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_samples).select(F.col("query_id").alias("core"))
     core = materialise(core, "core")
     links = near.join(core, F.col("query_id") == F.col("core")).drop("core").join(core, F.col("id") == F.col("core")).select(F.col("query_id").alias("a"), F.col("id").alias("b"))

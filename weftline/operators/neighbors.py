@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.errors import FindFailed, ParametersError
 from weftline.frame import BROADCAST_ROWS
-from weftline.functions.distance import Distance, euclidian, squared_euclidian
+from weftline.functions.distance import Distance, euclidian, is_metric, squared_euclidian
+from weftline.operators.metric import balls, knn_join, radius_join
+from weftline.session import materialise
 
 
+#: Pairs of rows and queries up to which all are compared; beyond it a metric's balls leave most out.
+ALL_PAIRS = 200_000_000
 #: Rows whose closest two bound the search for the closest of all.
 SAMPLE = 500
 
@@ -30,12 +34,26 @@ def _pairs(data: DataFrame, queries: DataFrame, id_col: str, features: str) -> D
     return left.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "__b").drop("__b")
 
 
-def knn(data: DataFrame, queries: DataFrame, k: int, id_col: str = "id", features: str = "features", distance: Distance = euclidian, keep_self: bool = True) -> DataFrame:
-    """(query_id, id, distance, rnk): the k nearest rows of each query, ties to the smaller id."""
+def _by_balls(data: DataFrame, queries: DataFrame, distance: Distance, how: str) -> bool:
+    if how not in ("auto", "pairs", "balls"):
+        raise ParametersError(f"a search goes by auto, pairs or balls, not {how}")
+    if how == "balls" and not is_metric(distance):
+        raise ParametersError("only a metric's balls tell what is near; mark it by functions.distance.metric")
+    return how == "balls" or how == "auto" and is_metric(distance) and data.count() * queries.count() > ALL_PAIRS
+
+
+def knn(data: DataFrame, queries: DataFrame, k: int, id_col: str = "id", features: str = "features", distance: Distance = euclidian, keep_self: bool = True, how: str = "auto") -> DataFrame:
+    """(query_id, id, distance, rnk): the k nearest rows of each query, ties to the smaller id.
+
+    ``how`` is ``pairs`` to compare all, ``balls`` to leave out what the triangle
+    inequality excludes, and by default the one or the other by the number of pairs.
+    """
     if k < 1:
         raise FindFailed("k should be at least 1")
     if data.limit(k).count() < k:
         raise FindFailed("k is larger than the number of rows")
+    if _by_balls(data, queries, distance, how):
+        return knn_join(balls(data, id_col, features, distance), queries, k, id_col, features, keep_self)
     p = _pairs(data, queries, id_col, features)
     p = p if keep_self else p.where("id <> query_id")
     near = p.select("query_id", "id", distance(F.col("v"), F.col("q")).alias("distance"))
@@ -43,10 +61,12 @@ def knn(data: DataFrame, queries: DataFrame, k: int, id_col: str = "id", feature
     return near.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
 
 
-def radius(data: DataFrame, queries: DataFrame, r: float, id_col: str = "id", features: str = "features", distance: Distance = euclidian) -> DataFrame:
-    """(query_id, id, distance): all rows within r, the bound included."""
+def radius(data: DataFrame, queries: DataFrame, r: float, id_col: str = "id", features: str = "features", distance: Distance = euclidian, how: str = "auto") -> DataFrame:
+    """(query_id, id, distance): all rows within r, the bound included; ``how`` is as in ``knn``."""
     if r <= 0:
         raise FindFailed("the radius should be positive")
+    if _by_balls(data, queries, distance, how):
+        return radius_join(balls(data, id_col, features, distance), queries, r, id_col, features)
     p = _pairs(data, queries, id_col, features)
     return p.select("query_id", "id", distance(F.col("v"), F.col("q")).alias("distance")).where(F.col("distance") <= r)
 
@@ -70,22 +90,24 @@ def radius_grid(data: DataFrame, r: float, id_col: str = "id", features: str = "
     return near.where(F.col("distance") <= r)
 
 
-def closest_pair(data: DataFrame, id_col: str = "id", features: str = "features") -> DataFrame:
+def closest_pair(data: DataFrame, id_col: str = "id", features: str = "features", distance: Distance = euclidian) -> DataFrame:
     """(node, neighbour, distance, squared) of the two closest rows, the smallest ids among ties.
 
-    The closest two of a bounded sample bound the distance, and only rows of
-    neighbouring cells of that width are compared.
+    Equal rows are found by grouping. Without any, the closest two of a bounded
+    sample bound the distance, and a radius join by balls finds the pairs within it.
     """
     if data.limit(3).count() < 3:
         raise ParametersError("at least three rows are needed")
-    v = data.select(F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("features"))
+    v = materialise(data.select(F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("features")), "closest-rows")
+    twice = v.groupBy("features").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("node").limit(1)
+    if not (twice := materialise(twice, "equal-rows")).isEmpty():
+        pair = v.join(F.broadcast(twice), "features").where("id > node").groupBy("node").agg(F.min("id").alias("neighbour"))
+        return pair.select("node", "neighbour", F.lit(0.0).alias("distance"), F.lit(0.0).alias("squared"))
     some = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    bound, dims = _pairs(some, some, "id", "features").where("id > query_id").agg(F.min(euclidian(F.col("v"), F.col("q"))), F.max(F.size("v"))).first()
-    # Cells are not so narrow that their numbers would overflow.
-    scale = v.agg(F.max(F.array_max(F.transform("features", F.abs)))).first()[0] or 1.0
-    near = radius_grid(v, max(bound * (1 + 1e-9), scale * 1e-12), dims=min(dims, 3)).where("id > query_id")
-    near = near.select(F.col("query_id").alias("node"), F.col("id").alias("neighbour"), "distance", "squared")
-    return near.orderBy("squared", "node", "neighbour").limit(1).select("node", "neighbour", "distance", "squared")
+    bound = _pairs(some, some, "id", "features").where("id > query_id").agg(F.min(distance(F.col("v"), F.col("q")))).first()[0]
+    near = radius_join(balls(v, "id", "features", distance), v, bound * (1 + 1e-9)) if is_metric(distance) else radius(v, v, bound * (1 + 1e-9), distance=distance, how="pairs")
+    near = near.where("id > query_id").select(F.col("query_id").alias("node"), F.col("id").alias("neighbour"), "distance", (F.col("distance") * F.col("distance")).alias("squared"))
+    return near.orderBy("distance", "node", "neighbour").limit(1)
 
 
 def _weights(near: DataFrame, weight: str) -> DataFrame:

@@ -375,6 +375,25 @@ def _(spark, d):
     return neighbors.radius(t, t.where("id % 100 = 0"), 1.25).select("query_id", "id", r6("distance").alias("distance"))
 
 
+@query("knn_search_balls", _NEAR + "SELECT query_id, id, round(d, 6) distance, rnk::INT rnk FROM n WHERE rnk <= 4")
+def _(spark, d):
+    t = _train(spark, d)
+    return neighbors.knn(t, t.where("id % 100 = 0"), 4, how="balls").select("query_id", "id", r6("distance").alias("distance"), "rnk")
+
+
+@query("radius_search_balls", _NEAR.replace("list_distance(e.v, q.v)", "list_sum([abs(z[1] - z[2]) FOR z IN list_zip(e.v, q.v)])") + "SELECT query_id, id, round(d, 6) distance FROM n WHERE d <= 8.0")
+def _(spark, d):
+    t = _train(spark, d)
+    return neighbors.radius(t, t.where("id % 100 = 0"), 8.0, distance=distance.manhattan, how="balls").select("query_id", "id", r6("distance").alias("distance"))
+
+
+@query("knn_graph", "WITH p AS (SELECT s_suppkey i, s_acctbal / 100 x, s_nationkey::DOUBLE y FROM supplier), k AS (SELECT a.i query_id, b.i id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d FROM p a, p b WHERE a.i <> b.i), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) rnk FROM k) SELECT query_id::BIGINT query_id, id::BIGINT id, round(d, 6) distance, rnk::INT rnk FROM r WHERE rnk <= 3")
+def _(spark, d):
+    """The three nearest others of every row, in two dimensions, where balls leave most pairs out."""
+    p = _points(spark, d)
+    return neighbors.knn(p, p, 3, keep_self=False, how="balls").select("query_id", "id", r6("distance").alias("distance"), "rnk")
+
+
 @query(
     "radius_grid",
     "WITH c AS (SELECT s_suppkey i, s_acctbal / 100 x, s_nationkey::DOUBLE y FROM supplier) SELECT a.i query_id, b.i id, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) distance FROM c a, c b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3",
@@ -660,7 +679,7 @@ def _points(spark, d):
 @query("dbscan", _DB)
 def _(spark, d):
     p = _points(spark, d)
-    return cluster.dbscan(p, 3.0, 4, pairs=neighbors.radius_grid(p, 3.0)).labels.select("id", "cluster")
+    return cluster.dbscan(p, 3.0, 4).labels.select("id", "cluster")
 
 
 _DB_VOTE = _DB.replace("\nSELECT c.i id", ",\nl AS (SELECT c.i id") + """),
@@ -671,7 +690,7 @@ SELECT query_id::BIGINT query_id, (g + 1)::BIGINT prediction FROM (SELECT *, row
 @query("dbscan_predict", _DB_VOTE)
 def _(spark, d):
     p = _points(spark, d)
-    return cluster.dbscan(p, 3.0, 4, pairs=neighbors.radius_grid(p, 3.0)).predict(p)
+    return cluster.dbscan(p, 3.0, 4).predict(p)
 
 
 # -- trees, machines ------------------------------------------------------------------------
