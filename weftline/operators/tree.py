@@ -1,10 +1,11 @@
-"""Decision trees and forests, grown a level at a time by group-bys.
-
-All open nodes of all trees are split in one job: counts for each (tree, node,
-feature, value), running sums in value order, the best threshold of each
-feature. Only a row for each node and feature reaches the driver. With ``bins``
-values are first cut at quantiles, which bounds what a node and feature can
-hold; without it every boundary between two values is tried.
+"""Decision trees and forests.
+
+With ``bins`` or ``cuts``, and for all forests, trees are grown from histograms
+of binned values (``operators/histograms.py``); this is the way for large tables.
+Without, a single tree tries every boundary between two values: it is grown a
+level at a time by group-bys, all open nodes in one job, with counts for each
+(node, feature, value), running sums in value order, and the best threshold of
+each feature.
 """
 
 from __future__ import annotations
@@ -12,14 +13,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import floor, log2, sqrt
-from random import Random
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from weftline.errors import FitFailed
 from weftline.frame import small
+from weftline.operators import histograms
 from weftline.session import materialise
 
+#: Bins of a forest's values unless told otherwise.
+FOREST_BINS = 64
+#: Nodes of a forest that are literals of a plan; a larger one goes to the tasks as arrays.
+PLAN_NODES = 2000
 #: Levels of a tree, as node numbers double with each; a tree without ``max_depth`` that needs more is an error.
 MAX_LEVELS = 60
 
@@ -43,7 +50,8 @@ class Forest:
     columns: tuple[str, ...]
     trees: list[Node]
     classes: tuple | None = None
-    in_bag: Column | None = field(default=None, repr=False)
+    #: (id, w) of a forest: how often each tree has drawn each row.
+    bags: DataFrame | None = field(default=None, repr=False)
 
     def _value(self, node: Node) -> Column:
         if node.left is None:
@@ -64,13 +72,56 @@ class Forest:
         best = F.array_position(count, F.array_max(count)).cast("int")
         return F.when(F.size(cast) > 0, F.element_at(F.array(*(F.lit(c) for c in self.classes)), best))
 
-    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        return df.withColumn(name, self._vote(F.array(*(self._value(t) for t in self.trees))))
+    def _nodes(self) -> list[tuple[np.ndarray, ...]]:
+        """Each tree as arrays by node: column (-1 for a leaf), threshold, left child, value; the right child follows the left."""
+        out = []
+        for root in self.trees:
+            nodes, left, at = [root], [], 0
+            while at < len(nodes):
+                n = nodes[at]
+                left.append(len(nodes) if n.left is not None else 0)
+                nodes += [n.left, n.right] if n.left is not None else []
+                at += 1
+            out.append((np.array([n.feature if n.left is not None else -1 for n in nodes]), np.array([n.threshold for n in nodes]), np.array(left), np.array([float(n.value) for n in nodes])))
+        return out
+
+    def _results(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``__votes``, the result of each tree."""
+        if sum(map(_size, self.trees)) <= PLAN_NODES:
+            return df.withColumn("__votes", F.array(*(self._value(t) for t in self.trees)))
+        sent, p, of = df.sparkSession.sparkContext.broadcast((self._nodes(), self.depth)), len(self.columns), len(df.columns)
+
+        def run(batches):
+            nodes, depth = sent.value
+            for b in batches:
+                x = np.stack([b.column(of + j).to_numpy(zero_copy_only=False) for j in range(p)], 1)
+                every, votes = np.arange(len(x)), []
+                for feature, threshold, left, value in nodes:
+                    node = np.zeros(len(x), np.int64)
+                    for _ in range(depth):
+                        f = feature[node]
+                        inner = f >= 0
+                        node = np.where(inner, left[node] + ~(x[every, np.where(inner, f, 0)] <= threshold[node]), node)
+                    votes.append(value[node])
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(nodes))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(of)), pa.ListArray.from_arrays(ends, pa.array(np.stack(votes, 1).ravel()))], names=[*b.schema.names[:of], "__votes"])
+
+        wide = df.select(*df.columns, *(F.col(c).cast("double").alias(f"__x{j}") for j, c in enumerate(self.columns)))
+        found = wide.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__votes", T.ArrayType(T.DoubleType()))]))
+        return found if self.classes is None else found.withColumn("__votes", F.col("__votes").cast("array<int>"))
 
-    def predict_oob(self, df: DataFrame, id_col: str, seed: int = 0, name: str = "prediction") -> DataFrame:
-        """Votes of the trees whose sample left a row out; null where none did."""
-        votes = [F.when(bootstrap(F.col(id_col), t, seed) == 0, self._value(node)) for t, node in enumerate(self.trees)]
-        return df.withColumn(name, self._vote(F.array(*votes)))
+    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """``df`` with the forest's result in ``name``; a null value goes to the right at each split."""
+        return self._results(df).withColumn(name, self._vote(F.col("__votes"))).drop("__votes")
+
+    def predict_oob(self, df: DataFrame, id_col: str, name: str = "prediction") -> DataFrame:
+        """Votes of the trees whose sample left a row out; null where none did, or for a row that was not learnt from."""
+        if self.bags is None:
+            raise FitFailed("a single tree has no samples")
+        own = self.bags.select(F.col("id").alias("__bag"), F.col("w").alias("__w"))
+        rows = self._results(df).join(own, F.col(id_col).cast("long") == F.col("__bag"), "left")
+        left_out = F.zip_with("__votes", "__w", lambda v, w: F.when(w == 0, v))
+        return rows.withColumn(name, self._vote(F.coalesce(left_out, F.array().cast("array<double>")))).drop("__votes", "__bag", "__w")
 
     @property
     def depth(self) -> int:
@@ -95,19 +146,8 @@ class Forest:
         return [v / total if normalize and total else v for v in out]
 
 
-def bootstrap(key: Column, tree: int | Column, seed: int) -> Column:
-    """How often a row is in a tree's sample: a Poisson count of mean 1 from a hash."""
-    tree = tree if isinstance(tree, Column) else F.lit(tree)
-    u = F.pmod(F.xxhash64(key, tree, F.lit(seed)), F.lit(2**53)) / float(2**53)
-    out, p, c = F.lit(8), 0.36787944117144233, 0.0
-    bounds = []
-    for i in range(8):
-        c += p
-        bounds.append((i, c))
-        p /= i + 1
-    for i, b in reversed(bounds):
-        out = F.when(u < b, F.lit(i)).otherwise(out)
-    return out
+def _size(n: Node) -> int:
+    return 1 if n.left is None else 1 + _size(n.left) + _size(n.right)
 
 
 def _impurity(counts: list[Column], n: Column, criterion: str) -> Column:
@@ -159,19 +199,10 @@ def best_splits(rows: DataFrame, k: int | None, criterion: str = "gini", min_lea
     return run.groupBy("tree", "node", "j").agg(best.alias("b")).select("tree", "node", "j", "b.gain", "b.threshold")
 
 
-def _binned(x: Column, cuts: list[float]) -> Column:
-    return F.coalesce(F.array_min(F.filter(F.lit(sorted(set(cuts))), lambda t: t >= x)), F.lit(max(cuts) + 1.0))
-
-
-def _grow(df: DataFrame, columns: Sequence[str], y: Column, k: int | None, classes, trees: int, weight: Column | None, m: int, max_depth: int | None, min_leaf: int, min_split: int, criterion: str, seed: int, bins: int | None) -> Forest:
+def _grow(df: DataFrame, columns: Sequence[str], y: Column, k: int | None, classes, max_depth: int | None, min_leaf: int, min_split: int, criterion: str) -> Forest:
+    """One tree with exact thresholds."""
     v = [F.col(c).cast("double") for c in columns]
-    if bins:
-        cuts = df.agg(*(F.percentile_approx(c, [i / bins for i in range(1, bins)]) for c in v)).first()
-        # A value becomes the least cut not below it; what lies above all cuts shares one value.
-        v = [_binned(c, q) for c, q in zip(v, cuts, strict=True)]
-    rows = df.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree") if trees > 1 else F.lit(0).alias("tree"), y.alias("y"), F.array(*v).alias("v"), *([weight.alias("__key")] if weight is not None else []))
-    w = bootstrap(F.col("__key"), F.col("tree"), seed).cast("double") if weight is not None else F.lit(1.0)
-    rows = materialise(rows.withColumn("w", w).where("w > 0").select("tree", F.lit(0).cast("long").alias("node"), "w", "y", "v"), "tree-rows")
+    rows = materialise(df.select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("node"), F.lit(1.0).alias("w"), y.alias("y"), F.array(*v).alias("v")), "tree-rows")
     open_: dict[tuple[int, int], Node] = {}
     roots: dict[int, Node] = {}
     depth = min(max_depth or MAX_LEVELS, MAX_LEVELS)
@@ -204,11 +235,9 @@ def _grow(df: DataFrame, columns: Sequence[str], y: Column, k: int | None, class
             raise FitFailed(f"the tree needs more than {MAX_LEVELS} levels; set max_depth")
         if level == depth or not live:
             break
-        # Features that a node does not look at are left out before anything is counted.
-        asked = [(t, node, sorted(Random(f"{seed}/{(t, node)}").sample(range(len(columns)), min(m, len(columns))))) for t, node in sorted(live)]
-        wanted = small(df.sparkSession.createDataFrame(asked, "tree int, node long, js array<int>"))
+        wanted = small(df.sparkSession.createDataFrame(sorted(live), "tree int, node long"))
         found: dict[tuple[int, int], tuple] = {}
-        for r in best_splits(rows.join(wanted, ["tree", "node"]), k, criterion, min_leaf, not bins).collect():
+        for r in best_splits(rows.join(wanted, ["tree", "node"]), k, criterion, min_leaf).collect():
             key = (r.tree, r.node)
             if r.gain > 1e-12 and (key not in found or (r.gain, -r.j) > (found[key][0], -found[key][1])):
                 found[key] = (r.gain, r.j, r.threshold)
@@ -244,20 +273,60 @@ def _number(label: str, classes: tuple) -> Column:
     return (F.array_position(F.array(*(F.lit(c) for c in classes)), F.col(label)) - 1).cast("int")
 
 
-def decision_tree_classifier(df: DataFrame, columns: Sequence[str], label: str, criterion: str = "gini", max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, bins: int | None = None) -> Forest:
+def _from_histograms(df: DataFrame, columns: Sequence[str], y: Column, k: int | None, classes, id_col: str | None, trees: int, m: int, bins: int | None, cuts: Sequence[Sequence[float]] | None, max_depth: int | None, min_leaf: int, min_split: int, criterion: str, seed: int, bag: bool) -> Forest:
+    cuts = [sorted(set(map(float, c))) for c in cuts] if cuts is not None else histograms.quantile_cuts(df, columns, bins or FOREST_BINS)
+    if len(cuts) != len(columns):
+        raise FitFailed(f"{len(columns)} columns need as many lists of cuts, not {len(cuts)}")
+
+    def gain(_) -> Column:
+        if k:
+            part = lambda s: _impurity([F.col(f"{s}_c{i}") for i in range(k)], F.col(f"{s}_n"), criterion)
+            return part("t") - F.col("l_n") / F.col("t_n") * part("l") - F.col("r_n") / F.col("t_n") * part("r")
+        power = lambda s: F.try_divide(F.col(f"{s}_s") * F.col(f"{s}_s"), F.col(f"{s}_n"))
+        return power("l") + power("r") - power("t")
+
+    def told(sums: list[float]) -> tuple[object, float, bool]:
+        """The value of a node, its impurity, and whether it stays a leaf."""
+        n, *c = sums
+        if k:
+            return max(range(k), key=lambda i: (c[i], -i)), impurity([x / n for x in c], criterion), max(c) == n or n <= min_split
+        mean = c[0] / n
+        spread = max(c[1] / n - mean**2, 0.0)
+        return mean, spread, spread <= 1e-14 * max(1.0, mean**2) or n < min_split
+
+    grown, sums, blocks = histograms.grow(df, columns, y, k, gain, id_col, trees, m, cuts, max_depth, min_leaf, lambda s: told(s)[2], seed, bag)
+
+    def node(t: int, i: int) -> Node:
+        value, spread, _ = told(sums[t][i])
+        out, g = Node(value, sums[t][i][0], spread), grown[t]
+        if g.feature[i] >= 0:
+            out.feature, out.threshold = g.feature[i], cuts[g.feature[i]][g.bin[i]]
+            out.left, out.right = node(t, g.left[i]), node(t, g.left[i] + 1)
+        return out
+
+    of = histograms.bags(blocks, len(columns), cuts, k, trees, seed) if bag else None
+    return Forest(tuple(columns), [node(t, 0) for t in range(trees)], classes, of)
+
+
+def decision_tree_classifier(df: DataFrame, columns: Sequence[str], label: str, criterion: str = "gini", max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, bins: int | None = None, cuts: Sequence[Sequence[float]] | None = None) -> Forest:
+    """A tree; thresholds are any, with ``bins`` quantiles, with ``cuts`` of each column's own."""
     classes = _classes(df, label)
-    return _grow(df, columns, _number(label, classes), len(classes), classes, 1, None, len(columns), max_depth, min_samples_leaf, min_samples_split, criterion, 0, bins)
+    if bins or cuts is not None:
+        return _from_histograms(df, columns, _number(label, classes), len(classes), classes, None, 1, len(columns), bins, cuts, max_depth, min_samples_leaf, min_samples_split, criterion, 0, False)
+    return _grow(df, columns, _number(label, classes), len(classes), classes, max_depth, min_samples_leaf, min_samples_split, criterion)
 
 
-def decision_tree_regressor(df: DataFrame, columns: Sequence[str], target: str, max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, bins: int | None = None) -> Forest:
-    return _grow(df, columns, F.col(target).cast("double"), None, None, 1, None, len(columns), max_depth, min_samples_leaf, min_samples_split, "", 0, bins)
+def decision_tree_regressor(df: DataFrame, columns: Sequence[str], target: str, max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, bins: int | None = None, cuts: Sequence[Sequence[float]] | None = None) -> Forest:
+    if bins or cuts is not None:
+        return _from_histograms(df, columns, F.col(target), None, None, None, 1, len(columns), bins, cuts, max_depth, min_samples_leaf, min_samples_split, "", 0, False)
+    return _grow(df, columns, F.col(target).cast("double"), None, None, max_depth, min_samples_leaf, min_samples_split, "")
 
 
-def random_forest_classifier(df: DataFrame, columns: Sequence[str], label: str, id_col: str, n_trees: int = 100, m: int | None = None, criterion: str = "gini", max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, seed: int = 0, bins: int | None = None) -> Forest:
-    """Trees on Poisson bootstrap samples; each node looks at ``m`` columns, floor(sqrt(p)) by default."""
+def random_forest_classifier(df: DataFrame, columns: Sequence[str], label: str, id_col: str, n_trees: int = 100, m: int | None = None, criterion: str = "gini", max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, seed: int = 0, bins: int | None = None, cuts: Sequence[Sequence[float]] | None = None) -> Forest:
+    """Trees on bootstrap samples that draw as many rows of each class as there are; each node looks at ``m`` columns, floor(sqrt(p)) by default."""
     classes = _classes(df, label)
-    return _grow(df, columns, _number(label, classes), len(classes), classes, n_trees, F.col(id_col), m or floor(sqrt(len(columns))), max_depth, min_samples_leaf, min_samples_split, criterion, seed, bins)
+    return _from_histograms(df, columns, _number(label, classes), len(classes), classes, id_col, n_trees, m or floor(sqrt(len(columns))), bins, cuts, max_depth, min_samples_leaf, min_samples_split, criterion, seed, True)
 
 
-def random_forest_regressor(df: DataFrame, columns: Sequence[str], target: str, id_col: str, n_trees: int = 10, m: int | None = None, max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, seed: int = 0, bins: int | None = None) -> Forest:
-    return _grow(df, columns, F.col(target).cast("double"), None, None, n_trees, F.col(id_col), m or floor(sqrt(len(columns))), max_depth, min_samples_leaf, min_samples_split, "", seed, bins)
+def random_forest_regressor(df: DataFrame, columns: Sequence[str], target: str, id_col: str, n_trees: int = 10, m: int | None = None, max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2, seed: int = 0, bins: int | None = None, cuts: Sequence[Sequence[float]] | None = None) -> Forest:
+    return _from_histograms(df, columns, F.col(target), None, None, id_col, n_trees, m or floor(sqrt(len(columns))), bins, cuts, max_depth, min_samples_leaf, min_samples_split, "", seed, True)

@@ -742,10 +742,54 @@ def _(spark, d):
     return tree.decision_tree_classifier(e, [f"f{j}" for j in range(64)], "label", max_depth=2).predict(e).select("vec_id", "prediction")
 
 
-@query("decision_tree_regressor")
+#: Cuts of each component for trees that learn from binned values; a value counts as the least cut not below it.
+_CUTS = [-0.2, -0.1, -0.05, 0.0, 0.05, 0.1, 0.2]
+_CUT = "CASE " + " ".join(f"WHEN x <= {c} THEN {c}" for c in _CUTS) + " ELSE 9.0 END::DOUBLE x"
+
+
+@query("decision_tree_classifier_binned", _TREE.replace("SELECT 1 node, vec_id, label y, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE x FROM embeddings", f"SELECT 1 node, vec_id, y, j, {_CUT} FROM (SELECT vec_id, label y, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE x FROM embeddings)"))
+def _(spark, d):
+    e = _emb(spark, d)
+    return tree.decision_tree_classifier(e, [f"f{j}" for j in range(64)], "label", max_depth=2, cuts=[_CUTS] * 64).predict(e).select("vec_id", "prediction")
+
+
+def _best_mean(rows: str) -> str:
+    """(node, j, t): the split of (node, vec_id, y, j, x) that leaves the least squares in each node."""
+    return f"""(SELECT node, j, t FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, t) r FROM (
+      SELECT node, j, x t, ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn gain
+      FROM (SELECT node, j, x, lead(x) OVER o nx, sum(sum(y)) OVER o ls, sum(count(*)) OVER o ln, sum(sum(y)) OVER p ts, sum(count(*)) OVER p tn FROM {rows} GROUP BY node, j, x WINDOW o AS (PARTITION BY node, j ORDER BY x), p AS (PARTITION BY node, j))
+      WHERE nx IS NOT NULL) WHERE gain > 1e-12) WHERE r = 1)"""
+
+
+@query(
+    "decision_tree_regressor",
+    f"""WITH c0 AS (SELECT 1 node, vec_id, y, j, {_CUT} FROM (SELECT vec_id, embedding[64]::DOUBLE y, generate_subscripts(embedding, 1) - 1 j, unnest(embedding)::DOUBLE x FROM embeddings) WHERE j < 63),
+s0 AS {_best_mean("c0")}, n1 AS (SELECT vec_id, CASE WHEN x <= t THEN 2 ELSE 3 END node FROM c0 JOIN s0 USING (node, j)),
+c1 AS (SELECT n1.node, vec_id, y, j, x FROM c0 JOIN n1 USING (vec_id)), s1 AS {_best_mean("c1")},
+n2 AS (SELECT c1.vec_id, c1.node * 2 + CASE WHEN c1.x <= s1.t THEN 0 ELSE 1 END node FROM c1 JOIN s1 ON c1.node = s1.node AND c1.j = s1.j),
+leaf AS (SELECT vec_id, coalesce(n2.node, n1.node) node, embedding[64]::DOUBLE y FROM n1 LEFT JOIN n2 USING (vec_id) JOIN embeddings USING (vec_id))
+SELECT vec_id, round(avg(y) OVER (PARTITION BY node), 6) + 0.0 prediction FROM leaf""",
+)
 def _(spark, d):
     e = _emb(spark, d)
-    return tree.decision_tree_regressor(e, _PARTS, "f63", max_depth=3).predict(e).select("vec_id", "prediction")
+    return tree.decision_tree_regressor(e, _PARTS, "f63", max_depth=2, cuts=[_CUTS] * 63).predict(e).select("vec_id", (r6("prediction") + 0.0).alias("prediction"))
+
+
+@query("forest_bags", "SELECT t::INT tree, label, count(*)::BIGINT drawn FROM embeddings, range(5) r(t) GROUP BY ALL")
+def _(spark, d):
+    """Each tree of a forest draws as many rows of each class as the class has."""
+    e = _emb(spark, d, 8)
+    f = tree.random_forest_classifier(e, [f"f{j}" for j in range(8)], "label", "vec_id", n_trees=5, max_depth=1)
+    drawn = f.bags.select(F.col("id").alias("vec_id"), F.posexplode("w").alias("tree", "w")).join(e.select("vec_id", "label"), "vec_id")
+    return drawn.groupBy("tree", "label").agg(F.sum("w").alias("drawn"))
+
+
+@query("forest_oob", "SELECT vec_id FROM embeddings")
+def _(spark, d):
+    """Rows with a vote by the trees that left them out: of sixty-four trees some leave out each row."""
+    e = _emb(spark, d, 8)
+    f = tree.random_forest_classifier(e, [f"f{j}" for j in range(8)], "label", "vec_id", n_trees=64, max_depth=2)
+    return f.predict_oob(e, "vec_id").where("prediction is not null").select("vec_id")
 
 
 @query("random_forest_classifier")

@@ -29,7 +29,7 @@ def to_json(value, tables: list[DataFrame] | None = None):
         tables.append(value)
         return {"table": len(tables) - 1}
     if dataclasses.is_dataclass(value):
-        kept = [f.name for f in dataclasses.fields(value) if f.init and f.name != "in_bag"]
+        kept = [f.name for f in dataclasses.fields(value) if f.init]
         return {"kind": type(value).__name__, "fields": {n: to_json(getattr(value, n), tables) for n in kept}}
     if isinstance(value, tuple):
         return {"tuple": [to_json(v, tables) for v in value]}
