@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import distance, kernels, scalar, vectors
-from weftline.operators import cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, solvers, svm, tree
+from weftline.operators import cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, solvers, svm, tiles, tree
 from weftline.operators.linalg import gram
-from weftline.session import shared_dir
+from weftline.session import materialise, shared_dir
 from weftline.sources import csv, datasets
 from weftline.streaming import scoring
 
@@ -179,6 +179,71 @@ def _(spark, d):
     return matrix.matmul(c, c, transpose_a=True).select("i", "j", (F.round("value", 5) + 0.0).alias("value"))
 
 
+def _rows(spark, d, turned: bool = False):
+    """The vectors as a matrix in tiles; ``turned`` moves each one's first component to its end."""
+    v = F.col("embedding").cast("array<double>")
+    e = table(spark, d, "embeddings").select("vec_id", (F.concat(F.slice(v, 2, 64), F.slice(v, 1, 1)) if turned else v).alias("v"))
+    return tiles.from_rows(e, "vec_id", "v", e.count(), 64)
+
+
+@query("matrix_gram_tiles", _CELLS + "SELECT a.j::BIGINT i, b.j::BIGINT j, round(sum(a.v * b.v), 5) + 0.0 \"value\" FROM c a JOIN c b USING (i) GROUP BY a.j, b.j")
+def _(spark, d):
+    x = _rows(spark, d)
+    return x.transpose().multiply(x).cells().select("i", "j", (F.round("value", 5) + 0.0).alias("value"))
+
+
+def _square(spark, d, turned: bool, shift: float):
+    """All vectors' products with all, the second ones turned or not, and a number on the diagonal."""
+    x = _rows(spark, d)
+    a = x.multiply(_rows(spark, d, turned).transpose())
+    diagonal = spark.range(a.rows).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(shift).alias("value"))
+    return tiles.from_cells(a.cells().union(diagonal), a.rows, a.rows)
+
+
+_SQUARE = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings) SELECT a.vec_id::BIGINT i, b.vec_id::BIGINT j, round(list_dot_product(a.v, {}) + CASE WHEN a.vec_id = b.vec_id THEN {} ELSE 0 END, 5) + 0.0 \"value\" FROM e a, e b"
+
+
+@query("matrix_cholesky", _SQUARE.format("b.v", "1.0"))
+def _(spark, d):
+    """L L' of the lower factor is the matrix again."""
+    a = _square(spark, d, False, 1.0)
+    lower = tiles.from_cells(tiles.cholesky(a), a.rows, a.rows)
+    return lower.multiply(lower.transpose()).cells().select("i", "j", (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query("matrix_lu", _SQUARE.format("(b.v[2:64] || b.v[1:1])", "3.0"))
+def _(spark, d):
+    """L U, its rows put back from pivot order, is the matrix again."""
+    a = _square(spark, d, True, 3.0)
+    f = tiles.lu(a)
+    lower, upper = (tiles.from_cells(c, a.rows, a.rows) for c in (f.lower(), f.upper()))
+    order = spark.createDataFrame(list(enumerate(f.order.tolist())), "t long, row long")
+    found = lower.multiply(upper).cells().withColumnRenamed("i", "t").join(F.broadcast(order), "t")
+    return found.select(F.col("row").alias("i"), "j", (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query("matrix_solve", "SELECT vec_id::BIGINT i, (vec_id % 7 + 0.5)::DOUBLE AS \"value\" FROM embeddings")
+def _(spark, d):
+    """A system made from its solution."""
+    a = _square(spark, d, True, 3.0)
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), (F.col("vec_id") % 7 + 0.5).alias("value"))
+    b = matrix.matvec(a.cells(), x)
+    return tiles.solve(a, b.select("i", F.lit(0).cast("long").alias("j"), "value")).select("i", (r6("value") + 0.0).alias("value"))
+
+
+@query("gram_eigenpairs", "SELECT k::INT k, 0.0::DOUBLE residual, 1.0::DOUBLE norm FROM range(10) t(k)")
+def _(spark, d):
+    """The ten greatest eigenvalues of the Gram matrix: what is left of G v - t v, by plain sums over all cells."""
+    values, vectors, _ = tiles.gram_eigenpairs(_rows(spark, d), 10)
+    v = materialise(vectors.cells().select(F.col("i").alias("j"), F.col("j").cast("int").alias("k"), F.col("value").alias("v")), "vectors")
+    cells = _cells(spark, d)
+    along = cells.join(F.broadcast(v), "j").groupBy("i", "k").agg(F.sum(F.col("value") * F.col("v")).alias("p"))
+    back = cells.join(along, "i").groupBy("j", "k").agg(F.sum(F.col("value") * F.col("p")).alias("g"))
+    t = F.element_at(F.array(*(F.lit(float(x)) for x in values)), F.col("k") + 1)
+    left = back.join(v, ["j", "k"]).groupBy("k").agg(F.sqrt(F.sum((F.col("g") - t * F.col("v")) ** 2) / F.first(t) ** 2).alias("r"), F.sum(F.col("v") ** 2).alias("n"))
+    return left.select("k", (F.round("r", 6) + 0.0).alias("residual"), F.round("n", 6).alias("norm"))
+
+
 @query("matrix_vector", _CELLS + "SELECT i, round(sum(v * (j + 1)), 5) + 0.0 \"value\" FROM c GROUP BY i")
 def _(spark, d):
     x = spark.range(64).select(F.col("id").cast("int").alias("i"), (F.col("id") + 1.0).alias("value"))
