@@ -35,7 +35,7 @@ from weftline.session import arrow_rows, materialise
 #: Rows of a side that is broadcast at most; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 #: Rows of the Arrow batches in which texts and full sets pass to Python.
-BATCH_ROWS = 1000
+BATCH_ROWS = 200
 #: A block of a tile holds about so many sets and so many values in them.
 BLOCK_SETS, BLOCK_VALUES = 512, 500_000
 #: Sets of a text are hashed at most so many values at a time.
