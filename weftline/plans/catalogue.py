@@ -11,7 +11,7 @@ from weftline.operators import cluster, decomposition, linear, logistic, matrix,
 from weftline.operators.linalg import gram
 from weftline.session import materialise, shared_dir
 from weftline.sources import csv, datasets
-from weftline.streaming import scoring
+from weftline.streaming import kept, scoring
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -997,3 +997,46 @@ def _(spark, d):
     q = scoring.running_stats(stream, ["value"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/weftline/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("value_n", r6("value_mean").alias("value_mean"), F.round("value_var", 4).alias("value_var"))
+
+
+def _parts_of_events(spark, d, name):
+    """The events in several files, so that a stream of them has several batches."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").cast("double").alias("u"), F.length("event_type").cast("double").alias("t"), "value", "event_type", F.array("value", F.col("user_id").cast("double")).alias("features"))
+    path = f"{shared_dir(spark)}/weftline/{name}"
+    e.repartition(4, "event_id").write.parquet(f"{path}/in")
+    return path, spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@query(
+    "stream_linear_model",
+    "WITH s AS (SELECT avg(user_id) a, avg(length(event_type)) b, avg(value) m, var_pop(user_id) v1, var_pop(length(event_type)) v2, covar_pop(user_id, length(event_type)) v12, covar_pop(user_id, value) c1, covar_pop(length(event_type), value) c2 FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL), w AS (SELECT (v2 * c1 - v12 * c2) / (v1 * v2 - v12 * v12) w1, (v1 * c2 - v12 * c1) / (v1 * v2 - v12 * v12) w2, a, b, m FROM s) SELECT 'u' term, round(w1, 5) + 0.0 w FROM w UNION ALL SELECT 't', round(w2, 5) + 0.0 FROM w UNION ALL SELECT 'intercept', round(m - w1 * a - w2 * b, 5) + 0.0 FROM w",
+)
+def _(spark, d):
+    """Least squares kept by a stream; its last batch is run twice, as after a failure."""
+    path, stream = _parts_of_events(spark, d, f"kept_{uuid.uuid4().hex}")
+    model = kept.KeptLinear(f"{path}/sums", ("u", "t"), "value")
+    model.start(stream, f"{path}/checkpoint", availableNow=True).awaitTermination()
+    last = kept.batches(spark, model.path)[-1]
+    before, again = (kept.total(spark, model.path, b).withColumnRenamed("v", n) for b, n in ((last - 1, "b"), (last, "a")))
+    batch = again.join(before, ["i", "j"]).select("i", "j", (F.col("a") - F.col("b")).alias("v"))
+    kept.add_batch(model.path, lambda df: df, ["i", "j"])(materialise(batch, "last-batch"), last)
+    return _coef(spark, model.model(spark), 5)
+
+
+@query("stream_class_stats", "SELECT event_type label, 0 j, count(value) n, round(avg(value), 5) theta, round(var_pop(value), 3) var FROM events GROUP BY 1 UNION ALL SELECT event_type, 1, count(user_id), round(avg(user_id), 5), round(var_pop(user_id), 3) FROM events GROUP BY 1")
+def _(spark, d):
+    path, stream = _parts_of_events(spark, d, f"classes_{uuid.uuid4().hex}")
+    model = kept.KeptClasses(f"{path}/sums", "event_type")
+    model.start(stream, f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return model.stats(spark).select("label", "j", "n", F.round("theta", 5).alias("theta"), F.round("var", 3).alias("var"))
+
+
+@query("xy_round_trip", "SELECT vec_id, label::DOUBLE target, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 total FROM embeddings")
+def _(spark, d):
+    """Written to several files and read back; the identifier goes along as a feature."""
+    path = f"{shared_dir(spark)}/weftline/xy-{uuid.uuid4().hex}"
+    e = table(spark, d, "embeddings").select(F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("features"), F.col("label").alias("target"), "vec_id")
+    datasets.write_xy(e.repartition(4, "vec_id"), path)
+    back = datasets.read_xy(spark, path)
+    total = F.aggregate(F.slice("features", 2, 64), F.lit(0.0), lambda a, x: a + x)
+    return back.select(F.col("features")[0].cast("long").alias("vec_id"), "target", (F.round(total, 4) + 0.0).alias("total"))

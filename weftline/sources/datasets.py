@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.errors import ReadingError
+from weftline.sources.xy import read_xy, write_xy
 
 
 def make_blobs(spark: SparkSession, n: int, features: int, centers: int, seed: int = 0) -> DataFrame:
@@ -60,29 +60,6 @@ def random(spark: SparkSession, rows: int, columns: int, seed: int = 0) -> DataF
     return spark.range(rows).select("id", F.array(*(F.rand(seed + j) for j in range(columns))).alias("features"))
 
 
-def read_xy(spark: SparkSession, path: str) -> DataFrame:
-    """(id, features, target) of flat binary files.
-
-    A file holds the numbers of features and samples as little-endian 64-bit
-    integers, then all features by row and all targets as 32-bit floats. Each
-    file is decoded in one task.
-    """
-
-    def run(batches):
-        for b in batches:
-            for raw in b.column(0).to_pylist():
-                if len(raw) < 16:
-                    raise ReadingError("InvalidRow", "the file is shorter than its header")
-                p, n = struct.unpack("<QQ", raw[:16])
-                values = np.frombuffer(raw, "<f4", offset=16)
-                if len(values) != n * p + n:
-                    raise ReadingError("InvalidRow", f"expected {n * p + n} numbers, found {len(values)}")
-                ends = pa.array((np.arange(n + 1) * p).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.ListArray.from_arrays(ends, pa.array(values[: n * p].astype(float))), pa.array(values[n * p :].astype(float))], names=["id", "features", "target"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, features array<double>, target double")
-
-
 def xy_bytes(features: np.ndarray, target: np.ndarray) -> bytes:
     """The flat binary form of a small dataset."""
     x = np.asarray(features, "<f4")
