@@ -68,7 +68,7 @@ class Balls:
             d = F.element_at("ds", x["b"] + 1)
             reach = F.col("radius") + ROUNDING * (d + x["h"] + F.col("radius"))
             # Ring numbers of the two ends; a ball whose rows are all on its pivot has one ring.
-            at = lambda r: F.when(x["h"] > 0, F.floor(r * RINGS / x["h"])).otherwise(F.lit(0)).cast("int")
+            at = lambda r: F.when(x["h"] > 0, F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(float(RINGS)), r * RINGS / x["h"])))).otherwise(F.lit(0)).cast("int")
             first, last = F.greatest(F.lit(0), at(d - reach)), F.least(F.lit(RINGS - 1), at(d + reach))
             open_ = (d - x["h"] <= reach) & (x["l"] - d <= reach) & (d - near <= 2 * reach) & (first <= last)
             return F.struct(open_.alias("open"), x["b"].alias("ball"), d.alias("d"), reach.alias("reach"), first.alias("first"), last.alias("last"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import distance, kernels, scalar, vectors
-from weftline.operators import cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, solvers, svm, tiles, tree
+from weftline.operators import bounded_kmeans, cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, solvers, svm, tiles, tree
 from weftline.operators.linalg import gram
 from weftline.session import materialise, shared_dir
 from weftline.sources import csv, datasets
@@ -726,6 +726,34 @@ def _(spark, d):
     return cluster.kmeans(e, 4, 10, "embedding").predict(e, "embedding").select("vec_id", "cluster")
 
 
+@query("kmeans_fixed_point", "SELECT q::INT AS \"cluster\", 0.0::DOUBLE change FROM range(4) t(q)")
+def _(spark, d):
+    """A fixed point: assigning all rows to the centroids and averaging once more changes nothing."""
+    e = table(spark, d, "embeddings")
+    m = cluster.kmeans(e, 4, 300, "embedding")
+    v = F.col("embedding").cast("array<double>")
+    cells = m.predict(e, "embedding").select("cluster", F.posexplode(v).alias("j", "x")).groupBy("cluster", "j").agg(F.avg("x").alias("mean"))
+    own = spark.createDataFrame([(i, j, x) for i, c in enumerate(m.centroids) for j, x in enumerate(c)], "cluster int, j int, c double")
+    return cells.join(F.broadcast(own), ["cluster", "j"]).groupBy("cluster").agg((F.round(F.max(F.abs(F.col("mean") - F.col("c"))), 6) + 0.0).alias("change"))
+
+
+def _lloyd(steps: int) -> str:
+    """SQL of some steps of the plain algorithm from the first four vectors."""
+    sql, mean = _V + ", c0 AS (SELECT vec_id q, v FROM e WHERE vec_id < 4)", ", ".join(f"avg(e.v[{j}])" for j in range(1, 65))
+    for i in range(steps):
+        sql += f""", a{i} AS (SELECT vec_id, q FROM (SELECT e.vec_id, c.q, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_sum([(z[1] - z[2]) ** 2 FOR z IN list_zip(e.v, c.v)]), c.q) r FROM e, c{i} c) WHERE r = 1),
+m{i} AS (SELECT a.q, [{mean}] v FROM a{i} a JOIN e USING (vec_id) GROUP BY a.q),
+c{i + 1} AS (SELECT c.q, coalesce(m.v, c.v) v FROM c{i} c LEFT JOIN m{i} m ON m.q = c.q)"""
+    return sql + f' SELECT q::INT AS "cluster", generate_subscripts(v, 1)::INT - 1 j, round(unnest(v), 6) + 0.0 AS "value" FROM c{steps}'
+
+
+@query("kmeans_bounded", _lloyd(6))
+def _(spark, d):
+    """Six steps with distance bounds, and the mean of the rows as they are then; the same as six plain steps."""
+    m, _ = bounded_kmeans.kmeans_bounded(table(spark, d, "embeddings"), 4, 7, "embedding", init=_seeds(spark, d))
+    return spark.createDataFrame([(i, j, round(x, 6) + 0.0) for i, c in enumerate(m.centroids) for j, x in enumerate(c)], "cluster int, j int, value double")
+
+
 _DB = """WITH RECURSIVE c AS (SELECT s_suppkey i, s_acctbal / 100 x, s_nationkey::DOUBLE y FROM supplier),
 n AS (SELECT a.i q, b.i i FROM c a, c b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3),
 k AS (SELECT q FROM n GROUP BY q HAVING count(*) >= 4),

@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from weftline.errors import ParametersError, ReadingError
 
-#: Bytes of features in a partition that is read, in a piece of it, and in a file that is written.
+#: Bytes of features in a partition that is read unless the option ``partitionBytes`` tells otherwise, in a piece of it, and in a file that is written.
 PARTITION_BYTES, PIECE_BYTES, FILE_BYTES = 32 << 20, 4 << 20, 64 << 20
 _HEADER = struct.Struct("<QQ")
 
@@ -42,8 +42,8 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, partition_bytes: int):
+        self.path, self.partition_bytes = path, partition_bytes
 
     def partitions(self) -> list[_Range]:
         system, at = _place(self.path)
@@ -60,7 +60,7 @@ class _Reader(DataSourceReader):
             p, n = _HEADER.unpack(head)
             if f.size != _HEADER.size + 4 * (n * p + n):
                 raise ReadingError("InvalidRow", f"{f.base_name}: expected {n * p + n} numbers, found {(f.size - _HEADER.size) / 4:g}")
-            step = max(1, PARTITION_BYTES // (4 * max(1, p)))
+            step = max(1, self.partition_bytes // (4 * max(1, p)))
             out += [_Range(f.path, p, n, lo, min(n, lo + step)) for lo in range(0, n, step)]
         return out
 
@@ -148,7 +148,7 @@ class XYSource(DataSource):
         return "id long, features array<double>, target double"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("partitionBytes", PARTITION_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"], overwrite)
@@ -158,10 +158,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(XYSource)
 
 
-def read_xy(spark: SparkSession, path: str) -> DataFrame:
-    """(id, features, target) of a file, or of all files of a folder; the target is the last column."""
+def read_xy(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(id, features, target) of a file, or of all files of a folder."""
     register(spark)
-    return spark.read.format("xy").load(path)
+    return spark.read.format("xy").options(**options).load(path)
 
 
 def write_xy(df: DataFrame, path: str, features: str = "features", target: str = "target") -> None:
