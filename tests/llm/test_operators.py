@@ -701,3 +701,28 @@ def test_loser_tree_merges_front_coded_runs():
     assert [x for _, x in out] == sorted(x for r in runs for x in r)
     common = lambda a, b: next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
     assert [k for k, _ in out] == [0, *(common(a[1], b[1]) for a, b in itertools.pairwise(out))]
+
+
+@pytest.mark.parametrize("slack", [None, 2])
+def test_many_terms_are_shuffled_without_texts(spark, monkeypatch, slack):
+    a = "the quick brown fox jumps over the lazy dog and runs away from the bear"
+    bench = spark.createDataFrame([(1, a), (2, "over the lazy dog"), (3, "not there")], "item_id long, text string")
+    docs = docs_of(spark, [*ODD, a, f"x {a} y {a}", "over lazy the dog", "the " * 50])
+    row = lambda r: (r.doc_id, r.n_words, r.n_hit, r.item_ids, *([r.near_ids] if slack else []))
+    few = sorted(map(row, contamination.find(docs, bench, 6, slack=slack).collect()))
+    monkeypatch.setattr(contamination, "BROADCAST_ROWS", 0)
+    assert sorted(map(row, contamination.find(docs, bench, 6, slack=slack).collect())) == few
+
+
+def test_starts_of_blocks_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN_BLOCKS", 3)
+    docs = docs_of(spark, [f"text {i} " * (i % 9) for i in range(400)])
+    got = sharding.shuffle_shards(docs, 3, seed=5, block_bytes=500).toPandas()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard")) and len(got) == 400
+
+
+def test_shards_of_tables_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 20_000)
+    docs = docs_of(spark, ["some words " * 50] * 100 + [None, ""])
+    shards = sstable.write_tables(docs, queries.tokenizer_file("byte_bpe_50k.json"), 0)
+    assert 2 <= shards.count() <= 4 and sstable.read_tables(shards).count() == 102

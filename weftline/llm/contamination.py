@@ -61,7 +61,10 @@ class PositionalIndex:
         self.words = words
         terms = windows.select(F.explode("words").alias("term")).distinct()
         token = self.words.select(F.explode("w").alias("term"))
-        seen = token.join(_bounded(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("f"))
+        if terms.count() <= BROADCAST_ROWS:
+            token = token.join(F.broadcast(terms), "term")
+        # Tokens are counted before what is left meets the terms, so a frequent one is no large group.
+        seen = token.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
         self.frequency = materialise(terms.join(seen, "term", "left").select("term", F.coalesce("f", F.lit(0)).alias("f")), "term-counts")
         place = windows.select("wid", F.posexplode("words").alias("at", "term")).join(_bounded(self.frequency), "term")
         order = Window.partitionBy("wid").orderBy("f", "term", "at")
@@ -72,9 +75,16 @@ class PositionalIndex:
         self.anchors = materialise(first.where("f > 0").drop("f").join(second, "wid", "left").join(windows, "wid"), "anchors")
         both = self.anchors.select(F.col("t1").alias("term"), F.lit(True).alias("lead")).union(self.anchors.where("t2 is not null").select("t2", F.lit(False)))
         anchor_terms = materialise(both.groupBy("term").agg(F.max("lead").alias("lead")), "anchor-terms")
-        spread = self.words.select("key", "w", F.posexplode("w").alias("at", "term")).join(_bounded(anchor_terms), "term")
         near = F.slice("w", F.greatest(F.col("at") + 2 - reach, F.lit(1)), F.lit(reach) + F.least(F.col("at"), F.lit(reach - 1)))
-        spread = spread.select("term", "key", "at", F.when(F.col("lead"), near).alias("near"))
+        if anchor_terms.count() <= BROADCAST_ROWS:
+            spread = self.words.select("key", "w", F.posexplode("w").alias("at", "term")).join(F.broadcast(anchor_terms), "term")
+            spread = spread.select("term", "key", "at", F.when(F.col("lead"), near).alias("near"))
+        else:
+            # Tokens are shuffled without their texts; each text meets its own leading postings once.
+            places = materialise(self.words.select("key", F.posexplode("w").alias("at", "term")).join(anchor_terms, "term"), "places")
+            lead = places.where("lead").groupBy("key").agg(F.collect_list(F.struct("term", "at")).alias("leads"))
+            spread = self.words.join(lead, "key").select("key", "w", F.inline("leads")).select("term", "key", "at", near.alias("near"))
+            spread = spread.unionByName(places.where("not lead").select("term", "key", "at", F.lit(None).cast("array<string>").alias("near")))
         self.postings = materialise(spread, "postings")
 
     def starts(self) -> DataFrame:

@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from weftline.session import materialise
 
 #: Size of the rows of a block, on average.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Blocks of a shard whose beginnings are counted together.
+RUN_BLOCKS = 4096
 #: Beginnings of blocks that are broadcast at most; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: numpy draws from populations below this size directly.
@@ -125,8 +127,14 @@ def _starts(spark, counts: np.ndarray, sizes: np.ndarray, blocks: int, seed: int
 
     parts = spark.range(0, len(counts), 1, max(1, min(len(counts), 4 * spark.sparkContext.defaultParallelism)))
     filled = parts.mapInArrow(run, "__shard int, __block long, n long").groupBy("__shard", "__block").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("__shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    return materialise(filled.select("__shard", "__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "block-starts")
+    filled = materialise(filled.withColumn("run", F.floor(F.col("__block") / RUN_BLOCKS)), "block-sizes")
+    # Runs of blocks are added up first, so no shard's blocks meet in one task.
+    upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    runs = filled.groupBy("__shard", "run").agg(F.sum("n").alias("n"))
+    runs = runs.select("__shard", "run", F.coalesce(F.sum("n").over(upto("__shard", "run")), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n").over(upto("__shard", "run", "__block")), F.lit(0))
+    starts = filled.withColumn("inside", inside).join(runs, ["__shard", "run"])
+    return materialise(starts.select("__shard", "__block", (F.col("before") + F.col("inside")).alias("start")), "block-starts")
 
 
 def shuffle_shards(df: DataFrame, shards: int, seed: int = 0, block_bytes: int = BLOCK_BYTES, stable: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import io
 import struct
 import uuid
+from array import array
 from bisect import bisect_left
 
 import numpy as np
@@ -28,6 +29,8 @@ from weftline.llm.textids import encoder
 from weftline.session import materialise, shared_dir
 
 BLOCK_BYTES = 64 * 1024
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 16 << 20
 RESTART = 16
 BITS_PER_KEY, PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQQII8s")
@@ -62,8 +65,13 @@ def _read_varint(buf: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _probes(keys: list[bytes], bits: int) -> np.ndarray:
-    x = np.array([int.from_bytes(k[1:], "big") ^ (k[0] * 0xA5A5) for k in keys], np.uint64)
+def _code(key: bytes) -> int:
+    """The number that a key enters the filter by."""
+    return int.from_bytes(key[1:], "big") ^ (key[0] * 0xA5A5)
+
+
+def _probes(codes, bits: int) -> np.ndarray:
+    x = np.asarray(codes, np.uint64)
     h1, h2 = mix(x), mix(x ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
     with np.errstate(over="ignore"):
         return (h1[:, None] + np.arange(PROBES, dtype=np.uint64)[None, :] * h2[:, None]) % np.uint64(bits)
@@ -76,7 +84,7 @@ class Writer:
         self.out, self.width, self.at = stream, width, 0
         self.pack = zstandard.ZstdCompressor(level=1).compress
         self.index = io.BytesIO()
-        self.keys: list[bytes] = []
+        self.codes = array("Q")
         self.tokens = 0
         self._open()
 
@@ -92,7 +100,7 @@ class Writer:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.entries, self.last = self.entries + 1, key
-        self.keys.append(key)
+        self.codes.append(_code(key))
         self.tokens += len(value) // self.width
         if len(self.block) >= BLOCK_BYTES:
             self._close()
@@ -108,14 +116,14 @@ class Writer:
 
     def finish(self) -> None:
         self._close()
-        index, bits = self.index.getvalue(), max(64, BITS_PER_KEY * len(self.keys))
+        index, bits = self.index.getvalue(), max(64, BITS_PER_KEY * len(self.codes))
         bloom = np.zeros(-(-bits // 8), np.uint8)
-        for i in range(0, len(self.keys), 65536):
-            p = _probes(self.keys[i : i + 65536], bits).ravel()
+        for i in range(0, len(self.codes), 65536):
+            p = _probes(self.codes[i : i + 65536], bits).ravel()
             np.bitwise_or.at(bloom, (p >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)))
         self.out.write(index)
         self.out.write(bloom.tobytes())
-        self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), bits, len(self.keys), self.tokens, self.width, 1, _MAGIC))
+        self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), bits, len(self.codes), self.tokens, self.width, 1, _MAGIC))
 
 
 class Reader:
@@ -166,7 +174,7 @@ class Reader:
 
     def get(self, key: bytes) -> list[bytes]:
         """The values of a key; the filter spares nearly all reads of absent keys."""
-        p = _probes([key], self.bits)[0]
+        p = _probes([_code(key)], self.bits)[0]
         if not ((self.bloom[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all():
             return []
         found = []
@@ -197,8 +205,8 @@ def _write(path: str, end_id: int, folder: str):
                     first = first or last
                     w.add(last, enc.packed(batch.column(1)[i].as_py()) + end)
             w.finish()
-        if w.keys:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([first], pa.binary()), pa.array([last], pa.binary()), pa.array([len(w.keys)], pa.int64()), pa.array([w.tokens], pa.int64())], names=["shard", "path", "first_key", "last_key", "n_docs", "n_tokens"])
+        if w.codes:
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([first], pa.binary()), pa.array([last], pa.binary()), pa.array([len(w.codes)], pa.int64()), pa.array([w.tokens], pa.int64())], names=["shard", "path", "first_key", "last_key", "n_docs", "n_tokens"])
 
     return run
 
@@ -214,7 +222,8 @@ def write_tables(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     the order of a text hash. Very long texts are encoded whole, and make a block
     longer by themselves. An empty table gives an empty list, other columns are
     not looked at. The shards' folder must be in a file system that pyarrow
-    opens, as all executors see it.
+    opens, as all executors see it. Without ``shards`` there is one for each
+    SHARD_BYTES of text.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/weftline/shards-{uuid.uuid4().hex}"
@@ -222,8 +231,9 @@ def write_tables(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         # A path without a scheme belongs to the default file system, for Spark and for the writers.
         default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
         folder = f"file://{folder}" if default.startswith("file:") else default.rstrip("/") + folder
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    # A row counts for more than its text, so a shard of short texts stays small too.
+    n = shards or max(1, -(-(named.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 64)).first()[0] or 0) // SHARD_BYTES))
     tie = F.xxhash64("t")
     ranged = named.repartitionByRange(n, F.col("d").asc_nulls_first(), tie).sortWithinPartitions(F.col("d").asc_nulls_first(), tie)
     out = ranged.mapInArrow(_write(tokenizer_path, end_id, folder), "shard int, path string, first_key binary, last_key binary, n_docs long, n_tokens long")
