@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftline.errors import ParametersError
 from weftline.frame import small
+from weftline.operators.selection import numbered
 
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -110,9 +111,8 @@ def h_stack(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
 
 
 def unique(df: DataFrame, col: str) -> DataFrame:
-    """(value, idx): distinct values and their dense places in order; the list of values is the unit of work."""
-    values = df.select(F.col(col).alias("value")).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("idx"))
+    """(value, idx): distinct values and their dense places in order, counted by ranges."""
+    return numbered(df.select(F.col(col).alias("value")).distinct(), ["value"], "idx")
 
 
 def norm(df: DataFrame, col: str, p: float = 2.0) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftline.frame import small
 from weftline.functions import distance, kernels, scalar, vectors
 from weftline.operators import bounded_kmeans, cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, solvers, svm, tiles, tree
 from weftline.operators.linalg import gram
@@ -287,7 +288,7 @@ def _(spark, d):
     return matrix.h_stack(o.select("o_orderkey", "o_totalprice"), o.select("o_orderkey", "o_orderstatus"), "o_orderkey")
 
 
-@query("unique_with_indices", "SELECT l_quantity \"value\", (row_number() OVER (ORDER BY l_quantity) - 1)::INT idx FROM (SELECT DISTINCT l_quantity FROM lineitem)")
+@query("unique_with_indices", "SELECT l_quantity \"value\", (row_number() OVER (ORDER BY l_quantity) - 1)::BIGINT idx FROM (SELECT DISTINCT l_quantity FROM lineitem)")
 def _(spark, d):
     return matrix.unique(table(spark, d, "lineitem"), "l_quantity")
 
@@ -385,7 +386,7 @@ def _(spark, d):
 def _pairs(spark, d):
     e = _vec(spark, d)
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("w"))
-    return e.join(F.broadcast(q), F.lit(True))
+    return e.join(small(q), F.lit(True))
 
 
 _PAIRS = _V + ", p AS (SELECT e.vec_id, q.vec_id q, e.v v, q.v w FROM e, e q WHERE q.vec_id % 100 = 0) "

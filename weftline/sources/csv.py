@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.errors import ReadingError
+from weftline.frame import small
 
 
 def read_matrix(spark: SparkSession, path: str, header_rows: int = 1, sep: str = ",", prefix: str = "f") -> DataFrame:
@@ -19,7 +20,7 @@ def read_matrix(spark: SparkSession, path: str, header_rows: int = 1, sep: str =
         if header_rows:
             # A file's first block starts at byte 0, and its lines are numbered without gaps.
             first = lines.where("block = 0").groupBy("file").agg((F.min("at") + header_rows).alias("from"))
-            lines = lines.join(F.broadcast(first), "file", "left").where((F.col("block") > 0) | (F.col("at") >= F.col("from")))
+            lines = lines.join(small(first), "file", "left").where((F.col("block") > 0) | (F.col("at") >= F.col("from")))
         head = lines.where(F.trim("value") != "").orderBy("file", "block", "at").limit(1).collect()
     except Exception as e:
         if type(e).__name__ == "AnalysisException":
