@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.errors import DecompositionFailed, FindFailed, FitFailed, ParametersError, ReadingError, SolutionFailed
-from weftline.functions import distance
-from weftline.operators import bounded_kmeans, cluster, histograms, metric, neighbors, tiles, tree
+from weftline.functions import distance, kernels
+from weftline.operators import bounded_kmeans, cluster, histograms, metric, neighbors, svm, svm_dual, tiles, tree
 from weftline.sources import datasets, models
 from weftline.streaming import kept
 
@@ -293,3 +293,25 @@ def test_forests_come_back(spark, tmp_path):
     again = models.load(spark, f"file://{tmp_path}/f")
     rows = lambda m: sorted((r.id, r.prediction) for r in m.predict_oob(df, "id").collect() if r.prediction is not None)
     assert rows(again) == rows(f)
+
+
+# -- machines by their duals -----------------------------------------------------------
+
+
+@pytest.mark.parametrize("eps", [None, 0.2])
+def test_dual_machines_reach_the_primal_optimum(spark, eps):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 2))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=160) > 0.2, 1, -1) if eps is None else x @ [1.0, -2.0] + 0.3 * rng.normal(size=160) + 1
+    df = spark.createDataFrame([(i, v, float(t)) for i, (v, t) in enumerate(zip(x.tolist(), y, strict=True))] + [(900, None, 1.0), (901, [0.0, 0.0], None)], "id long, features array<double>, y double").repartition(3)
+    m = svm_dual.fit(df, "features", "y", kernels.Linear(), "id", c=2.0, eps=eps, tol=1e-4)
+    w = m.machine.weights @ m.machine.vectors
+    loss = lambda w, b: 0.5 * w @ w + 2 * np.maximum(0, 1 - y * (x @ w + b) if eps is None else np.abs(x @ w + b - y) - eps).sum()
+    best = loss(w, m.machine.bias)
+    assert m.gap <= 1e-4 and m.duals.count() == 160
+    for _ in range(200):
+        assert loss(w + rng.normal(size=2) * 0.05, m.machine.bias + rng.normal() * 0.05) >= best * (1 - 2e-4)
+    other = svm.svc(df, "features", "y", kernels.Linear(), 2.0) if eps is None else svm.svr(df, "features", "y", kernels.Linear(), eps, 2.0)
+    assert best <= loss(other.weights @ other.vectors, other.bias) * (1 + 2e-4)
+    with pytest.raises(FitFailed):
+        svm_dual.fit(df, "features", "y", kernels.Linear(), "id", eps=eps, tol=1e-12, max_rounds=2)

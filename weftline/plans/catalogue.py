@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.frame import small
 from weftline.functions import distance, kernels, scalar, vectors
-from weftline.operators import bounded_kmeans, cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, solvers, svm, tiles, tree
+from weftline.operators import bounded_kmeans, cluster, decomposition, linear, logistic, matrix, metrics, naive_bayes, neighbors, preprocessing, selection, solvers, svm, svm_dual, tiles, tree
 from weftline.operators.linalg import gram
 from weftline.session import materialise, shared_dir
 from weftline.sources import csv, datasets
@@ -919,6 +919,35 @@ def _(spark, d):
     return svm.svr(e, "features", "y", kernels.Linear()).predict_value(_train(spark, d)).select("id", "prediction")
 
 
+def _proof(rows, m, y, c, loss, low, high, eps):
+    """Each row's dual within its bounds, what the whole lacks of the optimum as a share of the objective, and the duals' sum."""
+    f = materialise(rows.select("id", F.col(y).cast("double").alias("y"), m.machine.decision(F.col("features")).alias("f")).join(m.duals.select("id", "dual"), "id"), "proof")
+    gap = c * loss + eps * F.abs("dual") + F.col("dual") * (F.col("f") - F.col("y"))
+    one = f.agg(F.sum(gap).alias("g"), F.sum(c * loss + F.col("dual") * (F.col("f") - m.machine.bias) / 2).alias("p"), F.sum("dual").alias("s"))
+    box = (F.col("dual") >= low) & (F.col("dual") <= high) & (gap > -1e-9)
+    return f.crossJoin(F.broadcast(one)).select("id", box.alias("in_box"), (F.col("g") <= 1e-3 * F.greatest(F.lit(1.0), "p")).alias("gap_small"), (F.abs("s") <= 1e-3 * F.greatest(F.lit(1.0), "p")).alias("adds_up"))
+
+
+_PROOF = "SELECT vec_id::BIGINT id, true in_box, true gap_small, true adds_up FROM embeddings"
+
+
+@query("svc_dual", _PROOF)
+def _(spark, d):
+    """The optimum of a two-class machine, proved by its duals."""
+    e = _train(spark, d).withColumn("t", F.when(F.col("label") < 5, 1).otherwise(-1))
+    m = svm_dual.fit(e, "features", "t", kernels.RBF(0.5), "id")
+    loss = F.greatest(F.lit(0.0), 1 - F.col("y") * F.col("f"))
+    return _proof(e, m, "t", 1.0, loss, F.least(F.lit(0.0), "y"), F.greatest(F.lit(0.0), "y"), 0.0)
+
+
+@query("svr_dual", _PROOF)
+def _(spark, d):
+    e = _train(spark, d)
+    m = svm_dual.fit(e, "features", "y", kernels.Linear(), "id", eps=0.1)
+    loss = F.greatest(F.lit(0.0), F.abs(F.col("f") - F.col("y")) - 0.1)
+    return _proof(e, m, "y", 1.0, loss, F.lit(-1.0), F.lit(1.0), 0.1)
+
+
 # -- model selection -----------------------------------------------------------------------------
 
 
