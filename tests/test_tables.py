@@ -71,8 +71,9 @@ def test_balls_of_odd_tables(spark):
 
 def test_clusters_of_any_metric(spark):
     v, df = clustered(spark, 400)
-    by = {n: {r.id: r.cluster for r in cluster.dbscan(df, 1.2, 4, distance=d).labels.collect()} for n, d in (("balls", distance.manhattan), ("pairs", lambda a, b: distance.manhattan(a, b)))}
-    assert by["balls"] == by["pairs"] and max(by["balls"].values()) > 5
+    by = {n: {r.id: r.cluster for r in cluster.dbscan(df, 1.2, 4, distance=d, how=n).labels.collect()} for n, d in (("balls", distance.manhattan), ("pairs", lambda a, b: distance.manhattan(a, b)))}
+    by["auto"] = {r.id: r.cluster for r in cluster.dbscan(df, 1.2, 4, distance=distance.manhattan).labels.collect()}
+    assert by["balls"] == by["pairs"] == by["auto"] and max(by["balls"].values()) > 5
 
 
 # -- histogram trees ---------------------------------------------------------------

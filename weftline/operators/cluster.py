@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.errors import FitFailed
-from weftline.functions.distance import Distance, euclidian, is_metric, squared_euclidian
+from weftline.functions.distance import Distance, euclidian, squared_euclidian
 from weftline.operators.components import connected_components
 from weftline.operators.neighbors import radius
 from weftline.operators.selection import numbered
@@ -150,14 +150,14 @@ class DBSCAN:
     distance: Distance = euclidian
     id_col: str = "id"
     features: str = "features"
+    how: str = "auto"
 
     def predict(self, queries: DataFrame) -> DataFrame:
         """(query_id, prediction): the commonest label within eps as cluster + 1, noise and nobody near as 0.
 
         Equal counts go to the lower cluster, noise comes last.
         """
-        how = "balls" if is_metric(self.distance) else "pairs"
-        near = radius(self.labels, queries, self.eps, self.id_col, self.features, self.distance, how)
+        near = radius(self.labels, queries, self.eps, self.id_col, self.features, self.distance, self.how)
         of = self.labels.select(F.col(self.id_col).cast("long").alias("id"), "cluster")
         votes = near.join(of, "id").groupBy("query_id", "cluster").agg(F.count(F.lit(1)).alias("c"))
         place = F.when(F.col("cluster") < 0, F.lit(2**62)).otherwise(F.col("cluster"))
@@ -166,10 +166,10 @@ class DBSCAN:
         return every.select("query_id", (F.coalesce("cluster", F.lit(-1)) + 1).alias("prediction"))
 
 
-def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Distance = euclidian, id_col: str = "id", features: str = "features", pairs: DataFrame | None = None) -> DBSCAN:
+def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Distance = euclidian, id_col: str = "id", features: str = "features", pairs: DataFrame | None = None, how: str = "auto") -> DBSCAN:
     """Density clustering; ``pairs`` (query_id, id) may bring a ready-made neighbour table.
 
-    Neighbours are found by the balls of the metric; with a distance that is none, all pairs are compared.
+    Neighbours are found as ``neighbors.radius`` does by ``how``: by the balls of a metric, or among all pairs.
 
     Core rows have at least ``min_samples`` rows within eps, themselves included;
     clusters are the components of core rows, border rows join the neighbouring
@@ -179,7 +179,6 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Dist
         raise FitFailed(f"a core row needs at least one neighbour, not {min_samples}")
     if eps <= 0:
         raise FitFailed(f"a neighbourhood of radius {eps} is empty")
-    how = "balls" if is_metric(distance) else "pairs"
     near = materialise((radius(df, df, eps, id_col, features, distance, how) if pairs is None else pairs).select("query_id", "id"), "near")
     core = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_samples).select(F.col("query_id").alias("core"))
     core = materialise(core, "core")
@@ -192,4 +191,4 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Dist
     label = df.withColumn("__id", F.col(id_col).cast("long")).join(root.withColumnRenamed("core", "__id"), "__id", "left").join(border.withColumnRenamed("query_id", "__id"), "__id", "left")
     label = label.withColumn("__r", F.coalesce("root", "first")).drop("root", "first", "__id")
     out = label.join(numbers.withColumnRenamed("root", "__r"), "__r", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))).drop("__r")
-    return DBSCAN(out, eps, distance, id_col, features)
+    return DBSCAN(out, eps, distance, id_col, features, how)

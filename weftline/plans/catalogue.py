@@ -776,6 +776,11 @@ def _(spark, d):
     return cluster.dbscan(p, 3.0, 4).labels.select("id", "cluster")
 
 
+@query("dbscan_balls", _DB)
+def _(spark, d):
+    return cluster.dbscan(_points(spark, d), 3.0, 4, how="balls").labels.select("id", "cluster")
+
+
 _DB_VOTE = _DB.replace("\nSELECT c.i id", ",\nl AS (SELECT c.i id") + """),
 v AS (SELECT n.q query_id, l."cluster" g, count(*) c FROM n JOIN l ON n.i = l.id GROUP BY ALL)
 SELECT query_id::BIGINT query_id, (g + 1)::BIGINT prediction FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, CASE WHEN g < 0 THEN 1 ELSE 0 END, g) k FROM v) WHERE k = 1"""
@@ -784,7 +789,7 @@ SELECT query_id::BIGINT query_id, (g + 1)::BIGINT prediction FROM (SELECT *, row
 @query("dbscan_predict", _DB_VOTE)
 def _(spark, d):
     p = _points(spark, d)
-    return cluster.dbscan(p, 3.0, 4).predict(p)
+    return cluster.dbscan(p, 3.0, 4, how="balls").predict(p)
 
 
 # -- trees, machines ------------------------------------------------------------------------
