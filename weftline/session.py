@@ -77,7 +77,20 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of some tables that ``materialise`` returned, when nothing that reads them is left to run."""
+    for df in tables:
+        spark, path = df.sparkSession, df._weftline_path
+        paths = _written.get(spark.sparkContext.applicationId, [])
+        if path in paths:
+            paths.remove(path)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(spark: SparkSession) -> int:
