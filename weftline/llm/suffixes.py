@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftline.llm.shingles import mix
-from weftline.session import arrow_rows, materialise
+from weftline.session import arrow_rows, discard, materialise
 
 #: Bytes of a gram, at most half of the strings' length.
 GRAM = 100
@@ -417,9 +417,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", k
         schema = T.StructType([*(T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("run", T.LongType()), ("block", T.BinaryType()), ("entry", T.IntegerType()), ("p", T.IntegerType()))), *fields])
         runs = materialise(runs.mapInArrow(_runs(length, len(ks), splitters, len(splitters) + 1, hot_ranges), schema), "runs")
         merged = runs.where("block is not null").select("part", "run", "block").groupBy("part").applyInArrow(_merge(length), "run long, entry int, low int, high int")
-        merged = materialise(merged, "merged").groupBy("run", "entry").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        spans = runs.where("block is null").join(merged, ["run", "entry"]).select(*ks, (F.col("p") - F.col("high")).alias("lo"), (F.col("p") - F.col("low") + length).alias("hi"))
+        discard(found, again)
+        merged = materialise(merged, "merged")
+        least = merged.groupBy("run", "entry").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        spans = runs.where("block is null").join(least, ["run", "entry"]).select(*ks, (F.col("p") - F.col("high")).alias("lo"), (F.col("p") - F.col("low") + length).alias("hi"))
         spans = materialise(spans.groupBy(*ks).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+        discard(runs, merged)
         n = len(kept)
         out_schema = T.StructType([*(base.schema[f"c{i}"] for i in range(n)), *(T.StructField(c, T.LongType()) for c in made[:3]), T.StructField("kept_bytes", T.BinaryType())])
         joined = base.join(spans, ks, "left").select(*(f"c{i}" for i in range(n)), "text", "spans")
