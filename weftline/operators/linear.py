@@ -36,8 +36,27 @@ def _parts(df: DataFrame, columns: Sequence[str], y: str):
     return g, g.cross[:-1, :-1], g.cross[:-1, -1], g.mean[:-1], g.mean[-1]
 
 
+#: Columns up to which least squares first tries the Gram matrix, and the condition of the scaled one up to which it is kept.
+GRAM_COLUMNS, GRAM_CONDITION = 16, 1e6
+
+
 def linear_regression(df: DataFrame, columns: Sequence[str], y: str, solver: str = "svd") -> LinearModel:
-    """Ordinary least squares; ``svd`` gives the least-norm solution of deficient data, ``qr`` an error."""
+    """Ordinary least squares; ``svd`` gives the least-norm solution of deficient data, ``qr`` an error.
+
+    A few columns far from dependent are solved from their centred Gram matrix, one
+    aggregation; all others from the table's triangle, whose condition is not squared.
+    """
+    if solver not in ("svd", "qr"):
+        raise FitFailed(f"unknown solver {solver}")
+    if len(columns) <= GRAM_COLUMNS:
+        g, xx, xy, mx, my = _parts(df, columns, y)
+        sd = np.sqrt(np.maximum(np.diag(xx), 0))
+        if (sd > 0).all():
+            scaled = xx / np.outer(sd, sd)
+            ends = np.linalg.eigvalsh(scaled)[[0, -1]]
+            if ends[0] * GRAM_CONDITION > ends[1]:
+                w = np.linalg.solve(scaled, xy / sd) / sd
+                return LinearModel(tuple(columns), tuple(w.tolist()), float(my - w @ mx))
     names = [*columns, y]
     whole = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna()
     means = whole.agg(*(F.avg(c) for c in names)).first()

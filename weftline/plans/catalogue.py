@@ -611,6 +611,24 @@ def _(spark, d):
     return e.agg(F.array(*slopes).alias("s")).select(F.posexplode("s").alias("j", "slope"))
 
 
+for _name, _fitted, _l1, _l2 in (
+    ("lasso_many", lambda e: linear.lasso(e, _PARTS, "f63", 0.005), 0.005, 0.0),
+    ("elastic_net_many", lambda e: linear.elastic_net(e, _PARTS, "f63", 0.01, 0.5), 0.005, 0.005),
+):
+
+    @query(_name, "SELECT j::INT j, 0.0::DOUBLE off FROM range(63) t(j)")
+    def _(spark, d, fitted=_fitted, l1=_l1, l2=_l2):
+        """The conditions of the minimum, by column: the squares' slope is the penalty's, or within it where the weight is zero."""
+        e = _emb(spark, d)
+        m = fitted(e)
+        stats = e.agg(*(F.stddev_pop(c) for c in _PARTS), *(F.avg(c) for c in _PARTS), F.count(F.lit(1))).first()
+        left, off = F.col("f63") - m.expression(), []
+        for i, c in enumerate(_PARTS):
+            w, slope = m.coefficients[i] * stats[i], 2 * F.sum(left * (F.col(c) - stats[63 + i])) / stats[i] / stats[-1]
+            off.append(F.abs(slope - l1 * (1 if w > 0 else -1) - 2 * l2 * w) if w else F.greatest(F.lit(0.0), F.abs(slope) - l1))
+        return e.agg(F.array(*(F.round(x, 6) + 0.0 for x in off)).alias("s")).select(F.posexplode("s").alias("j", "off"))
+
+
 @query("tall_qr", "WITH s AS (SELECT sum(l_quantity ** 2) a, sum(l_quantity * l_extendedprice / 1000) b, sum((l_extendedprice / 1000) ** 2) c FROM lineitem) SELECT round(sqrt(a), 4) r00, round(b / sqrt(a), 4) r01, round(sqrt(c - b * b / a), 4) r11 FROM s")
 def _(spark, d):
     r = solvers.qr(_price(spark, d), ["l_quantity", "y"]).r
