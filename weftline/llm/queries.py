@@ -217,4 +217,20 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT * FROM o WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": _PAIRS_SQL, "op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL, "op11_ranked_search": _RANKED_SQL, "op12_source_divergence": _DIVERGENCE_SQL}
+_REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(hex(encode(text)), '') AS h FROM documents),
+q AS (SELECT id, a, least(500, len(h) // 2 - 199 - a) AS m, substring(h, 2 * a + 1, 1398) AS h FROM d, unnest(range(0, greatest(0, len(h) // 2 - 199), 500)) t(a)),
+w AS (SELECT id, a + i AS i, md5_number(substring(h, 2 * i + 1, 400)) AS g FROM q, unnest(range(0, m)) t(i)),
+r AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+s AS (SELECT id, i FROM w SEMI JOIN r ON w.g = r.g),
+b AS (SELECT id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM s),
+n AS (SELECT id, i, sum(new) OVER (PARTITION BY id ORDER BY i) AS k FROM b),
+p AS (SELECT id, k, min(i) AS lo, max(i) + 200 AS hi FROM n GROUP BY id, k),
+c AS (SELECT id, sum(hi - lo)::BIGINT AS gone, count(*) AS spans FROM p GROUP BY id),
+k AS (SELECT id, hi AS lo, lead(lo, 1, 1000000000) OVER (PARTITION BY id ORDER BY lo) AS hi FROM p UNION ALL SELECT id, 0, min(lo) FROM p GROUP BY id),
+t AS (SELECT k.id, string_agg(substring(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS h FROM k JOIN d ON d.id = k.id GROUP BY k.id)
+SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(t.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN c ON c.id = d.id LEFT JOIN t ON t.id = d.id
+"""
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": _PAIRS_SQL, "op3_url_filter": _URL_SQL, "op10_decontamination": _PHRASE_SQL, "op11_ranked_search": _RANKED_SQL, "op12_source_divergence": _DIVERGENCE_SQL, "op13_suffix_dedup": _REPEATS_SQL}
