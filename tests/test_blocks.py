@@ -44,3 +44,22 @@ def test_blocks_give_what_columns_give(spark, f, monkeypatch):
     a, b = (np.array([np.nan if r[2] is None else r[2] for r in g]) for g in got)
     assert np.allclose(a, b, rtol=1e-12, atol=1e-14, equal_nan=True)
     assert [r[2] is None for r in got[0]] == [r[2] is None for r in got[1]]
+
+
+def test_balls_are_met_in_blocks(spark, monkeypatch):
+    from weftline.operators import metric
+
+    def refuse(*_, **__):
+        raise AssertionError("pairs are joined row by row")
+
+    monkeypatch.setattr(metric.Balls, "candidates", refuse)
+    monkeypatch.setattr(pairs, "ROWS", 20)
+    rng = np.random.default_rng(7)
+    x = np.repeat(np.round(rng.normal(size=(60, 2)), 2), 2, axis=0)
+    df = packed(spark, x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near = {(r.query_id, r.id) for r in neighbors.radius(df, df, 0.5, how="balls").collect()}
+    assert near == {(q, i) for q, i in np.ndindex(d.shape) if d[q, i] <= 0.5}
+    np.fill_diagonal(d, np.inf)
+    got = {(r.query_id, r.rnk): r.id for r in neighbors.knn(df, df, 3, keep_self=False, how="balls").collect()}
+    assert got == {(q, k + 1): i for q in range(len(x)) for k, i in enumerate(np.lexsort((np.arange(len(x)), d[q]))[:3])}
