@@ -63,3 +63,24 @@ def test_balls_are_met_in_blocks(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     got = {(r.query_id, r.rnk): r.id for r in neighbors.knn(df, df, 3, keep_self=False, how="balls").collect()}
     assert got == {(q, k + 1): i for q in range(len(x)) for k, i in enumerate(np.lexsort((np.arange(len(x)), d[q]))[:3])}
+
+
+def test_full_cells_of_a_grid_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "ROWS", 10)
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0, 2.5, size=(120, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    found = neighbors.radius_grid(packed(spark, x), 1.0)
+    assert {(r.query_id, r.id) for r in found.collect()} == {(q, i) for q, i in np.ndindex(d.shape) if d[q, i] <= 1.0}
+    assert "part" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rbf_of_a_block_makes_no_cube():
+    import tracemalloc
+
+    a, b = np.ones((512, 64)), np.zeros((256, 64))
+    tracemalloc.start()
+    k = kernels.RBF(0.5).matrix(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(k, np.exp(-32.0)) and peak < 8 * k.nbytes
