@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import re
 
 import duckdb
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import components, contamination, divergence, langid, minhash, nearest, packing, quality, queries, ranked, sharding, shingles, sitestyle, sstable, suffixes, textids, urlfilter
+from weftline.session import materialise
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \t\n", "one", "one two", "One TWO three four five", "ein zwei drei vier fünf", "x " * 30_000]
@@ -693,6 +695,20 @@ def test_repeated_strings_go(spark, monkeypatch, hot, piece, run_bytes):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
 
+def test_anchors_are_gone_before_the_texts_are_shuffled(spark, monkeypatch):
+    there, paths = {}, {}
+
+    def write(df, name, **options):
+        there[name] = {n for n, p in paths.items() if os.path.exists(p.removeprefix("file://"))}
+        out = materialise(df, name, **options)
+        paths[name] = out._weftline_path
+        return out
+
+    monkeypatch.setattr(suffixes, "materialise", write)
+    suffixes.remove_repeats(docs_of(spark, ["a" * 500, "b" * 60]), 40, gram=16).collect()
+    assert "anchors" in there["entries"] and not there["runs"] & {"anchors", "repeated-grams"} and "entries" not in there["merged"]
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = np.random.default_rng(8)
     runs = [sorted(bytes(rng.choice([97, 98], rng.integers(1, 12)).astype(np.uint8)) for _ in range(rng.integers(0, 40))) for _ in range(7)]

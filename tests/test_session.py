@@ -3,6 +3,8 @@
 import os
 import subprocess
 import sys
+import time
+from pathlib import Path
 
 import pytest
 
@@ -24,6 +26,19 @@ def test_release(spark):
     assert written(spark) == at
 
 
+def test_what_a_table_shuffled_goes_with_its_writing(spark):
+    where = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {str(p) for d in where for p in Path(d).rglob("shuffle_*.data")}
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(key)
+    a = materialise(spark.range(1000).repartition(3, "id"), "a")
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and a.count() == 1000 and spark.conf.get(key) == was
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         @staticmethod

@@ -412,12 +412,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", k
         sample.sort()
         splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
         places = found.drop("head").join(again.select("m", (F.col("n") > hot).alias("hot")), "m")
-        by_text = places.groupBy(*ks).agg(F.collect_list(F.struct("p", "lo", "hi", "hot")).alias("entries"))
+        # Written by itself, so that neither anchors nor their shuffle are on disk beside the shuffle of the texts.
+        by_text = materialise(places.groupBy(*ks).agg(F.collect_list(F.struct("p", "lo", "hi", "hot")).alias("entries")), "entries")
+        discard(found, again)
         runs = texts.join(by_text, ks).select(*ks, "text", "entries")
         schema = T.StructType([*(T.StructField(n, t) for n, t in (("part", T.IntegerType()), ("run", T.LongType()), ("block", T.BinaryType()), ("entry", T.IntegerType()), ("p", T.IntegerType()))), *fields])
         runs = materialise(runs.mapInArrow(_runs(length, len(ks), splitters, len(splitters) + 1, hot_ranges), schema), "runs")
         merged = runs.where("block is not null").select("part", "run", "block").groupBy("part").applyInArrow(_merge(length), "run long, entry int, low int, high int")
-        discard(found, again)
+        discard(by_text)
         merged = materialise(merged, "merged")
         least = merged.groupBy("run", "entry").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         spans = runs.where("block is null").join(least, ["run", "entry"]).select(*ks, (F.col("p") - F.col("high")).alias("lo"), (F.col("p") - F.col("low") + length).alias("hi"))
