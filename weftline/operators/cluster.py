@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.errors import FitFailed
-from weftline.functions.distance import Distance, euclidian, squared_euclidian
+from weftline.functions.distance import Distance, euclidian, is_metric, squared_euclidian
+from weftline.operators import pairs as blocks
 from weftline.operators.components import connected_components
-from weftline.operators.neighbors import radius
+from weftline.operators.metric import Balls, balls, finite
+from weftline.operators.neighbors import by_balls, radius
 from weftline.operators.selection import numbered
-from weftline.session import materialise
+from weftline.session import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -166,10 +168,102 @@ class DBSCAN:
         return every.select("query_id", (F.coalesce("cluster", F.lit(-1)) + 1).alias("prediction"))
 
 
+def _points(df: DataFrame, id_col: str, features: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("v"))
+
+
+def _in_blocks(distance: Distance, *tables: DataFrame) -> bool:
+    """Whether blocks of finite vectors give all that is near: a metric with a matrix form, vectors of one length.
+
+    Vectors with a null, NaN or infinite component must be near nothing, as is so where NaN makes the distance NaN.
+    """
+    if not is_metric(distance) or getattr(distance, "matrix", None) is None:
+        return False
+    told = [t.agg(F.min(F.size("v")), F.max(F.size("v")), F.count(F.when(~finite("v"), 1))).first() for t in tables]
+    sizes = {n for low, high, _ in told for n in (low, high) if n is not None and n >= 0}
+    none = np.full((1, 1), np.nan)
+    return len(sizes) <= 1 and (not any(odd for *_, odd in told) or bool(np.isnan(distance.matrix(none, none)[0, 0])))
+
+
+def _distinct(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The distinct vectors with a number ``class`` and how many rows have them, ``w``: equal rows have equal neighbours."""
+    return materialise(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("w")).withColumn("class", F.monotonically_increasing_id()), name)
+
+
+def _partition(classes: DataFrame, queries: DataFrame, distance: Distance, how: str) -> Balls:
+    """The balls of distinct vectors; all pairs are those of one ball, cut into chunks as any other."""
+    return balls(classes, "class", "v", distance, None if by_balls(classes, queries, distance, how) else 1)
+
+
+def _with(b: Balls, classes: DataFrame, *columns: Column | str) -> DataFrame:
+    return b.rows.join(classes.select(F.col("class").alias("id"), *columns), "id")
+
+
+def _roots_in_blocks(rows: DataFrame, eps: float, min_samples: int, distance: Distance, how: str) -> DataFrame:
+    """(id, root) of core and border rows of (id, v), where root is the first core row of the cluster.
+
+    Pairs within eps are never written. Blocks of distinct vectors add up how many
+    rows are near; then those of core rows tell their components among themselves by
+    a link for each row at most, and at last the first root near each other row.
+    """
+    classes = _distinct(rows, ["v"], "distinct-points")
+    b = _partition(classes, classes, distance, how)
+    if not b.lines:
+        return rows.select("id", F.col("id").alias("root")).limit(0)
+    placed, matrix, reach = b.placed(classes, "class", "v"), distance.matrix, F.lit(float(eps))
+    asked = materialise(b.asked(placed, reach), "asked")
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = blocks.within(matrix, eps, left, right).astype(float) @ left["w"].to_numpy().astype(float)
+        return pa.table({"class": right["query_id"].cast(pa.int64()), "n": pa.array(n.astype(np.int64))})
+
+    def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = blocks.stars(blocks.within(matrix, eps, left, right), left["id"].to_numpy(), right["query_id"].to_numpy())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def first(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(left["root"].to_numpy(), kind="stable")
+        near = blocks.within(matrix, eps, left.take(pa.array(order)), right)
+        hit, at = near.any(1), near.argmax(1)
+        return pa.table({"class": pa.array(right["query_id"].to_numpy()[hit], pa.int64()), "root": pa.array(left["root"].to_numpy()[order][at[hit]], pa.int64())})
+
+    counts = materialise(b.met(asked, count, _with(b, classes, "w"), "class long, n long").groupBy("class").agg(F.sum("n").alias("n")), "near-counts")
+    # Rows of one id, should there be several, are one.
+    member = rows.where("id is not null").join(classes.select("v", "class"), "v").select("id", "class")
+    core = member.join(counts, "class").groupBy("id").agg((F.sum("n") >= min_samples).alias("core"), F.min("class").alias("least"), F.max("class").alias("most"))
+    member = materialise(member.join(core, "id"), "members")
+    heads = materialise(member.where("core").groupBy("class").agg(F.min("id").alias("first")), "core")
+    of_core = asked.join(heads.select(F.col("class").alias("query_id")), "query_id")
+    links = b.met(of_core, link, _with(b, heads), "a long, b long")
+    links = links.union(member.where("core and least < most").select(F.col("class").alias("a"), F.col("least").alias("b")))
+    label = heads.join(connected_components(links).toDF("class", "label"), "class", "left").select("class", "first", F.coalesce("label", "class").alias("label"))
+    roots = materialise(label.join(label.groupBy("label").agg(F.min("first").alias("root")), "label").select("class", "root"), "roots")
+    other = member.where("not core").select(F.col("class").alias("query_id")).distinct()
+    border = b.met(asked.join(other, "query_id"), first, _with(b, roots, "root"), "class long, root long").groupBy("class").agg(F.min("root").alias("root"))
+    out = member.where("core").join(roots, "class").union(member.where("not core").join(border, "class"))
+    out = materialise(out.groupBy("id").agg(F.min("root").alias("root")), "rooted")
+    discard(classes, asked, counts, member, heads, roots)
+    return out
+
+
+def _roots_of_pairs(near: DataFrame, min_samples: int) -> DataFrame:
+    """The same of a table of neighbours (query_id, id)."""
+    near = materialise(near.select("query_id", "id"), "near")
+    core = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_samples).select(F.col("query_id").alias("core"))
+    core = materialise(core, "core")
+    links = near.join(core, F.col("query_id") == F.col("core")).drop("core").join(core, F.col("id") == F.col("core")).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    joined = connected_components(links).toDF("core", "root")
+    root = materialise(core.join(joined, "core", "left").select(F.col("core").alias("of"), F.coalesce("root", "core").alias("root")), "roots")
+    border = near.join(root, F.col("id") == F.col("of")).groupBy("query_id").agg(F.min("root").alias("first"))
+    both = root.join(border, F.col("of") == F.col("query_id"), "full")
+    return materialise(both.select(F.coalesce("of", "query_id").alias("id"), F.coalesce("root", "first").alias("root")), "rooted")
+
+
 def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Distance = euclidian, id_col: str = "id", features: str = "features", pairs: DataFrame | None = None, how: str = "auto") -> DBSCAN:
     """Density clustering; ``pairs`` (query_id, id) may bring a ready-made neighbour table.
 
-    Neighbours are found as ``neighbors.radius`` does by ``how``: by the balls of a metric, or among all pairs.
+    Neighbours are found by ``how`` as ``neighbors.radius`` does: by the balls of a metric, or among all pairs.
+    Distances with a matrix form are compared in blocks that write no pairs.
 
     Core rows have at least ``min_samples`` rows within eps, themselves included;
     clusters are the components of core rows, border rows join the neighbouring
@@ -179,16 +273,12 @@ def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, distance: Dist
         raise FitFailed(f"a core row needs at least one neighbour, not {min_samples}")
     if eps <= 0:
         raise FitFailed(f"a neighbourhood of radius {eps} is empty")
-    near = materialise((radius(df, df, eps, id_col, features, distance, how) if pairs is None else pairs).select("query_id", "id"), "near")
-    core = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min_samples).select(F.col("query_id").alias("core"))
-    core = materialise(core, "core")
-    links = near.join(core, F.col("query_id") == F.col("core")).drop("core").join(core, F.col("id") == F.col("core")).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
-    joined = connected_components(links).toDF("core", "root")
-    root = materialise(core.join(joined, "core", "left").select("core", F.coalesce("root", "core").alias("root")), "roots")
-    border = near.join(root, F.col("id") == F.col("core")).groupBy("query_id").agg(F.min("root").alias("first"))
-    numbers = numbered(root.select("root").distinct(), ["root"], "cluster")
-    # A border row goes to the cluster whose first row comes first, a core row to its own.
-    label = df.withColumn("__id", F.col(id_col).cast("long")).join(root.withColumnRenamed("core", "__id"), "__id", "left").join(border.withColumnRenamed("query_id", "__id"), "__id", "left")
-    label = label.withColumn("__r", F.coalesce("root", "first")).drop("root", "first", "__id")
-    out = label.join(numbers.withColumnRenamed("root", "__r"), "__r", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))).drop("__r")
-    return DBSCAN(out, eps, distance, id_col, features, how)
+    rows = _points(df, id_col, features)
+    if pairs is None and _in_blocks(distance, rows):
+        rooted = _roots_in_blocks(rows.where(finite("v")), eps, min_samples, distance, how)
+    else:
+        rooted = _roots_of_pairs(radius(df, df, eps, id_col, features, distance, how) if pairs is None else pairs, min_samples)
+    numbers = numbered(rooted.select("root").distinct(), ["root"], "cluster")
+    of = rooted.join(numbers, "root").select(F.col("id").alias("__id"), "cluster")
+    label = df.withColumn("__id", F.col(id_col).cast("long")).join(of, "__id", "left").drop("__id")
+    return DBSCAN(label.withColumn("cluster", F.coalesce("cluster", F.lit(-1).cast("long"))), eps, distance, id_col, features, how)
