@@ -43,6 +43,7 @@ def test_clusters_come_without_a_table_of_pairs(spark, monkeypatch, how):
     monkeypatch.setattr(cluster, "radius", refuse)
     monkeypatch.setattr(metric.Balls, "candidates", refuse)
     monkeypatch.setattr(pairs, "chosen", refuse)
+    monkeypatch.setattr(cluster, "_VOTED", 2)
     monkeypatch.setattr(pairs.chunks, "__defaults__", (20,))
     rng = np.random.default_rng(3)
     x = np.round(rng.uniform(0, 12, (170, 2)), 1).tolist()
@@ -51,10 +52,11 @@ def test_clusters_come_without_a_table_of_pairs(spark, monkeypatch, how):
     rows = [*zip(ids, x, strict=True), (1001, None), (1002, [None, 1.0]), (1003, [float("nan"), 1.0]), (1004, [float("inf"), 1.0]), (None, [40.0, 40.0])]
     df = spark.createDataFrame(rows, "id long, features array<double>").repartition(3)
     m = cluster.dbscan(df, 0.6, 4, how=how)
-    labels, _ = plain(rows, 0.6, 4)
+    labels, votes = plain(rows, 0.6, 4)
     got = m.labels.collect()
     assert len(got) == len(rows) and [r.cluster for r in got if r.id is None] == [-1]
     assert {r.id: r.cluster for r in got if r.id is not None} == labels and max(labels.values()) > 5 and -1 in labels.values()
+    assert {r.query_id: r.prediction for r in m.predict(df).collect() if r.query_id is not None} == votes
     assert cluster.dbscan(df.limit(0), 0.6, 4, how=how).labels.count() == 0
 
 
@@ -67,6 +69,7 @@ def test_copies_are_compared_once_and_links_stay_few(spark, monkeypatch):
     monkeypatch.setattr(cluster, "discard", lambda *_: None)
     m = cluster.dbscan(df, 0.5, 4)
     assert {(int(r.features[0]), r.cluster) for r in m.labels.collect()} == {(0, 0), (1, 1), (2, 2)}
+    assert {r.prediction for r in m.predict(df.where("id % 3 = 1")).collect()} == {2}
     assert "near" not in kept and max(t.count() for name, ts in kept.items() if name not in ("members", "rooted") for t in ts) == 3
 
 

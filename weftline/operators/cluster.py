@@ -159,14 +159,52 @@ class DBSCAN:
 
         Equal counts go to the lower cluster, noise comes last.
         """
-        near = radius(self.labels, queries, self.eps, self.id_col, self.features, self.distance, self.how)
         of = self.labels.select(F.col(self.id_col).cast("long").alias("id"), "cluster")
-        votes = near.join(of, "id").groupBy("query_id", "cluster").agg(F.count(F.lit(1)).alias("c"))
+        rows, asked = _points(self.labels, self.id_col, self.features), _points(queries, self.id_col, self.features)
+        if _in_blocks(self.distance, rows, asked):
+            votes = self._votes(rows.where(finite("v")).join(of, "id"), asked.where(finite("v")))
+        else:
+            near = radius(self.labels, queries, self.eps, self.id_col, self.features, self.distance, self.how)
+            votes = near.join(of, "id").groupBy("query_id", "cluster").agg(F.count(F.lit(1)).alias("c"))
         place = F.when(F.col("cluster") < 0, F.lit(2**62)).otherwise(F.col("cluster"))
         best = votes.groupBy("query_id").agg(F.max_by("cluster", F.struct("c", -place)).alias("cluster"))
         every = queries.select(F.col(self.id_col).cast("long").alias("query_id")).join(best, "query_id", "left")
         return every.select("query_id", (F.coalesce("cluster", F.lit(-1)) + 1).alias("prediction"))
 
+    def _votes(self, rows: DataFrame, queries: DataFrame) -> DataFrame:
+        """(query_id, cluster, c) of rows (id, v, cluster): blocks count what is near, equal vectors once."""
+        of = _distinct(rows, ["v", "cluster"], "voters")
+        asked = _distinct(queries, ["v"], "askers")
+        b = _partition(of, asked, self.distance, self.how)
+        if not b.lines:
+            return of.select(F.col("class").alias("query_id"), F.col("cluster").cast("long").alias("cluster"), F.col("w").alias("c")).limit(0)
+        matrix, eps = self.distance.matrix, self.eps
+
+        def count(left: pa.Table, right: pa.Table) -> pa.Table:
+            near = blocks.within(matrix, eps, left, right)
+            found, which = np.unique(left["cluster"].to_numpy(), return_inverse=True)
+            share = np.zeros((near.shape[1], min(len(found), _VOTED)))
+            out = []
+            # Clusters are counted some at a time, so the counts of a block are bounded too.
+            for at in range(0, len(found), _VOTED):
+                mine = np.flatnonzero((which >= at) & (which < at + _VOTED))
+                share[:] = 0
+                share[mine, which[mine] - at] = left["w"].to_numpy()[mine]
+                n = near.astype(float) @ share
+                i, j = np.nonzero(n)
+                out.append((right["query_id"].to_numpy()[i], found[at + j], n[i, j]))
+            i, c, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.table({"class": pa.array(i, pa.int64()), "cluster": pa.array(c, pa.int64()), "c": pa.array(n.astype(np.int64))})
+
+        near = b.met(b.asked(b.placed(asked, "class", "v"), F.lit(float(eps))), count, _with(b, of, F.col("cluster").cast("long").alias("cluster"), "w"), "class long, cluster long, c long")
+        votes = materialise(near.groupBy("class", "cluster").agg(F.sum("c").alias("c")), "votes")
+        own = queries.join(asked.select("v", "class"), "v").select(F.col("id").alias("query_id"), "class")
+        return own.join(votes, "class").groupBy("query_id", "cluster").agg(F.sum("c").alias("c"))
+
+
+#: Clusters whose votes a task counts at once.
+_VOTED = 256
+
 
 def _points(df: DataFrame, id_col: str, features: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("v"))
