@@ -12,7 +12,7 @@ from weftline.errors import ParametersError
 from weftline.functions import distance, kernels
 from weftline.operators import cluster, decomposition, linear, logistic, naive_bayes, neighbors, preprocessing, solvers, svm, tree
 
-_KINDS = {c.__name__: c for c in (cluster.KMeans, cluster.DBSCAN, naive_bayes.NaiveBayes, naive_bayes.CategoricalNB, neighbors.KNNClassifier, neighbors.KNNRegressor, solvers.TallQR, solvers.TallSVD, decomposition.Projection, linear.LinearModel, logistic.LogisticModel, preprocessing.StandardScaler, preprocessing.CategoryMapper, preprocessing.OneHotEncoder, svm.SupportVectors, tree.Forest, tree.Node, kernels.Linear, kernels.RBF, kernels.Polynomial, kernels.Sigmoid)}
+_KINDS = {c.__name__: c for c in (cluster.KMeans, cluster.DBSCAN, naive_bayes.NaiveBayes, naive_bayes.CategoricalNB, neighbors.KNNClassifier, neighbors.KNNRegressor, solvers.TallQR, solvers.TallSVD, decomposition.Projection, linear.LinearModel, logistic.LogisticModel, preprocessing.StandardScaler, preprocessing.CategoryMapper, preprocessing.OneHotEncoder, svm.SupportVectors, svm.SupportTable, tree.Forest, tree.Node, kernels.Linear, kernels.RBF, kernels.Polynomial, kernels.Sigmoid)}
 
 
 #: Functions that a model may hold, by name.
