@@ -36,6 +36,9 @@ def test_the_duals_prove_the_kernels_own_optimum(spark, eps, held, monkeypatch):
     assert isinstance(m.machine, svm.SupportTable if held == 10 else svm.SupportVectors)
     told = {r.id: r.f for r in m.machine.predict_value(df, "features", "f").select("id", "f").collect()}
     assert np.allclose([told[i] for i in range(500)], t, atol=1e-9)
+    plain = svm.svc(df, "features", "y", rbf) if eps is None else svm.svr(df, "features", "y", rbf)
+    told = {r.id: r.f for r in plain.predict_value(df, "features", "f").select("id", "f").collect()}
+    assert np.abs([told[i] - t[i] for i in range(500)]).max() < 0.1
 
 
 def test_what_cannot_be_fitted(spark):
@@ -45,3 +48,5 @@ def test_what_cannot_be_fitted(spark):
         svm_dual.fit(df.withColumn("features", F.expr("if(id = 3, array(1D), features)")), "features", "y", rbf, "id")
     with pytest.raises(FitFailed):
         svm_dual.fit(df.where("id < 0"), "features", "y", rbf, "id", eps=0.1)
+    bent = svm.svc(df, "features", "y", kernels.Sigmoid(0.1))
+    assert bent.predict_class(df).count() == 6
